@@ -43,29 +43,25 @@ def value_type(value: Column, is_number: Column | bool = False) -> Column:
     )
 
 
+def _relationship_rules(column_name: Column) -> list[tuple[Column, str, float]]:
+    low = F.lower(column_name)
+    return [
+        (low.endswith("_sk"), "SURROGATE_KEY", 0.95),
+        (low == "smcp", "SMCP_MATCH", 0.95),
+        (low.rlike("_id|_key"), "KEY_MATCH", 0.90),
+        (low.endswith("_code"), "CODE_MATCH", 0.85),
+        (low.rlike("^key$|id$"), "ID_MATCH", 0.80),
+    ]
+
+
 def relationship_type(column_name: Column) -> Column:
     """K8 (label): what an equally named column pair says about two tables."""
-    low = F.lower(column_name)
-    return (
-        F.when(low.endswith("_sk"), F.lit("SURROGATE_KEY"))
-        .when(low == "smcp", F.lit("SMCP_MATCH"))
-        .when(contains_any(low, ["_id", "_key"]), F.lit("KEY_MATCH"))
-        .when(low.endswith("_code"), F.lit("CODE_MATCH"))
-        .when(low.isin("id", "key") | low.endswith("id"), F.lit("ID_MATCH"))
-        .otherwise(F.lit("NO_MATCH"))
-    )
+    return F.coalesce(*[F.when(test, F.lit(label)) for test, label, _ in _relationship_rules(column_name)], F.lit("NO_MATCH"))
 
 
 def relationship_confidence(column_name: Column) -> Column:
     """K8 (score): confidence that goes with :func:`relationship_type`."""
-    kind = relationship_type(column_name)
-    return (
-        F.when(kind.isin("SURROGATE_KEY", "SMCP_MATCH"), F.lit(0.95))
-        .when(kind == "KEY_MATCH", F.lit(0.90))
-        .when(kind == "CODE_MATCH", F.lit(0.85))
-        .when(kind == "ID_MATCH", F.lit(0.80))
-        .otherwise(F.lit(0.0))
-    )
+    return F.coalesce(*[F.when(test, F.lit(score)) for test, _, score in _relationship_rules(column_name)], F.lit(0.0))
 
 
 def stable_id(*parts: Column) -> Column:
