@@ -108,7 +108,10 @@ SELECT 'Q' || CAST(l_orderkey AS STRING) AS question_id,
        CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'Keyword' WHEN 1 THEN 'Vector' WHEN 2 THEN 'TFIDF'
          WHEN 3 THEN 'GraphTraversal' ELSE 'GPT4' END AS method,
        l_linenumber AS position,
-       'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS entity
+       'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS part_name,
+       CASE WHEN l_partkey % 97 = 0 THEN '  ' WHEN l_linenumber % 4 = 0 THEN 'PART_' || lpad(CAST(l_partkey AS STRING), 8, '0')
+         WHEN l_linenumber % 4 = 1 THEN ' sales.part_' || lpad(CAST(l_partkey AS STRING), 8, '0') || ' '
+         ELSE 'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') END AS entity
 FROM {lineitem}""",
     "r_truth": """
 SELECT 'Q' || CAST(l_orderkey AS STRING) AS question_id, 'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS entity,
@@ -118,14 +121,14 @@ FROM {lineitem} WHERE l_quantity >= 20 GROUP BY l_orderkey, l_partkey""",
 SELECT q.question_id, q.question, o.o_orderkey AS ord,
        CASE WHEN o.o_orderkey % 10 = 0 THEN NULL ELSE p.truth_sql END AS truth_sql
 FROM {orders} o JOIN {q_order} q ON q.ord = o.o_orderkey JOIN {s_pairs} p ON p.pair_id = o.o_orderkey""",
-    "r_counts": "SELECT question_id, method, count(DISTINCT entity) AS n_tables FROM {r_predictions} GROUP BY question_id, method",
+    "r_counts": "SELECT question_id, method, count(DISTINCT part_name) AS n_tables FROM {r_predictions} GROUP BY question_id, method",
     "r_relevant": """
-SELECT p.question_id, p.method, count(DISTINCT p.entity) AS relevant
-FROM {r_predictions} p JOIN {r_truth} t ON p.question_id = t.question_id AND p.entity = t.entity
+SELECT p.question_id, p.method, count(DISTINCT p.part_name) AS relevant
+FROM {r_predictions} p JOIN {r_truth} t ON p.question_id = t.question_id AND p.part_name = t.entity
 GROUP BY p.question_id, p.method""",
     "r_cells": """
 SELECT q.question_id, q.question, q.truth_sql, m.method, CAST(m.midx AS INT) AS midx, q.ord,
-       CAST((q.ord * 31 + m.midx * 17) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(m.midx AS DOUBLE) * CAST(0.25 AS DOUBLE) AS seconds
+       CAST((q.ord * 31 + m.midx * 17) % 997 AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(m.midx AS DOUBLE) * CAST(0.25 AS DOUBLE) AS seconds
 FROM {r_questions} q {{methods}}""",
     "r_eval": """
 SELECT c.question_id, c.question, CAST(length(c.question) AS INT) AS question_length, c.truth_sql, c.method,
@@ -136,6 +139,25 @@ SELECT c.question_id, c.question, CAST(length(c.question) AS INT) AS question_le
        CASE WHEN (c.ord + c.midx) % 11 = 0 THEN NULL ELSE CAST(coalesce(r.relevant, 0) AS BIGINT) END AS relevant
 FROM {r_cells} c LEFT JOIN {r_counts} n ON n.question_id = c.question_id AND n.method = c.method
 LEFT JOIN {r_relevant} r ON r.question_id = c.question_id AND r.method = c.method""",
+    "r_reported": """
+SELECT question_id, method, (ord + midx) % 3 = 0 AS precision_at_1, (ord + midx) % 3 < 2 AS precision_at_3, (ord + midx) % 5 < 4 AS precision_at_5,
+       (ord + midx) % 2 = 0 AS hit_at_3, CASE WHEN (ord + midx) % 7 = 0 THEN NULL ELSE (ord + midx) % 7 < 5 END AS hit_at_5, (ord + midx) % 11 < 9 AS hit_at_10
+FROM {r_cells}""",
+    "r_answers": """
+SELECT question_id, method, CASE CAST((ord + midx) % 5 AS INT)
+  WHEN 0 THEN '```json' || chr(10) || '{"precision_at_1": true, "precision_at_3": true, "recall_at_5": true, "coverage_percentage": ' || CAST(ord % 130 AS STRING)
+    || '.5, "confidence": 0.' || CAST(ord % 10 AS STRING) || ', "tables_found": ' || CAST(ord % 4 AS STRING) || ', "explanation": "seen ' || question || '"}' || chr(10) || '```'
+  WHEN 1 THEN 'Sure! {"precision_at_1": false, "hit_rate_at_3": true, "coverage_percentage": 140.5, "confidence": 1.7, "retrieval_success": true, "note": {"a": 1}} done'
+  WHEN 2 THEN 'precision_at_1: true' || chr(10) || 'recall_at_5 is Yes' || chr(10) || 'Coverage_Percentage = ' || CAST(ord % 130 AS STRING) || ' ; confidence ~ 0.' || CAST(ord % 10 AS STRING)
+  WHEN 3 THEN '{"precision_at_3": true, "hit_rate_at_10":  true, broken ' || CAST(ord AS STRING)
+  ELSE 'no idea about ' || question END AS response
+FROM {r_cells}""",
+    "r_scores": """
+SELECT question_id, method, CASE CAST((ord + midx) % 3 AS INT)
+  WHEN 0 THEN '{"semantic_equivalence": ' || CAST(ord % 101 AS STRING) || ', "efficiency": 80, "overall_quality": ' || CAST(ord % 90 AS STRING) || ', "explanation": "fine"}'
+  WHEN 1 THEN 'semantic_equivalence: 70' || chr(10) || 'Overall_Quality ' || CAST(ord % 100 AS STRING) || ', completeness: many'
+  ELSE 'nothing to report' END AS response
+FROM {r_cells}""",
     # --- pairs of SQL texts -------------------------------------------------------------------
     "s_parts": """
 SELECT o_orderkey AS pair_id, CAST(o_orderkey % 7 AS INT) AS variant,
