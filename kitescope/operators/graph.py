@@ -1,0 +1,346 @@
+"""Graph analytics over vertices (name, description) and edges (src, dst, rel_type) as joins."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kitescope.functions import fixed_values as fixed
+from kitescope.functions import terms as term_rules
+from kitescope.functions import vectors
+from kitescope.operators import topk
+from kitescope.operators.retrieval import semantic_seeds
+from kitescope.operators.search import top_by
+from kitescope.session import cut_lineage
+
+__all__ = ["semantic_seeds"]
+
+DIMS = 10
+
+
+def edge_weight(rel_type: Column, weights: dict[str, float] = fixed.EDGE_WEIGHTS) -> Column:
+    picked = F.coalesce(*[F.when(rel_type == kind, F.lit(w)) for kind, w in weights.items()])
+    return F.coalesce(picked, F.lit(fixed.DEFAULT_EDGE_WEIGHT))
+
+
+def build_graph(vertices: DataFrame, edges: DataFrame, weights: dict[str, float] = fixed.EDGE_WEIGHTS) -> DataFrame:
+    """G1: weighted directed edges without loops, both ends known, one per ordered pair (heaviest kept)."""
+    names = vertices.select("name")
+    known = (
+        edges.filter(F.col("src") != F.col("dst"))
+        .join(names.withColumnRenamed("name", "src"), "src", "left_semi")
+        .join(names.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    )
+    weight = edge_weight(F.col("rel_type"), weights)
+    best = known.groupBy("src", "dst").agg(F.max(F.struct(weight.alias("weight"), "rel_type")).alias("e"))
+    return best.select("src", "dst", "e.rel_type", "e.weight")
+
+
+# --- attention --------------------------------------------------------------------------------------
+
+
+def vertex_vectors(vertices: DataFrame) -> DataFrame:
+    """(name, vector): hash embedding of the description over its length plus a small constant."""
+    raw = vertices.select("name", vectors.text_embedding(F.coalesce("description", F.lit("")), DIMS).alias("v"))
+    return raw.select("name", F.transform(F.array("v"), lambda v: F.transform(v, lambda x: x / (vectors.norm(v) + vectors.EPSILON)))[0].alias("vector"))
+
+
+def attention_vectors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity, vector) whose dot product with a question's unit vector is the neighbour-weighted attention.
+
+    Hash embeddings and question codes are never negative, so the floor at zero inside attention has
+    no effect and the mean over out-neighbours can be taken over vectors, once for all questions.  The
+    mean is ten plain averages: a hub's edges fold in every task before the shuffle.
+    """
+    own = vertex_vectors(vertices)
+    ends = edges.select("src", "dst").join(own.withColumnRenamed("name", "dst"), "dst")
+    means = ends.groupBy("src").agg(*[F.avg(F.col("vector")[i]).alias(f"m{i}") for i in range(DIMS)])
+    joined = own.join(means, own["name"] == means["src"], "left")
+    mixed = F.array(*[F.col("vector")[i] * 0.7 + F.col(f"m{i}") * 0.3 for i in range(DIMS)])
+    return joined.select(F.col("name").alias("entity"), F.when(F.col("src").isNull(), F.col("vector")).otherwise(mixed).alias("vector"))
+
+
+def question_vectors(questions: DataFrame) -> DataFrame:
+    """(question_id, vector): encoded questions at unit length; a question without words stays zero."""
+    coded = questions.select("question_id", vectors.encode_question(F.col("question"), DIMS).alias("v"))
+    return coded.select(
+        "question_id",
+        F.transform(F.array("v"), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, vectors.norm(v)), F.lit(0.0))))[0].alias("vector"),
+    )
+
+
+def neighbour_attention(questions: DataFrame, vertices: DataFrame, edges: DataFrame, n: int = 10, threshold: float = 0.1) -> DataFrame:
+    """Best ``n`` vertices per question by own attention x .7 plus out-neighbours' mean x .3.
+
+    The full ranking covers every vertex for every question; :func:`attention_ranks` gives the exact
+    place of chosen vertices in it without writing it out.
+    """
+    return topk.top_scores(attention_vectors(vertices, edges), question_vectors(questions), n, threshold)
+
+
+def attention_ranks(questions: DataFrame, vertices: DataFrame, edges: DataFrame, wanted: DataFrame, threshold: float = 0.1) -> DataFrame:
+    return topk.exact_ranks(attention_vectors(vertices, edges), question_vectors(questions), wanted, threshold)
+
+
+# --- relevance and paths ----------------------------------------------------------------------------
+
+
+def term_overlap(description: Column, terms: Column) -> Column:
+    """Share of the question's words found inside the description; zero without either."""
+    low = F.lower(F.coalesce(description, F.lit("")))
+    hits = F.size(F.filter(terms, lambda t: F.contains(low, t)))
+    return F.when((low == "") | (F.size(terms) == 0), F.lit(0.0)).otherwise(hits / F.size(terms))
+
+
+def is_relevant(name: Column, description: Column, terms: Column) -> Column:
+    """Some word of the question lies inside the name or the description."""
+    return F.exists(terms, lambda t: F.contains(F.lower(name), t) | F.contains(F.lower(F.coalesce(description, F.lit(""))), t))
+
+
+def greedy_paths(
+    questions: DataFrame, seeds: DataFrame, vertices: DataFrame, edges: DataFrame, hops: int = 2, walked: int = 3,
+    least: float = 0.2, reward_from: str = "seed",
+) -> DataFrame:
+    """Walk from the leading seeds to the best out-neighbour, up to ``hops`` times.
+
+    A neighbour is worth .6 x word overlap + .4 x the weight of its edge from the seed (or from the
+    current vertex).  Result: (question_id, entity, rank) - the seeds in order, then chosen vertices
+    by seed and hop.
+    """
+    weighted = edges.select("src", "dst", "weight")
+    texts = vertices.select(F.col("name").alias("dst"), "description")
+    asked = questions.select("question_id", term_rules.all_terms(F.col("question")).alias("words"))
+    paths = seeds.filter(F.col("rank") <= walked).select("question_id", F.col("entity").alias("seed"), F.col("rank").alias("seed_rank"), F.col("entity").alias("current"))
+    found = seeds.select("question_id", "entity", (F.col("rank") - 1000).alias("place"))
+    for hop in range(1, hops + 1):
+        step = paths.join(weighted, paths["current"] == weighted["src"]).join(texts, "dst").join(asked, "question_id")
+        if hop == 1 or reward_from == "current":
+            reward = F.col("weight")
+        else:
+            direct = edges.select(F.col("src").alias("seed"), F.col("dst"), F.col("weight").alias("direct"))
+            step = step.join(direct, ["seed", "dst"], "left")
+            reward = F.coalesce(F.col("direct"), F.lit(0.0))
+        worth = F.round(term_overlap(F.col("description"), F.col("words")) * 0.6 + reward * 0.4, 6)
+        best = step.groupBy("question_id", "seed", "seed_rank").agg(F.min(F.struct((-worth).alias("minus"), "dst")).alias("b"))
+        paths = best.filter(-F.col("b.minus") > least).select("question_id", "seed", "seed_rank", F.col("b.dst").alias("current"))
+        found = found.unionByName(paths.select("question_id", F.col("current").alias("entity"), (F.col("seed_rank") * 10 + hop).alias("place")))
+    first = found.groupBy("question_id", "entity").agg(F.min("place").alias("place"))
+    # a list has the seeds plus at most walked x hops entries
+    return top_by(first, ["question_id"], ["place"], 1 << 20).select("question_id", "entity", "rank")
+
+
+# --- centrality -------------------------------------------------------------------------------------
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, score): in- plus out-degree over n - 1."""
+    n = vertices.agg(F.count("*").alias("n")).scalar()
+    degrees = _ends(edges).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("degree"))
+    joined = vertices.select("name").join(degrees, "name", "left")
+    return joined.select("name", F.round(F.coalesce("degree", F.lit(0)) / (n - 1), 6).alias("score"))
+
+
+def leading_vertices(scores: DataFrame, n: int, threshold: float) -> DataFrame:
+    return scores.orderBy(F.desc("score"), "name").limit(n).filter(F.col("score") > threshold)
+
+
+def degree_hubs(vertices: DataFrame, edges: DataFrame, n: int = 5, threshold: float = 0.1) -> DataFrame:
+    """The ``n`` vertices of highest degree centrality, above the threshold."""
+    return leading_vertices(degree_centrality(vertices, edges), n, threshold)
+
+
+def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None, source_groups: int = 1, max_depth: int = 64) -> DataFrame:
+    """(name, score): normalised undirected betweenness by level-wise path counting.
+
+    All sources of a group advance one level per join; state is keyed (source, node) and saved after
+    each level, so ``source_groups`` bounds it.  ``pivots`` uses that many sources (first by hash of
+    the name) and scales by n / pivots, the usual estimate for large graphs.
+    """
+    adjacency = cut_lineage(_ends(edges).filter(F.col("src") != F.col("dst")).distinct())
+    names = vertices.select("name")
+    n = names.count()
+    if n < 3:
+        return names.withColumn("score", F.lit(0.0))
+    chosen = names if pivots is None or pivots >= n else names.orderBy(F.xxhash64("name"), "name").limit(pivots)
+    scale = 1.0 if pivots is None or pivots >= n else n / pivots
+    parts = []
+    for group in range(source_groups):
+        mine = chosen.filter(F.pmod(F.xxhash64("name"), F.lit(source_groups)) == group)
+        parts.append(_dependencies(mine, adjacency, max_depth))
+    total = reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.sum("dependency").alias("d"))
+    score = F.coalesce(F.col("d"), F.lit(0.0)) * F.lit(scale) / F.lit(float((n - 1) * (n - 2)))
+    return names.join(total, "name", "left").select("name", F.round(score, 6).alias("score"))
+
+
+def _dependencies(sources: DataFrame, adjacency: DataFrame, max_depth: int) -> DataFrame:
+    """(name, dependency): share of shortest paths from the sources running through each vertex."""
+    frontier = sources.select(F.col("name").alias("source"), F.col("name").alias("node"), F.lit(1.0).alias("paths"))
+    levels = [cut_lineage(frontier)]
+    seen = levels[0].select("source", "node")
+    while len(levels) <= max_depth:
+        grown = (
+            levels[-1].join(adjacency, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            .join(seen, ["source", "node"], "left_anti")
+        )
+        level = cut_lineage(grown)
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("source", "node"))
+    through: list[DataFrame] = []
+    # (source, node, paths, dependency) of the deepest level; nothing lies beyond it
+    below = levels[-1].withColumn("dependency", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        share = (
+            below.select("source", F.col("node").alias("child"), ((1 + F.col("dependency")) / F.col("paths")).alias("per_path"))
+            .join(adjacency, F.col("child") == F.col("dst")).groupBy("source", F.col("src").alias("node")).agg(F.sum("per_path").alias("per_path"))
+        )
+        below = cut_lineage(
+            level.join(share, ["source", "node"], "left").select("source", "node", "paths", F.coalesce(F.col("paths") * F.col("per_path"), F.lit(0.0)).alias("dependency"))
+        )
+        through.append(below.filter(F.col("source") != F.col("node")).select(F.col("node").alias("name"), "dependency"))
+    if not through:
+        return sources.select("name", F.lit(0.0).alias("dependency")).limit(0)
+    return reduce(DataFrame.unionByName, through)
+
+
+def betweenness_bridges(scores: DataFrame, n: int = 5, threshold: float = 0.05) -> DataFrame:
+    """The ``n`` vertices of highest betweenness, above the threshold."""
+    return leading_vertices(scores, n, threshold)
+
+
+def undirected_weights(edges: DataFrame) -> DataFrame:
+    """Both directions of every connected pair with the heavier of its weights."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, save_every: int = 5, tolerance: float | None = None) -> DataFrame:
+    """(name, score): weighted PageRank on the undirected graph, unconnected mass spread evenly.
+
+    Ranks are saved every few rounds, which cuts the lineage and bounds what a lost executor costs.
+    With ``tolerance`` the rounds end once the total change falls below n x tolerance.
+    """
+    weighted = undirected_weights(edges)
+    totals = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
+    moves = cut_lineage(weighted.join(totals, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    names = cut_lineage(
+        vertices.select("name").join(totals.select(F.col("src").alias("name"), F.lit(False).alias("loose")), "name", "left")
+        .select("name", F.coalesce("loose", F.lit(True)).alias("loose"))
+    )
+    n = names.count()
+    ranks = names.withColumn("score", F.lit(1.0 / max(n, 1)))
+    before = ranks
+    for i in range(1, iterations + 1):
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("m")).scalar()
+        flow = moves.join(ranks.select(F.col("name").alias("src"), "score"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+        spread = (F.lit(1.0 - damping) + F.lit(damping) * loose) / F.lit(float(n))
+        ranks = names.join(flow, "name", "left").select("name", "loose", (F.coalesce("flow", F.lit(0.0)) * damping + spread).alias("score"))
+        if i % save_every == 0 or i == iterations:
+            ranks = cut_lineage(ranks)
+            if tolerance is not None:
+                change = ranks.join(before.select("name", F.col("score").alias("old")), "name").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+                if change is not None and change < n * tolerance:
+                    break
+                before = ranks
+    return ranks.select("name", "score")
+
+
+def relevant_only(candidates: DataFrame, questions: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(question_id, entity) candidates that pass G12."""
+    asked = questions.select("question_id", term_rules.all_terms(F.col("question")).alias("words"))
+    named = candidates.join(vertices.select(F.col("name").alias("entity"), "description"), "entity").join(asked, "question_id")
+    return named.filter(is_relevant(F.col("entity"), F.col("description"), F.col("words"))).drop("description", "words")
+
+
+def for_every_question(questions: DataFrame, few: DataFrame, columns: list[str]) -> DataFrame:
+    """Attach a short list to every question; ``few`` is bounded by its caller (at most 1 / threshold rows)."""
+    packed = few.agg(F.collect_list(F.struct(*columns)).alias("few")).select("few").scalar()
+    return questions.select("question_id", packed.alias("few")).select("question_id", F.inline("few"))
+
+
+def pagerank_relevant(questions: DataFrame, vertices: DataFrame, ranks: DataFrame, threshold: float = 0.01, n: int = 5) -> DataFrame:
+    """Relevant vertices with rank above the threshold, best ``n`` per question.
+
+    Ranks sum to one, so fewer than 1 / threshold vertices can pass.
+    """
+    high = ranks.select(F.col("name").alias("entity"), F.round("score", 6).alias("score")).filter(F.col("score") > threshold)
+    found = relevant_only(for_every_question(questions, high, ["entity", "score"]), questions, vertices)
+    return top_by(found, ["question_id"], [F.desc("score"), "entity"], n)
+
+
+def ego_community(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, entity) - the seed, its first three out-neighbours, and the first two of the first two's."""
+    near = top_by(edges.select("src", "dst").distinct(), ["src"], ["dst"], 3, "place")
+    start = seeds.select("seed").distinct()
+    first = start.join(near, F.col("seed") == F.col("src")).select("seed", "dst", "place")
+    second = (
+        first.filter(F.col("place") <= 2).select("seed", F.col("dst").alias("middle"))
+        .join(near.filter(F.col("place") <= 2).select("src", F.col("dst").alias("entity")), F.col("middle") == F.col("src")).select("seed", "entity")
+    )
+    return start.select("seed", F.col("seed").alias("entity")).unionByName(first.select("seed", F.col("dst").alias("entity"))).unionByName(second).distinct()
+
+
+def structural_candidates(questions: DataFrame, vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hubs: DataFrame, bridges: DataFrame, expanded: int = 3) -> DataFrame:
+    """Hubs, bridges and communities of the leading seeds that pass G12.
+
+    ``hubs`` and ``bridges`` are the short lists of G8 and G9; ``seeds`` is the list of G7.
+    """
+    few = hubs.select(F.col("name").alias("entity")).unionByName(bridges.select(F.col("name").alias("entity"))).distinct()
+    leading = seeds.filter(F.col("rank") <= expanded).select("question_id", F.col("entity").alias("seed")).distinct()
+    near = leading.join(ego_community(leading, edges), "seed").select("question_id", "entity")
+    found = for_every_question(questions, few, ["entity"]).unionByName(near).distinct()
+    return relevant_only(found, questions, vertices)
+
+
+def multilevel_score(seeds: DataFrame, structural: DataFrame, ranked: DataFrame) -> DataFrame:
+    """.5 for word seeds, .3 for structural candidates, .2 for relevant high ranks, highest first."""
+    levels = [(seeds, 0.5), (structural, 0.3), (ranked, 0.2)]
+    parts = [df.select("question_id", "entity").distinct().withColumn("w", F.lit(w)) for df, w in levels]
+    scored = reduce(DataFrame.unionByName, parts).groupBy("question_id", "entity").agg(F.round(F.sum("w"), 6).alias("score"))
+    # each level holds a short list per question, so the ranking is bounded by their sizes
+    return top_by(scored, ["question_id"], [F.desc("score"), "entity"], 1 << 20)
+
+
+def rank_ensemble(lists: DataFrame, weights: list[float] = fixed.ENSEMBLE_WEIGHTS, n: int | None = None) -> DataFrame:
+    """Sum of weight / position over the lists, repeats adding again, highest first.
+
+    ``lists`` has question_id, list_no (from 0), rank and entity; lists beyond the weights are ignored.
+    """
+    weight = F.coalesce(*[F.when(F.col("list_no") == i, F.lit(w)) for i, w in enumerate(weights)])
+    scored = (
+        lists.withColumn("w", weight / F.col("rank")).filter(F.col("w").isNotNull())
+        .groupBy("question_id", "entity").agg(F.round(F.sum("w"), 6).alias("score"))
+    )
+    return top_by(scored, ["question_id"], [F.desc("score"), "entity"], n or 1 << 20)
+
+
+def advanced_retriever(
+    questions: DataFrame, vertices: DataFrame, edges: DataFrame, ranks: DataFrame, hubs: DataFrame, bridges: DataFrame,
+    max_tables: int = 10, per_term: int = 3, rank_threshold: float = 0.01,
+) -> DataFrame:
+    """Ensemble of attention, greedy paths and multi-level scores; word seeds where all are empty.
+
+    ``edges`` are the weighted edges of G1; ``ranks``, ``hubs`` and ``bridges`` are computed once per
+    graph.  The attention list is endless in principle: beyond its first ``max_tables`` entries it can
+    only matter for vertices the two other (short) lists name, so just those get their exact place.
+    """
+    attention = neighbour_attention(questions, vertices, edges, max_tables)
+    paths = greedy_paths(questions, attention.filter(F.col("rank") <= 5), vertices, edges)
+    seeds = semantic_seeds(questions, vertices, per_term)
+    levels = multilevel_score(
+        seeds, structural_candidates(questions, vertices, edges, seeds, hubs, bridges),
+        pagerank_relevant(questions, vertices, ranks, rank_threshold),
+    )
+    named = paths.select("question_id", "entity").unionByName(levels.select("question_id", "entity")).distinct()
+    further = attention_ranks(questions, vertices, edges, named).filter(F.col("rank") > max_tables)
+    tagged = lambda df, i: df.select("question_id", F.lit(i).alias("list_no"), F.col("rank").cast("bigint").alias("rank"), "entity")
+    lists = tagged(attention, 0).unionByName(tagged(further, 0)).unionByName(tagged(paths, 1)).unionByName(tagged(levels, 2))
+    final = rank_ensemble(lists, n=max_tables)
+    bare = seeds.join(final.select("question_id").distinct(), "question_id", "left_anti").filter(F.col("rank") <= max_tables)
+    return final.unionByName(bare.select("question_id", "entity", F.lit(0.0).alias("score"), "rank"))

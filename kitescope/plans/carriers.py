@@ -102,6 +102,10 @@ UNION ALL
 SELECT DISTINCT 'part_' || lpad(CAST(l_partkey AS STRING), 8, '0'), 'supplier_' || lpad(CAST(l_suppkey AS STRING), 8, '0'), 'reference'
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity >= 48""",
     "gl_questions": "SELECT 'N_' || p_name AS question_id, 'show ' || p_name AS question FROM (SELECT DISTINCT p_name FROM {part}) names",
+    "gs_questions": """
+SELECT 'C_' || CAST(c_nationkey AS STRING) || '_' || c_mktsegment AS question_id,
+       'sales of ' || lower(c_mktsegment) || ' in nation_' || CAST(c_nationkey AS STRING) || CASE WHEN c_nationkey % 3 = 0 THEN ' or africa' WHEN c_nationkey % 3 = 1 THEN ' by supplier' ELSE ' regions' END AS question
+FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}) seg""",
     # --- a run: orders are questions, their line items are predictions ------------------------
     "r_predictions": """
 SELECT 'Q' || CAST(l_orderkey AS STRING) AS question_id,
