@@ -44,17 +44,23 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
 
 
+def unit(vector: Column, epsilon: float = 0.0) -> Column:
+    """The vector over its length plus ``epsilon``; a zero vector stays zero.
+
+    The vector and its length are bound as one struct, so neither is computed again per component.
+    """
+    bound = F.transform(F.array(vector), lambda v: F.struct(v.alias("v"), (norm(v) + F.lit(epsilon)).alias("n")))
+    scaled = F.transform(
+        bound, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(F.lit(0.0)))
+    )
+    return scaled[0]
+
+
 def encode_question(question: Column, slots: int = 10) -> Column:
     """Hash weight of each of the first words in its own slot, divided by the norm."""
     words = F.filter(F.split(F.lower(question), r"\s+"), lambda w: w != "")
-    raw = F.transform(
-        F.sequence(F.lit(1), F.lit(slots)),
-        lambda i: F.coalesce(
-            (_hash_number(F.get(words, i - 1)) % 100).cast("double") / F.lit(100.0), F.lit(0.0)
-        ),
-    )
-    # one-element wrap binds the raw vector once, so the norm does not hash every word again
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: x / (norm(v) + F.lit(EPSILON))))[0]
+    weights = F.transform(F.slice(words, 1, slots), lambda w: (_hash_number(w) % 100).cast("double") / F.lit(100.0))
+    return unit(fit_vector(weights, slots), EPSILON)
 
 
 def attention(a: Column, b: Column) -> Column:

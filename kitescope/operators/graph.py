@@ -42,8 +42,9 @@ def build_graph(vertices: DataFrame, edges: DataFrame, weights: dict[str, float]
 
 def vertex_vectors(vertices: DataFrame) -> DataFrame:
     """(name, vector): hash embedding of the description over its length plus a small constant."""
-    raw = vertices.select("name", vectors.text_embedding(F.coalesce("description", F.lit("")), DIMS).alias("v"))
-    return raw.select("name", F.transform(F.array("v"), lambda v: F.transform(v, lambda x: x / (vectors.norm(v) + vectors.EPSILON)))[0].alias("vector"))
+    return vertices.select(
+        "name", vectors.unit(vectors.text_embedding(F.coalesce("description", F.lit("")), DIMS), vectors.EPSILON).alias("vector")
+    )
 
 
 def attention_vectors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,11 +64,7 @@ def attention_vectors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def question_vectors(questions: DataFrame) -> DataFrame:
     """(question_id, vector): encoded questions at unit length; a question without words stays zero."""
-    coded = questions.select("question_id", vectors.encode_question(F.col("question"), DIMS).alias("v"))
-    return coded.select(
-        "question_id",
-        F.transform(F.array("v"), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, vectors.norm(v)), F.lit(0.0))))[0].alias("vector"),
-    )
+    return questions.select("question_id", vectors.unit(vectors.encode_question(F.col("question"), DIMS)).alias("vector"))
 
 
 def neighbour_attention(questions: DataFrame, vertices: DataFrame, edges: DataFrame, n: int = 10, threshold: float = 0.1) -> DataFrame:
@@ -80,6 +77,7 @@ def neighbour_attention(questions: DataFrame, vertices: DataFrame, edges: DataFr
 
 
 def attention_ranks(questions: DataFrame, vertices: DataFrame, edges: DataFrame, wanted: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Exact places of chosen vertices in the full ranking of G4."""
     return topk.exact_ranks(attention_vectors(vertices, edges), question_vectors(questions), wanted, threshold)
 
 
@@ -229,18 +227,20 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 20, dampin
     weighted = undirected_weights(edges)
     totals = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = cut_lineage(weighted.join(totals, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    names = cut_lineage(
-        vertices.select("name").join(totals.select(F.col("src").alias("name"), F.lit(False).alias("loose")), "name", "left")
-        .select("name", F.coalesce("loose", F.lit(True)).alias("loose"))
-    )
-    n = names.count()
-    ranks = names.withColumn("score", F.lit(1.0 / max(n, 1)))
+    linked = moves.select(F.col("src").alias("name")).distinct()
+    alone = vertices.select("name").join(linked, "name", "left_anti")
+    n, n_alone = vertices.count(), alone.count()
+    if n == 0:
+        return vertices.select("name", F.lit(0.0).alias("score"))
+    # vertices without edges receive nothing but the even spread, so their common rank is one number
+    alone_rank = 1.0 / n
+    ranks = linked.withColumn("score", F.lit(1.0 / n))
     before = ranks
     for i in range(1, iterations + 1):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("m")).scalar()
-        flow = moves.join(ranks.select(F.col("name").alias("src"), "score"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        spread = (F.lit(1.0 - damping) + F.lit(damping) * loose) / F.lit(float(n))
-        ranks = names.join(flow, "name", "left").select("name", "loose", (F.coalesce("flow", F.lit(0.0)) * damping + spread).alias("score"))
+        spread = (1.0 - damping + damping * n_alone * alone_rank) / n
+        flow = F.sum(F.col("score") * F.col("share")) * damping + F.lit(spread)
+        ranks = moves.join(ranks.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(flow.alias("score"))
+        alone_rank = spread
         if i % save_every == 0 or i == iterations:
             ranks = cut_lineage(ranks)
             if tolerance is not None:
@@ -248,7 +248,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 20, dampin
                 if change is not None and change < n * tolerance:
                     break
                 before = ranks
-    return ranks.select("name", "score")
+    return ranks.select("name", "score").unionByName(alone.select("name", F.lit(alone_rank).alias("score")))
 
 
 def relevant_only(candidates: DataFrame, questions: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -330,15 +330,18 @@ def advanced_retriever(
     graph.  The attention list is endless in principle: beyond its first ``max_tables`` entries it can
     only matter for vertices the two other (short) lists name, so just those get their exact place.
     """
-    attention = neighbour_attention(questions, vertices, edges, max_tables)
-    paths = greedy_paths(questions, attention.filter(F.col("rank") <= 5), vertices, edges)
-    seeds = semantic_seeds(questions, vertices, per_term)
-    levels = multilevel_score(
+    # short lists (and one small vector per vertex) are saved once instead of being recomputed per use
+    mixed = cut_lineage(attention_vectors(vertices, edges))
+    coded = question_vectors(questions)
+    attention = cut_lineage(topk.top_scores(mixed, coded, max_tables, 0.1))
+    paths = cut_lineage(greedy_paths(questions, attention.filter(F.col("rank") <= 5), vertices, edges))
+    seeds = cut_lineage(semantic_seeds(questions, vertices, per_term))
+    levels = cut_lineage(multilevel_score(
         seeds, structural_candidates(questions, vertices, edges, seeds, hubs, bridges),
         pagerank_relevant(questions, vertices, ranks, rank_threshold),
-    )
+    ))
     named = paths.select("question_id", "entity").unionByName(levels.select("question_id", "entity")).distinct()
-    further = attention_ranks(questions, vertices, edges, named).filter(F.col("rank") > max_tables)
+    further = topk.exact_ranks(mixed, coded, named, 0.1).filter(F.col("rank") > max_tables)
     tagged = lambda df, i: df.select("question_id", F.lit(i).alias("list_no"), F.col("rank").cast("bigint").alias("rank"), "entity")
     lists = tagged(attention, 0).unionByName(tagged(further, 0)).unionByName(tagged(paths, 1)).unionByName(tagged(levels, 2))
     final = rank_ensemble(lists, n=max_tables)

@@ -152,18 +152,15 @@ def relationship_retriever(questions: DataFrame, entities: DataFrame, edges: Dat
 # --- vectors --------------------------------------------------------------------------------------
 
 
-def unit_vectors(df: DataFrame, key: str, alias: str) -> DataFrame:
-    """(alias, vector) with vectors scaled to length one; missing or zero vectors are left out."""
-    length = vectors.norm(F.col("embedding"))
-    return df.filter(F.col("embedding").isNotNull()).withColumn("length", length).filter(F.col("length") > 0).select(
-        F.col(key).alias(alias), F.transform("embedding", lambda x: x.cast("double") / F.col("length")).alias("vector")
-    )
+def given_vectors(df: DataFrame, key: str, alias: str) -> DataFrame:
+    """(alias, vector) of the rows that have a vector."""
+    return df.filter(F.col("embedding").isNotNull()).select(F.col(key).alias(alias), F.col("embedding").alias("vector"))
 
 
 def vector_tables(queries: DataFrame, entities: DataFrame, threshold: float | None = 0.3, n: int = 5) -> DataFrame:
     """R10 (and R16 with no threshold): nearest entities by cosine."""
     return topk.top_scores(
-        unit_vectors(entities, "entity", "entity"), unit_vectors(queries, "question_id", "question_id"), n, threshold
+        given_vectors(entities, "entity", "entity"), given_vectors(queries, "question_id", "question_id"), n, threshold, cosine=True
     )
 
 
@@ -175,7 +172,7 @@ def similarity_search(queries: DataFrame, nodes: dict[str, DataFrame], kind: str
 def vector_columns_prefilter(queries: DataFrame, columns: DataFrame, threshold: float = 0.2, n: int = 5) -> DataFrame:
     """Mean cosine per table over the columns above the threshold."""
     sums = topk.group_scores(
-        unit_vectors(columns, "table_name", "group_key"), unit_vectors(queries, "question_id", "question_id"), threshold
+        given_vectors(columns, "table_name", "group_key"), given_vectors(queries, "question_id", "question_id"), threshold
     )
     mean = sums.select("question_id", F.col("group_key").alias("entity"), F.round(F.col("total") / F.col("n"), 6).alias("score"))
     return top_by(mean, ["question_id"], [F.desc("score"), "entity"], n)
@@ -183,7 +180,8 @@ def vector_columns_prefilter(queries: DataFrame, columns: DataFrame, threshold:
 
 def mean_unit_vectors(columns: DataFrame) -> DataFrame:
     """(entity, vector): mean of the unit vectors of each table's columns, folded component-wise."""
-    unit = unit_vectors(columns, "table_name", "entity")
+    raw = given_vectors(columns, "table_name", "entity").filter(F.exists("vector", lambda x: x != 0))
+    unit = raw.select("entity", vectors.unit(F.col("vector")).alias("vector"))
     dims = F.size("vector")
     spread = unit.select("entity", dims.alias("dims"), F.posexplode("vector").alias("i", "x"))
     means = spread.groupBy("entity", "dims", "i").agg(F.avg("x").alias("x"))
@@ -199,7 +197,9 @@ def vector_columns_postfilter(queries: DataFrame, columns: DataFrame, threshold:
     The mean of cosines with one question equals the question's dot product with the mean unit
     vector, so columns fold to one vector per table before any question is looked at.
     """
-    best = topk.top_scores(mean_unit_vectors(columns), unit_vectors(queries, "question_id", "question_id"), n, None)
+    asked = given_vectors(queries, "question_id", "question_id").filter(F.exists("vector", lambda x: x != 0))
+    asked = asked.select("question_id", vectors.unit(F.col("vector")).alias("vector"))
+    best = topk.top_scores(mean_unit_vectors(columns), asked, n, None)
     return best.filter(F.col("score") > threshold)
 
 

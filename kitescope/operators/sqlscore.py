@@ -6,10 +6,12 @@ TF-IDF cosine and the similarity table spread a pair's terms, and those fold bac
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -17,6 +19,9 @@ from kitescope.functions import fixed_values as fixed
 from kitescope.functions import sqltext
 from kitescope.functions.sqltext import strings
 
+# the similarity function travels with its tasks, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GENERATED, TRUTH = "generated_sql", "truth_sql"
 CLAUSES = ["select", "from", "where", "join", "group_by", "having", "order_by"]
 

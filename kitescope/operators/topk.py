@@ -9,10 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
+# tasks get the small helpers below with the function, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # 2,048 questions of up to 1,000 components are at most 16 MB per chunk
 CHUNK_ROWS = 2048
 
@@ -31,6 +37,13 @@ def _sparse_matrix(positions: pd.Series, weights: pd.Series, dims: int) -> np.nd
     return out
 
 
+def _unit(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at unit length and a mask of the rows kept; rows of length zero are left out."""
+    length = np.sqrt(np.sum(block * block, axis=1))
+    kept = length > 0
+    return block[kept] / length[kept, None], kept
+
+
 def question_chunks(questions: DataFrame) -> Iterator[pd.DataFrame]:
     """Questions in chunks of at most CHUNK_ROWS; only one chunk is on the driver at a time."""
     total = questions.count()
@@ -62,9 +75,22 @@ def _dims(chunk: pd.DataFrame) -> int:
     return max((len(v) for v in chunk["vector"]), default=0)
 
 
-def top_scores(entities: DataFrame, questions: DataFrame, k: int, threshold: float | None, dims: int | None = None) -> DataFrame:
+def _held(chunk: pd.DataFrame, width: int, cosine: bool) -> tuple[list[str], np.ndarray]:
+    """Question ids and their vectors as columns of one matrix."""
+    ids, block = chunk["question_id"].to_numpy(), _matrix(chunk["vector"], width)
+    if cosine:
+        block, kept = _unit(block)
+        ids = ids[kept]
+    return ids.tolist(), block.T
+
+
+def top_scores(
+    entities: DataFrame, questions: DataFrame, k: int, threshold: float | None, dims: int | None = None, cosine: bool = False,
+) -> DataFrame:
     """(question_id, entity, score, rank): best ``k`` entities by dot product, score above ``threshold``.
 
+    With ``cosine`` both sides are scaled to unit length first and zero vectors are left out.
+
     ``entities`` has ``entity`` and either ``vector`` (dense) or ``positions`` and ``weights``
     (sparse, with ``dims``); ``questions`` has ``question_id`` and dense ``vector``.  Scores are
     rounded to six decimals and ties go to the smaller name, in tasks and overall alike.
@@ -74,7 +100,7 @@ def top_scores(entities: DataFrame, questions: DataFrame, k: int, threshold: flo
     parts = []
     for chunk in question_chunks(questions.select("question_id", "vector")):
         width = dims if dims is not None else _dims(chunk)
-        held = spark.sparkContext.broadcast((chunk["question_id"].tolist(), _matrix(chunk["vector"], width).T))
+        held = spark.sparkContext.broadcast(_held(chunk, width, cosine))
 
         def best(batches: Iterator[pd.DataFrame], held=held, width=width) -> Iterator[pd.DataFrame]:
             ids, q = held.value
@@ -86,6 +112,9 @@ def top_scores(entities: DataFrame, questions: DataFrame, k: int, threshold: flo
                     fitting = batch["vector"].map(len) == width
                     batch = batch[fitting]
                     block = _matrix(batch["vector"], width)
+                if cosine:
+                    block, nonzero = _unit(block)
+                    batch = batch[nonzero]
                 if not len(batch) or not ids:
                     continue
                 scores = np.round(block @ q, 6) + 0.0
@@ -113,7 +142,7 @@ def _leading(scores: np.ndarray, k: int, threshold: float | None) -> tuple[np.nd
 
 
 def group_scores(entities: DataFrame, questions: DataFrame, threshold: float | None, dims: int | None = None) -> DataFrame:
-    """(question_id, group_key, total, n): sums of scores above ``threshold`` per question and group.
+    """(question_id, group_key, total, n): sums of cosines above ``threshold`` per question and group.
 
     ``entities`` has ``group_key`` and ``vector``.  Each task folds its own rows first, so a group
     holding a third of all rows reaches the shuffle as one row per question and task.
@@ -122,15 +151,17 @@ def group_scores(entities: DataFrame, questions: DataFrame, threshold: float | N
     parts = []
     for chunk in question_chunks(questions.select("question_id", "vector")):
         width = dims if dims is not None else _dims(chunk)
-        held = spark.sparkContext.broadcast((chunk["question_id"].tolist(), _matrix(chunk["vector"], width).T))
+        held = spark.sparkContext.broadcast(_held(chunk, width, True))
 
         def fold(batches: Iterator[pd.DataFrame], held=held, width=width) -> Iterator[pd.DataFrame]:
             ids, q = held.value
             for batch in batches:
                 batch = batch[batch["vector"].map(len) == width]
+                block, nonzero = _unit(_matrix(batch["vector"], width))
+                batch = batch[nonzero]
                 if not len(batch) or not ids:
                     continue
-                scores = _matrix(batch["vector"], width) @ q
+                scores = block @ q
                 wanted = np.ones(scores.shape, dtype=bool) if threshold is None else scores > threshold
                 codes, names = pd.factorize(batch["group_key"])
                 order = np.argsort(codes, kind="stable")

@@ -10,6 +10,7 @@ from kitescope.operators import graph
 from kitescope.plans.registry import query
 from kitescope.plans.retrieval_queries import COLS, ENTITY_HAY, exploded_sql, term_top_sql
 from kitescope.plans.text_queries import SEEDS
+from kitescope.session import cut_lineage
 
 WEIGHT = "CASE rel_type " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in fixed.EDGE_WEIGHTS.items()) + " ELSE 0.5 END"
 
@@ -240,7 +241,7 @@ class Small:
     """Shared pieces of the small graph."""
 
     def __init__(self, c):
-        self.questions, self.vertices, self.edges = c("gs_questions"), c("gs_vertices"), edges(c, "gs")
+        self.questions, self.vertices, self.edges = c("gs_questions"), c("gs_vertices"), cut_lineage(edges(c, "gs"))
         self.hubs = graph.degree_hubs(self.vertices, self.edges, threshold=HUB_AT)
         self.bridges = graph.betweenness_bridges(graph.betweenness(self.vertices, self.edges), threshold=BRIDGE_AT)
         self.seeds = graph.semantic_seeds(self.questions, self.vertices)
