@@ -214,6 +214,16 @@ def inputs_of(name: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", CARRIERS[name])))
 
 
+# tables whose rows are turned into long texts or many terms, so that one task per file is too coarse
+WIDE_WORK = {"documents", "orders", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows to all tasks when the input has fewer files than tasks; large inputs stay as read."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 class Carriers:
     """Spark DataFrames of the carriers over one data folder."""
 
@@ -226,6 +236,7 @@ class Carriers:
         if name not in self._made:
             if name in BASE_TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = spread(df) if name in WIDE_WORK else df
             else:
                 inputs = {n: self(n) for n in inputs_of(name)}
                 text = self._protect(_fill_dialect(CARRIERS[name], "spark"), inputs)

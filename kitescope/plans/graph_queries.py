@@ -8,7 +8,7 @@ from kitescope.functions import fixed_values as fixed
 from kitescope.functions import vectors
 from kitescope.operators import graph
 from kitescope.plans.registry import query
-from kitescope.plans.retrieval_queries import COLS, ENTITY_HAY, exploded_sql, term_top_sql
+from kitescope.plans.retrieval_queries import COLS, ENTITY_HAY, cut_sql, exploded_sql, term_top_sql
 from kitescope.plans.text_queries import SEEDS
 from kitescope.session import cut_lineage
 
@@ -84,18 +84,6 @@ def g4(c):
     return graph.neighbour_attention(c("gl_questions"), c("gl_vertices"), edges(c, "gl")).select(*COLS)
 
 
-@query(
-    "g4_attention_ranks",
-    f"""WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')}
-SELECT a.question_id, a.entity, a.rank FROM att a JOIN gl_vertices v ON v.name = a.entity JOIN gl_questions q ON q.question_id = a.question_id WHERE starts_with(v.description, substr(q.question_id, 3))""",
-)
-def g4_ranks(c):
-    v, q = c("gl_vertices"), c("gl_questions")
-    named = v.withColumn("part_name", F.regexp_extract("description", r"^(\S+ \S+)", 1)).filter(F.col("name").startswith("part"))
-    wanted = named.join(q.withColumn("part_name", F.substring("question_id", 3, 1000)), "part_name").select("question_id", F.col("name").alias("entity"))
-    return graph.attention_ranks(q, v, edges(c, "gl"), wanted)
-
-
 def overlap_sql(desc: str, words: str) -> str:
     return f"CASE WHEN {desc} = '' OR len({words}) = 0 THEN 0 ELSE len(list_filter({words}, lambda t: contains(lower({desc}), t))) / CAST(len({words}) AS DOUBLE) END"
 
@@ -132,6 +120,16 @@ def g6(c):
     return graph.greedy_paths(c("gl_questions"), seeds, c("gl_vertices"), e)
 
 
+@query(
+    "g4_attention_ranks",
+    f"""WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')}, {paths_sql('gl', 'gl_questions')}
+SELECT a.question_id, a.entity, a.rank FROM att a JOIN rl ON rl.question_id = a.question_id AND rl.entity = a.entity""",
+)
+def g4_ranks(c):
+    # the vertices of the greedy paths: at most eleven per question
+    return graph.attention_ranks(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), g6(c))
+
+
 def seeds_sql(questions: str, hay: str, per_term: int = 3) -> str:
     return f"""asked AS ({exploded_sql(SEEDS, questions)}), top AS ({term_top_sql('asked', hay, per_term)}),
  seeds AS (SELECT a.question_id, t.name AS entity, row_number() OVER (PARTITION BY a.question_id ORDER BY a.pos, t.place) AS rank FROM asked a JOIN top t ON a.term = t.term)"""
@@ -276,14 +274,14 @@ LIST_NO = "CASE method WHEN 'Keyword' THEN 0 WHEN 'Vector' THEN 1 WHEN 'TFIDF' T
     "g15_rank_ensemble",
     f"""WITH l AS (SELECT question_id, part_name AS entity, CAST(position AS BIGINT) AS rank, {LIST_NO} AS list_no FROM r_predictions),
  s AS (SELECT question_id, entity, round(sum(CASE list_no WHEN 0 THEN 0.4::DOUBLE ELSE 0.3 END / rank), 6) AS score FROM l WHERE list_no < 3 GROUP BY 1, 2)
-SELECT question_id, entity, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entity) AS INT) AS rank FROM s""",
+{cut_sql('SELECT * FROM s', 10)}""",
 )
 def g15(c):
     lists = c("r_predictions").select(
         "question_id", F.col("part_name").alias("entity"), F.col("position").alias("rank"),
         F.when(F.col("method") == "Keyword", 0).when(F.col("method") == "Vector", 1).when(F.col("method") == "TFIDF", 2).otherwise(3).alias("list_no"),
     )
-    return graph.rank_ensemble(lists).select(*COLS)
+    return graph.rank_ensemble(lists, n=10).select(*COLS)
 
 
 @query(
