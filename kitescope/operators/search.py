@@ -66,8 +66,9 @@ def term_first_entities(terms: DataFrame, postings: DataFrame, n: int) -> DataFr
     needles = terms.select("term").distinct()
     found = matching_tokens(needles.filter(F.col("term") != ""), leading.select("token").distinct())
     named = found.join(leading, "token").select("term", "name").distinct()
-    anything = postings.select("name").distinct().orderBy("name").limit(n)
-    blank = needles.filter(F.col("term") == "").join(F.broadcast(anything))  # n rows
+    # the first n entities of all are among the first n of each of their tokens; n names fit one row
+    first = leading.select("name").distinct().orderBy("name").limit(n).agg(F.collect_list("name").alias("names")).select("names").scalar()
+    blank = needles.filter(F.col("term") == "").withColumn("names", first).select("term", F.explode("names").alias("name"))
     return top_by(named.unionByName(blank.select("term", "name")), ["term"], ["name"], n, "place")
 
 
