@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitescope.llm import quality_rules
+from kitescope.llm import quality_rules, secret_scan, sharding
 from kitescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Shards of op10.
+SHARDS = 40
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
@@ -28,3 +31,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~base).alias("base_failed"),
         (base & quality_rules.passes(F.col("fail_bits"))).alias("kept"),
         "fail_bits", "n_lines", "n_upper")
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, name = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col(name)["base"], F.col(name)["spans"]
+    return rows.select(
+        "doc_id", *[secret_scan.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number")
