@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitescope.llm import quality_rules, secret_scan, sharding
+from kitescope.llm import decontaminate, quality_rules, secret_scan, sharding
 from kitescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, name = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    hits = F.col(name)
+    return judged.select(
+        "doc_id", hits["n_words"].alias("n_words"), hits["n_hit"].alias("n_hit"),
+        F.size(hits["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hits["items"], ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(hits).alias("contaminated"))
