@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitescope.llm import decontaminate, quality_rules, secret_scan, sharding
+from kitescope.llm import decontaminate, near_dedup, quality_rules, secret_scan, sharding
 from kitescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size(hits["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(hits["items"], ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.contaminated(hits).alias("contaminated"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
