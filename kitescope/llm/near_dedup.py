@@ -7,9 +7,10 @@
    Sets of six and seven shingles use shorter runs, and smaller sets can only link when equal.
 3. The overlapping documents are matched exactly.  Shingles are ordered from rare to common; a link needs a common shingle
    among the first n - ceil(0.85 n) + 1 of both, so only those go to lists.  Lists with the same members count once.
-4. One task takes a list, or two blocks of a long list, estimates similarity from the union of two sketches, verifies
+4. Lists of up to ``SMALL`` members propose pairs, which the union of two sketches sifts before whole sets decide.  Of a
+   longer list one task takes it all, or two blocks of it, estimates similarity from the union of two sketches, verifies
    survivors on the full sets, and returns only links that join two parts of the list.  Members of the list's largest part
-   are never compared with each other, and no list of pairs is ever written.
+   are never compared with each other, and its pairs are never written.
 5. Links close to components by large-star and small-star steps.
 
 Defined results: texts without words, null texts included, have empty sets and are linked with nothing; a null id gets the
@@ -33,6 +34,8 @@ from kitescope.llm.common import free_name, store
 K = 64
 RUN = 4
 PERCENT = 85
+#: Lists of so many members propose their pairs, at most SMALL - 1 for an entry; longer lists are matched inside tasks.
+SMALL = 16
 #: Bytes of sets that one block of a list may hold.
 BLOCK_BYTES = 16 << 20
 #: An estimate this far below the threshold is rejected: six standard errors of 64 values at 0.85.
@@ -176,6 +179,24 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["digest", "n", "shingles"])
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sketches leave the threshold possible, judged on the sketch of their union."""
+    if not len(s) or not len(t):
+        return False
+    reach = min(s[-1], t[-1])
+    s, t = s[:np.searchsorted(s, reach, "right")], t[:np.searchsorted(t, reach, "right")]
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both >= (PERCENT / 100 - MARGIN) * (len(s) + len(t) - both)
+
+
+def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s, t = batch.column("s"), batch.column("t")
+        sv, so, tv, to = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy(), t.values.to_numpy().view(np.uint64), t.offsets.to_numpy()
+        stay = pa.array([similar(sv[so[i]:so[i + 1]], tv[to[i]:to[i + 1]]) for i in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(stay), batch.column("b").filter(stay)], ["a", "b"])
+
+
 class _Parts:
     """Union-find over a list's members."""
 
@@ -320,13 +341,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     """One row per document: key, doc_id, n_shingles, component_id, kept."""
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     drawn = store(texts.mapInArrow(_sketch_batches, "key long, doc_id long, n long, digest binary, runs array<long>"), "sketches")
-    # Equal sets: one representative, with the smallest id.
-    groups = drawn.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"))
-    # Lists of retained runs; copies of a set would only repeat its entries.
-    entries = drawn.filter(F.size("runs") > 0).select("digest", F.explode("runs").alias("run")).distinct()
-    common = entries.groupBy("run").agg(F.count("*").alias("members")).filter("members > 1").select("run")
-    overlapping = entries.join(common, "run", "left_semi").select("digest").distinct()
-    wanted = store(groups.join(overlapping, "digest", "left_semi").select("key", "digest", "n"), "overlapping")
+    # Equal sets: one representative, and the smallest id among them.
+    groups = store(drawn.filter("n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("key", "n", "runs")).alias("one")).select("digest", "least", "one.*"), "groups")
+    # Lists of retained runs: who shares one with another set.
+    entries = groups.filter(F.size("runs") > 0).select("digest", F.explode("runs").alias("run"))
+    own = Window.partitionBy("run")
+    overlapping = entries.select("digest", F.min("digest").over(own).alias("lo"), F.max("digest").over(own).alias("hi"))
+    overlapping = overlapping.filter("lo != hi").select("digest").distinct()
+    wanted = store(groups.select("key", "digest").join(overlapping, "digest", "left_semi"), "overlapping")
     sets = texts.join(wanted.select("key"), "key", "left_semi").select("text").mapInArrow(_set_batches, "digest binary, n long, shingles array<long>")
     sets = store(sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
     links = exact_links(sets, block_bytes)
@@ -344,9 +367,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
 def exact_links(sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) between digests that join the components of sets (digest, n, shingles)."""
     postings = sets.select("digest", "n", F.explode("shingles").alias("list"))
-    counts = postings.groupBy("list").agg(F.count("*").alias("df")).filter("df > 1")
+    counted = postings.withColumn("df", F.count("*").over(Window.partitionBy("list"))).filter("df > 1")
     own = Window.partitionBy("digest")
-    ranked = postings.join(counts, "list").select(
+    ranked = counted.select(
         "list", "digest", "n", F.count("*").over(own).alias("m"), F.row_number().over(own.orderBy("df", "list")).alias("r"))
     # Shingles of one document alone come first in the order from rare to common and use up the prefix.
     length = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1
@@ -355,8 +378,32 @@ def exact_links(sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         F.count("*").alias("members"), F.sum("n").alias("total"),
         F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")).filter("members > 1")
     once = lists.groupBy("members", "x", "y").agg(F.min("list").alias("list"), F.first("total").alias("total"))
+    once = store(prefix.select("list", "digest", "n").join(once, "list"), "lists")
+    small, long = once.filter(F.col("members") <= SMALL), once.filter(F.col("members") > SMALL)
+    return _pair_links(small, sets).union(_block_links(long, sets, block_bytes))
+
+
+def _pair_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among lists of at most SMALL members: each entry meets the fewer than SMALL others of its list."""
+    other = lists.select("list", F.col("digest").alias("b"), F.col("n").alias("n_b"))
+    pairs = lists.select("list", F.col("digest").alias("a"), F.col("n").alias("n_a")).join(other, "list")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
+    pairs = pairs.select("a", "b").distinct()
+    # The union of two sketches estimates first; only survivors take whole sets along.
+    short = sets.select("digest", F.slice("shingles", 1, K).alias("sketch"))
+    close = pairs.join(short.select(F.col("digest").alias("a"), F.col("sketch").alias("s")), "a")
+    close = close.join(short.select(F.col("digest").alias("b"), F.col("sketch").alias("t")), "b")
+    close = store(close.mapInArrow(_estimate_batches, "a binary, b binary"), "close")
+    full = close.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("s")), "a")
+    full = full.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("t")), "b")
+    both = F.size(F.array_intersect("s", "t"))
+    return store(full.filter(100 * both >= PERCENT * (F.size("s") + F.size("t") - both)).select("a", "b"), "links")
+
+
+def _block_links(lists: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
+    """Links that join the parts of long lists, found block by block."""
     blocks = F.expr(f"cast(8 * total div {block_bytes} + 1 as int)")
-    placed = prefix.select("list", "digest").join(once.select("list", blocks.alias("blocks")), "list")
+    placed = lists.select("list", "digest", blocks.alias("blocks"))
     mine = F.pmod(F.xxhash64("digest", F.lit(2)), F.col("blocks")).cast("int")
     # Every two blocks of a list meet once: block i goes to (i, j) and (j, i) for all j.
     placed = placed.withColumn("mine", mine).select("list", "digest", F.explode(F.transform(
