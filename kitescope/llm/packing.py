@@ -87,9 +87,15 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 8) -> list[list[int]]:
-    """Local search among underfull bins; every step moves tokens from an emptier to a fuller bin."""
+    """Local search among underfull bins; every step moves tokens from an emptier to a fuller bin.
+
+    It ends when no fewer bins could hold the tokens.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
+    spare = len(bins) - math.ceil(sum(fill) / capacity)
     for _ in range(rounds):
+        if spare <= 0:
+            break
         order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
         changed = False
         for at, donor in enumerate(order):
@@ -105,7 +111,10 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
                     fill[taker] += gain
                     changed = True
                 if not fill[donor]:
+                    spare -= 1
                     break
+            if spare <= 0:
+                break
         if not changed:
             break
     return [b for b in bins if b]

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces remembered per worker process; a full memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+| ?[^{_LETTERS} ]+")
 #: Blanks before blanks, apostrophes (contractions) and characters that may be letters beyond Latin.
@@ -52,14 +52,26 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for null."""
-        cut, new = [], set()
-        for text in texts:
-            pieces = None if not text or _UNSURE.search(text) else _PIECE.findall(text)
-            cut.append(pieces)
-            new.update(pieces or ())
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         known = self.ids
-        self._learn([x for x in new if x not in known])
+        cut, new = [], set()
+        for text in texts:
+            if not text or _UNSURE.search(text):
+                cut.append(None)
+                continue
+            pieces = _PIECE.findall(text)
+            found = list(map(known.get, pieces))
+            if None in found:
+                new.update(x for x, ids in zip(pieces, found) if ids is None)
+                cut.append(pieces)
+            else:
+                cut.append(b"".join(found))
+        self._learn(list(new))
         for text, pieces in zip(texts, cut):
-            yield b"".join([known[x] for x in pieces]) if pieces is not None else self.whole(text) if text else b""
+            if isinstance(pieces, bytes):
+                yield pieces
+            elif pieces:
+                yield b"".join(map(known.__getitem__, pieces))
+            else:
+                yield self.whole(text) if text else b""
