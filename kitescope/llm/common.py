@@ -46,3 +46,14 @@ def lower_ascii(text: Column) -> Column:
 def split_words(text: Column, separators: str) -> Column:
     """The words of ``text`` in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
+
+
+def keep_where(df: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows that meet a condition on computed columns.
+
+    A filter would be pushed below the projections that compute its columns, and repeat their work for every mention.  A row
+    mark in the condition, whose value is not deterministic for the optimiser, keeps it above them.
+    """
+    mark = free_name(df, "mark")
+    marked = df.withColumn(mark, F.monotonically_increasing_id())
+    return marked.filter(condition & (F.col(mark) >= 0)).select(*[F.col(f"`{c}`") for c in columns])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kitescope.llm.common import NOT_WORD_RUN, free_name, lower_ascii, split_words, store
+from kitescope.llm.common import NOT_WORD_RUN, free_name, keep_where, lower_ascii, split_words, store
 
 WIDTH = 13
 SLOP = 3
@@ -166,4 +166,4 @@ def contaminated(hits: Column) -> Column:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     judged, name = contamination(docs, items)
-    return judged.filter(~contaminated(F.col(f"`{name}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_where(judged, ~contaminated(F.col(f"`{name}`")), docs.columns)

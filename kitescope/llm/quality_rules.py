@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kitescope.llm.common import BLANK_RUN, NOT_BLANK, free_name, split_words
+from kitescope.llm.common import BLANK_RUN, NOT_BLANK, free_name, keep_where, split_words
 
 WINDOW = 5
 
@@ -128,7 +128,7 @@ def passes(bits: Column, policy: str = CURRENT, policies=POLICIES) -> Column:
 def filter_documents(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
     """The documents that a policy keeps, with their columns as they were."""
     work, name = measure(docs, text_col)
-    return work.filter(passes(bits_of(F.col(f"`{name}`")), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_where(work, passes(bits_of(F.col(f"`{name}`")), policy), docs.columns)
 
 
 def ablation(rows: DataFrame, policy: str = CURRENT, by: tuple[str, ...] = ()) -> DataFrame:
