@@ -28,13 +28,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     The copy cuts lineage, survives lost executors and knows its size; later readers prune its columns.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
