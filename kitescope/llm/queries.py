@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitescope.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan, sharding
+from kitescope.llm import (
+    decontaminate, language_id, near_dedup, packing, quality_rules, repair_tokens, secret_scan, sharding, token_counts,
+)
 from kitescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +81,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.read(repair_tokens.write(table(spark, sf_dir, "documents"), tokenizer_path()))
