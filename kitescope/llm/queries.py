@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitescope.llm import (
-    decontaminate, language_id, near_dedup, packing, quality_rules, repair_tokens, secret_scan, sharding, token_counts,
+    decontaminate, language_id, near_dedup, packing, quality_rules, repair_tokens, secret_scan, sharding, suffix_dedup,
+    token_counts,
 )
 from kitescope.llm.common import table
 
@@ -99,3 +100,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.read(repair_tokens.write(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
