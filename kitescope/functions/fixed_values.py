@@ -104,7 +104,7 @@ TEXT_SCORE_WEIGHTS = {
 }
 RECOMMENDATION_LADDER = [
     "Excellent for precise ranking (use when you need exact best table)",
-    "Excellent for comprehensive retrieval (use for graph traversal)",
+    "Excellent for comprehensive retrieval (use for network traversal)",
     "Excellent for coverage (finds most relevant tables)",
     "Excellent for fast reliable retrieval",
     "Best for real-time applications (very fast)",

@@ -1,7 +1,9 @@
-"""Building the catalog graph: nodes, relationships, dates, profiles and checks."""
+"""Building the catalog network: nodes, relationships, dates, profiles and checks."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kitescope.functions import naming, vectors
@@ -122,35 +124,20 @@ def key_like_columns(columns: DataFrame, min_confidence: float = 0.7) -> DataFra
     )
 
 
-def infer_relationships(columns: DataFrame, pair_limit: int = 32, min_confidence: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """K7: tables that share an equally named key-like column, as ``(pairs, hubs)``.
+def infer_relationships(columns: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """K7: tables that share an equally named key-like column, as member lists.
 
-    A column name carried by n tables relates n(n-1)/2 pairs.  Names carried by at most
-    ``pair_limit`` tables come out as explicit pairs (earlier table first).  A more common name is
-    kept exactly as its member list in ``hubs`` - one row per table with the group size - because
-    writing out its pairs would grow with the square of the catalog.  Together the two frames hold
-    every relationship once; :func:`relationship_totals` counts them and
-    :func:`relationships_of` expands any chosen tables.
+    A column name carried by n tables relates n(n-1)/2 pairs, so pairs would grow with the square of the
+    catalog.  Every shared name is kept as its list instead: one row per table with the size of the list.
+    :func:`relationship_totals` counts the pairs and :func:`relationships_of` expands chosen tables.
     """
     keyed = key_like_columns(columns, min_confidence)
-    sizes = keyed.groupBy("name").agg(F.count("*").alias("group_size"))
-    confidence = naming.relationship_confidence(F.col("name"))
-    kind = naming.relationship_type(F.col("name"))
-
-    small = keyed.join(sizes.filter((F.col("group_size") >= 2) & (F.col("group_size") <= pair_limit)).select("name"), "name")
-    left = small.select(F.col("name").alias("from_column"), F.col("table_name").alias("from_table"), F.col("ord").alias("from_ord"))
-    right = small.select(F.col("name").alias("to_column"), F.col("table_name").alias("to_table"), F.col("ord").alias("to_ord"))
-    same_name = (F.col("from_column") == F.col("to_column")) & (F.col("from_ord") < F.col("to_ord"))
-    pairs = left.join(right, same_name).select(
-        "from_table", "to_table", "from_column", "to_column",
-        naming.relationship_type(F.col("from_column")).alias("relationship_type"),
-        naming.relationship_confidence(F.col("from_column")).alias("confidence"),
-    )
-    hubs = keyed.join(sizes.filter(F.col("group_size") > pair_limit), "name").select(
+    sizes = keyed.groupBy("name").agg(F.count("*").alias("group_size")).filter("group_size > 1")
+    return keyed.join(sizes, "name").select(
         "table_name", "ord", F.col("name").alias("column_name"), "group_size",
-        kind.alias("relationship_type"), confidence.alias("confidence"),
+        naming.relationship_type(F.col("name")).alias("relationship_type"),
+        naming.relationship_confidence(F.col("name")).alias("confidence"),
     )
-    return pairs, hubs
 
 
 def relationship_totals(columns: DataFrame, min_confidence: float = 0.7) -> DataFrame:
@@ -188,22 +175,61 @@ def domain_rule_relationships(rules: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
-def merge_relationships(curated: DataFrame, inferred: DataFrame) -> DataFrame:
-    """One edge per (unordered table pair, columns); curated edges win, then the first by name.
+def merge_relationships(explicit: list[DataFrame], members: DataFrame) -> DataFrame:
+    """One edge per (unordered table pair, columns), as inferred lists plus explicit edges.
 
-    The winner is an aggregate, so copies of one edge are folded before the shuffle.
+    ``explicit`` holds edges in order of precedence (curated ones, then rules); each wins over the inferred edge
+    with its key.  Rows have ``form`` 'member' (a table of a list of inferred edges) or 'edge'; an edge that stands
+    for an inferred one says in ``replaces`` of which type that was.
     """
-    both = curated.select(*RELATIONSHIP_COLUMNS, F.lit(0).alias("priority")).unionByName(
-        inferred.select(*RELATIONSHIP_COLUMNS, F.lit(1).alias("priority"))
-    )
-    record = F.struct(
-        "priority", "from_table", "to_table", "relationship_type", "confidence", "from_column", "to_column"
-    )
-    best = both.groupBy(
+    ranked = [df.select(*RELATIONSHIP_COLUMNS, F.lit(i).alias("priority")) for i, df in enumerate(explicit)]
+    record = F.struct("priority", "from_table", "to_table", "relationship_type", "confidence", "from_column", "to_column")
+    best = reduce(DataFrame.unionByName, ranked).groupBy(
         F.least("from_table", "to_table").alias("a"), F.greatest("from_table", "to_table").alias("b"),
         F.col("from_column").alias("ca"), F.col("to_column").alias("cb"),
     ).agg(F.min(record).alias("r"))
-    return best.select(*[F.col(f"r.{c}").alias(c) for c in RELATIONSHIP_COLUMNS])
+    # an inferred edge has one name on both sides and both tables in the name's list
+    listed = members.select("table_name", "column_name", "relationship_type")
+    first = listed.select(F.col("table_name").alias("a"), F.col("column_name").alias("ca"), F.col("relationship_type").alias("replaces"))
+    second = listed.select(F.col("table_name").alias("b"), F.col("column_name").alias("cb"), F.lit(True).alias("both"))
+    met = best.join(first, ["a", "ca"], "left").join(second, ["b", "cb"], "left")
+    replaced = F.when((F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b")) & F.col("both"), F.col("replaces"))
+    edges = met.select(
+        F.lit("edge").alias("form"), *[F.col(f"r.{c}").alias(c) for c in RELATIONSHIP_COLUMNS],
+        F.lit(None).cast("bigint").alias("group_size"), replaced.alias("replaces"))
+    lists = members.select(
+        F.lit("member").alias("form"), F.col("table_name").alias("from_table"), F.lit(None).cast("string").alias("to_table"),
+        F.col("column_name").alias("from_column"), F.col("column_name").alias("to_column"), "relationship_type", "confidence",
+        "group_size", F.lit(None).cast("string").alias("replaces"))
+    return edges.unionByName(lists)
+
+
+def merged_totals(merged: DataFrame) -> DataFrame:
+    """Exact number of merged edges per type."""
+    lists = merged.filter("form = 'member'").groupBy("from_column", "relationship_type").agg(F.max("group_size").alias("n"))
+    inferred = lists.select("relationship_type", F.expr("n * (n - 1) DIV 2").alias("n"))
+    edges = merged.filter("form = 'edge'")
+    gained = edges.select("relationship_type", F.lit(1).cast("bigint").alias("n"))
+    lost = edges.filter("replaces IS NOT NULL").select(F.col("replaces").alias("relationship_type"), F.lit(-1).cast("bigint").alias("n"))
+    return inferred.unionByName(gained).unionByName(lost).groupBy("relationship_type").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def merged_edges_of(merged: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Every merged edge of the chosen tables: (seed, related, from_column, to_column, relationship_type)."""
+    seeds = chosen.select(F.col("table_name").alias("seed")).distinct()
+    lists, edges = merged.filter("form = 'member'"), merged.filter("form = 'edge'")
+    mine = lists.join(seeds, F.col("from_table") == F.col("seed")).select("seed", "from_column", "relationship_type")
+    inferred = mine.join(lists.select("from_column", F.col("from_table").alias("related")), "from_column").filter("seed != related")
+    inferred = inferred.select(
+        F.least("seed", "related").alias("a"), F.greatest("seed", "related").alias("b"), F.col("from_column").alias("ca"), "seed", "related", "relationship_type")
+    gone = edges.filter("replaces IS NOT NULL").select(
+        F.least("from_table", "to_table").alias("a"), F.greatest("from_table", "to_table").alias("b"), F.col("from_column").alias("ca"))
+    left = inferred.join(gone, ["a", "b", "ca"], "left_anti").select(
+        "seed", "related", F.col("ca").alias("from_column"), F.col("ca").alias("to_column"), "relationship_type")
+    there = edges.select(F.col("from_table").alias("seed"), F.col("to_table").alias("related"), "from_column", "to_column", "relationship_type")
+    back = edges.filter("from_table != to_table").select(
+        F.col("to_table").alias("seed"), F.col("from_table").alias("related"), "from_column", "to_column", "relationship_type")
+    return left.unionByName(there.unionByName(back).join(seeds, "seed", "left_semi").select(*left.columns))
 
 
 # --- dates, statistics, checks ----------------------------------------------------------------------
@@ -234,7 +260,7 @@ def embedding_stats(metadata: DataFrame) -> DataFrame:
     return metadata.groupBy("provider", "dimensions", "model_version").agg(F.count("*").alias("n"))
 
 
-def verify_graph(tables: DataFrame, columns: DataFrame, counted: dict[str, DataFrame], edge_types: DataFrame, top: int = 5) -> DataFrame:
+def verify_network(tables: DataFrame, columns: DataFrame, counted: dict[str, DataFrame], edge_types: DataFrame, top: int = 5) -> DataFrame:
     """Counts per node table, type distributions and the widest tables, as (section, item, n).
 
     ``edge_types`` is (relationship_type, n) so that hub relationships count without being expanded.

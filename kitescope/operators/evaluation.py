@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kitescope.functions.sqltext import tables_in_sql
-from kitescope.operators.search import matching_tokens, top_by
+from kitescope.operators.search import top_by
 
 __all__ = ["tables_in_sql"]
 
@@ -18,17 +18,17 @@ PRECISION_CUTS = [1, 3, 5]
 HIT_CUTS = [3, 5, 10]
 
 
-def run_methods(outputs: dict[str, DataFrame], limit: int = 10) -> DataFrame:
+def run_methods(outputs: dict[str, DataFrame]) -> DataFrame:
     """Every method's output as one run, names trimmed, blanks and repeats dropped, re-ranked."""
     parts = [df.select("question_id", F.lit(m).alias("method"), "rank", "entity") for m, df in outputs.items()]
-    return clean_run(reduce(DataFrame.unionByName, parts), limit)
+    return clean_run(reduce(DataFrame.unionByName, parts))
 
 
-def clean_run(run: DataFrame, limit: int = 10) -> DataFrame:
-    """Trim, drop blanks, keep the first of repeated names, number again; lists hold ``limit`` names."""
+def clean_run(run: DataFrame) -> DataFrame:
+    """Trim, drop blanks, keep the first of repeated names, number again."""
     named = run.withColumn("entity", F.trim("entity")).filter(F.col("entity") != "")
     first = named.groupBy("question_id", "method", "entity").agg(F.min("rank").alias("first_rank"))
-    return top_by(first, ["question_id", "method"], ["first_rank", "entity"], limit).drop("first_rank")
+    return top_by(first, ["question_id", "method"], ["first_rank", "entity"], None).drop("first_rank")
 
 
 def pivot_wide(run: DataFrame, cells: DataFrame, methods: list[str]) -> DataFrame:
@@ -82,22 +82,14 @@ def basic_summary(evaluation: DataFrame) -> DataFrame:
 def match_positions(run: DataFrame, truth: DataFrame) -> DataFrame:
     """(question_id, method, entity, position) - first rank matching each true entity.
 
-    Names match when equal or one contains the other, in any case.  Which *names* match is settled
-    once over distinct names; predictions and truth then meet by equality only.
+    Names match when equal or one contains the other, in any case.  A prediction can only match a truth of
+    its own question, so the two meet by question and work grows with the lists of single questions.
     """
     said = run.select("question_id", "method", "rank", F.lower("entity").alias("said"))
     meant = truth.select("question_id", "entity", F.lower("entity").alias("meant"))
-    said_names = said.select("said").distinct()
-    meant_names = meant.select("meant").distinct()
-    inside = matching_tokens(meant_names.select(F.col("meant").alias("term")), said_names.select(F.col("said").alias("token"))).select(
-        F.col("term").alias("meant"), F.col("token").alias("said")
-    )
-    around = matching_tokens(said_names.select(F.col("said").alias("term")), meant_names.select(F.col("meant").alias("token"))).select(
-        F.col("token").alias("meant"), F.col("term").alias("said")
-    )
-    names = inside.unionByName(around).distinct()
+    matched = F.contains("said", "meant") | F.contains("meant", "said")
     return (
-        meant.join(names, "meant").join(said, ["question_id", "said"])
+        meant.join(said, "question_id").filter(matched)
         .groupBy("question_id", "method", "entity").agg(F.min("rank").alias("position"))
     )
 
@@ -199,10 +191,10 @@ def _said_true(low: Column, name: str) -> Column:
 def parse_judgements(responses: DataFrame) -> DataFrame:
     """Typed metrics from written judgements; unreadable ones fall back to patterns.
 
-    ``responses`` has question_id, method and response.  Coverage is kept in 0-100 and confidence in
+    ``responses`` has question_id, method, response and, where known, n_predicted, the length of the judged list.  Coverage is kept in 0-100 and confidence in
     0-1; hit rates default to the recall of the same cut.
     """
-    fields = JUDGE_FLAGS + ["coverage_percentage", "tables_found", "tables_needed", "confidence", "explanation", "retrieval_success", "most_important_table"]
+    fields = JUDGE_FLAGS + ["ground_truth_tables", "coverage_percentage", "tables_found", "tables_needed", "confidence", "explanation", "retrieval_success", "most_important_table"]
     rows = responses.withColumn("j", _parsed(F.col("response"), fields)).withColumn("low", F.lower("response"))
     readable = F.col("j").isNotNull() & F.col("j.broken").isNull()
     j = lambda name: F.col(f"j.{name}")
@@ -221,6 +213,11 @@ def parse_judgements(responses: DataFrame) -> DataFrame:
     digits = lambda name: F.coalesce(
         F.regexp_extract(low, name + r".*?([0-9.]+)", 1).try_cast("double"), F.lit(None).cast("double")
     )
+    # the list of an unreadable answer: quoted names inside the first brackets after its key
+    listed = F.regexp_extract("response", r"(?s)ground_truth_tables.*?\[(.*?)\]", 1)
+    loose_tables = F.regexp_extract_all(listed, F.lit('"([^"]+)"'), F.lit(1))
+    tables = F.when(readable, F.coalesce(F.from_json(j("ground_truth_tables"), "array<string>"), F.array().cast("array<string>"))).otherwise(loose_tables)
+    predicted = F.col("n_predicted") if "n_predicted" in responses.columns else F.lit(None)
     any_five = _said_true(low, "recall_at_5") | _said_true(low, "hit_rate_at_5") | _said_true(low, "precision_at_5")
     return rows.select(
         "question_id", "method", *flags,
@@ -228,11 +225,15 @@ def parse_judgements(responses: DataFrame) -> DataFrame:
         .otherwise(_clamp(F.coalesce(digits("coverage_percentage"), F.lit(0.0)), 0.0, 100.0)).alias("coverage_percentage"),
         F.when(readable, _clamp(number(j("confidence")), 0.0, 1.0))
         .otherwise(_clamp(F.coalesce(digits("confidence"), F.lit(0.5)), 0.0, 1.0)).alias("confidence"),
-        F.when(readable, number(j("tables_found")).cast("int")).otherwise(F.lit(0)).alias("tables_found"),
+        F.when(readable, number(j("tables_found")).cast("int")).otherwise(F.size(loose_tables)).alias("tables_found"),
         F.when(readable, F.substring(F.coalesce(j("explanation"), F.lit("")), 1, 200))
         .otherwise(F.concat(F.lit("Fallback parsing: "), F.substring("response", 1, 100), F.lit("..."))).alias("explanation"),
         F.when(readable, truthy(j("retrieval_success"))).otherwise(any_five).alias("retrieval_success"),
         F.when(readable, F.lit("json")).otherwise(F.lit("fallback")).alias("extraction_method"),
+        tables.alias("ground_truth_tables"),
+        F.when(readable, F.coalesce(j("most_important_table"), F.lit(""))).otherwise(F.coalesce(F.get(loose_tables, F.lit(0)), F.lit(""))).alias("most_important_table"),
+        F.when(readable, number(j("tables_needed")).cast("int")).otherwise(F.size(loose_tables)).alias("tables_needed"),
+        predicted.cast("int").alias("total_predicted"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Graph analytics over vertices (name, description) and edges (src, dst, rel_type) as joins."""
+"""Network analytics over vertices (name, description) and edges (src, dst, rel_type) as joins."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def edge_weight(rel_type: Column, weights: dict[str, float] = fixed.EDGE_WEIGHTS
     return F.coalesce(picked, F.lit(fixed.DEFAULT_EDGE_WEIGHT))
 
 
-def build_graph(vertices: DataFrame, edges: DataFrame, weights: dict[str, float] = fixed.EDGE_WEIGHTS) -> DataFrame:
+def build_network(vertices: DataFrame, edges: DataFrame, weights: dict[str, float] = fixed.EDGE_WEIGHTS) -> DataFrame:
     """G1: weighted directed edges without loops, both ends known, one per ordered pair (heaviest kept)."""
     names = vertices.select("name")
     known = (
@@ -125,7 +125,7 @@ def greedy_paths(
         found = found.unionByName(paths.select("question_id", F.col("current").alias("entity"), (F.col("seed_rank") * 10 + hop).alias("place")))
     first = found.groupBy("question_id", "entity").agg(F.min("place").alias("place"))
     # a list has the seeds plus at most walked x hops entries
-    return top_by(first, ["question_id"], ["place"], 1 << 20).select("question_id", "entity", "rank")
+    return top_by(first, ["question_id"], ["place"], None).select("question_id", "entity", "rank")
 
 
 # --- centrality -------------------------------------------------------------------------------------
@@ -152,12 +152,12 @@ def degree_hubs(vertices: DataFrame, edges: DataFrame, n: int = 5, threshold: fl
     return leading_vertices(degree_centrality(vertices, edges), n, threshold)
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None, source_groups: int = 1, max_depth: int = 64) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None, source_groups: int = 1) -> DataFrame:
     """(name, score): normalised undirected betweenness by level-wise path counting.
 
     All sources of a group advance one level per join; state is keyed (source, node) and saved after
     each level, so ``source_groups`` bounds it.  ``pivots`` uses that many sources (first by hash of
-    the name) and scales by n / pivots, the usual estimate for large graphs.
+    the name) and scales by n / pivots, the usual estimate for large networks.
     """
     adjacency = cut_lineage(_ends(edges).filter(F.col("src") != F.col("dst")).distinct())
     names = vertices.select("name")
@@ -169,27 +169,28 @@ def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None
     parts = []
     for group in range(source_groups):
         mine = chosen.filter(F.pmod(F.xxhash64("name"), F.lit(source_groups)) == group)
-        parts.append(_dependencies(mine, adjacency, max_depth))
+        parts.append(_dependencies(mine, adjacency))
     total = reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.sum("dependency").alias("d"))
     score = F.coalesce(F.col("d"), F.lit(0.0)) * F.lit(scale) / F.lit(float((n - 1) * (n - 2)))
     return names.join(total, "name", "left").select("name", F.round(score, 6).alias("score"))
 
 
-def _dependencies(sources: DataFrame, adjacency: DataFrame, max_depth: int) -> DataFrame:
+def _dependencies(sources: DataFrame, adjacency: DataFrame) -> DataFrame:
     """(name, dependency): share of shortest paths from the sources running through each vertex."""
     frontier = sources.select(F.col("name").alias("source"), F.col("name").alias("node"), F.lit(1.0).alias("paths"))
     levels = [cut_lineage(frontier)]
-    seen = levels[0].select("source", "node")
-    while len(levels) <= max_depth:
+    # edges go both ways, so a step from a level leads to the level before, the level itself or the next one
+    recent = levels[0].select("source", "node")
+    while True:
         grown = (
             levels[-1].join(adjacency, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            .join(seen, ["source", "node"], "left_anti")
+            .join(recent, ["source", "node"], "left_anti")
         )
         level = cut_lineage(grown)
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("source", "node"))
+        recent = levels[-2].select("source", "node").unionByName(level.select("source", "node"))
     through: list[DataFrame] = []
     # (source, node, paths, dependency) of the deepest level; nothing lies beyond it
     below = levels[-1].withColumn("dependency", F.lit(0.0))
@@ -219,7 +220,7 @@ def undirected_weights(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, save_every: int = 5, tolerance: float | None = None) -> DataFrame:
-    """(name, score): weighted PageRank on the undirected graph, unconnected mass spread evenly.
+    """(name, score): weighted PageRank on the undirected network, unconnected mass spread evenly.
 
     Ranks are saved every few rounds, which cuts the lineage and bounds what a lost executor costs.
     With ``tolerance`` the rounds end once the total change falls below n x tolerance.
@@ -304,7 +305,7 @@ def multilevel_score(seeds: DataFrame, structural: DataFrame, ranked: DataFrame)
     parts = [df.select("question_id", "entity").distinct().withColumn("w", F.lit(w)) for df, w in levels]
     scored = reduce(DataFrame.unionByName, parts).groupBy("question_id", "entity").agg(F.round(F.sum("w"), 6).alias("score"))
     # each level holds a short list per question, so the ranking is bounded by their sizes
-    return top_by(scored, ["question_id"], [F.desc("score"), "entity"], 1 << 20)
+    return top_by(scored, ["question_id"], [F.desc("score"), "entity"], None)
 
 
 def rank_ensemble(lists: DataFrame, weights: list[float] = fixed.ENSEMBLE_WEIGHTS, n: int | None = None) -> DataFrame:
@@ -317,7 +318,7 @@ def rank_ensemble(lists: DataFrame, weights: list[float] = fixed.ENSEMBLE_WEIGHT
         lists.withColumn("w", weight / F.col("rank")).filter(F.col("w").isNotNull())
         .groupBy("question_id", "entity").agg(F.round(F.sum("w"), 6).alias("score"))
     )
-    return top_by(scored, ["question_id"], [F.desc("score"), "entity"], n or 1 << 20)
+    return top_by(scored, ["question_id"], [F.desc("score"), "entity"], n)
 
 
 def advanced_retriever(
@@ -327,7 +328,7 @@ def advanced_retriever(
     """Ensemble of attention, greedy paths and multi-level scores; word seeds where all are empty.
 
     ``edges`` are the weighted edges of G1; ``ranks``, ``hubs`` and ``bridges`` are computed once per
-    graph.  The attention list is endless in principle: beyond its first ``max_tables`` entries it can
+    network.  The attention list is endless in principle: beyond its first ``max_tables`` entries it can
     only matter for vertices the two other (short) lists name, so just those get their exact place.
     """
     # short lists (and one small vector per vertex) are saved once instead of being recomputed per use

@@ -122,11 +122,11 @@ def semantic_seeds(questions: DataFrame, entities: DataFrame, per_term: int = 3,
     # a question's list has at most per_term rows per word, so numbering it is bounded by its length
     return top_by(
         found.select("question_id", "term_pos", "place", F.col("name").alias("entity")),
-        ["question_id"], ["term_pos", "place"], 1 << 30,
+        ["question_id"], ["term_pos", "place"], None,
     ).select("question_id", "entity", "rank")
 
 
-def graph_traversal(
+def network_traversal(
     questions: DataFrame, entities: DataFrame, edges: DataFrame, per_term: int = 2, first_terms: int | None = None,
     expanded_seeds: int = 3, per_seed: int = 5, n: int = 10,
 ) -> DataFrame:
@@ -145,8 +145,8 @@ def graph_traversal(
 
 
 def relationship_retriever(questions: DataFrame, entities: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
-    """As graph traversal, from the first three question words only."""
-    return graph_traversal(questions, entities, edges, per_term=2, first_terms=3, n=n)
+    """As network traversal, from the first three question words only."""
+    return network_traversal(questions, entities, edges, per_term=2, first_terms=3, n=n)
 
 
 # --- vectors --------------------------------------------------------------------------------------

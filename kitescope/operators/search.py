@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 GRAM = 3
 
 
-def top_by(df: DataFrame, keys: list[str], order: list, n: int, place: str = "rank") -> DataFrame:
-    """First ``n`` rows per key in a total order, with their place."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(place, F.row_number().over(window)).filter(F.col(place) <= n)
+def top_by(df: DataFrame, keys: list[str], order: list, n: int | None, place: str = "rank") -> DataFrame:
+    """First ``n`` rows per key in a total order, with their place; all rows where ``n`` is None."""
+    placed = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed if n is None else placed.filter(F.col(place) <= n)
 
 
 def tokens_of(*texts: Column) -> Column:

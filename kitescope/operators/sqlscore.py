@@ -145,7 +145,7 @@ def clause_tokens(segments: Column, clause: str) -> Column:
     """Distinct words and operators written under a clause keyword; punctuation and keywords left out."""
     start = CLAUSE_WORDS[clause] + "\u0002"
     mine = F.filter(segments, lambda s: F.lower(s).startswith(start))
-    bodies = F.array_join(F.transform(mine, lambda s: F.substring(s, len(start) + 1, 1 << 30)), " ")
+    bodies = F.array_join(F.transform(mine, lambda s: F.substr(s, F.lit(len(start) + 1))), " ")
     tokens = F.array_distinct(sqltext.find_all(bodies, r"'[^']*'|\w+|[^\w\s,.;()]"))
     return F.filter(tokens, lambda t: ~F.array_contains(strings(NOT_COUNTED), F.lower(t)))
 
@@ -289,7 +289,7 @@ def overall_b(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_texts(pairs: DataFrame, edit_distance: bool = False) -> DataFrame:
+def score_texts(pairs: DataFrame, edit_distance: bool = True) -> DataFrame:
     """All text scores of scorer B per pair; ``judge_score`` is used where the pairs carry one."""
     judge = F.col("judge_score") if "judge_score" in pairs.columns else F.lit(None).cast("double")
     base = pairs.select("pair_id", GENERATED, TRUTH, judge.alias("judge"), exact_match(pairs).alias("exact_match"),

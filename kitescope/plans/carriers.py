@@ -16,19 +16,19 @@ BASE_TABLES = (
     "benchmark labels conversations"
 ).split()
 
-METHODS = ["Keyword", "Vector", "TFIDF", "GraphTraversal", "GPT4"]
+METHODS = ["Keyword", "Vector", "TFIDF", "LinkTraversal", "GPT4"]
 
 DIALECT = {
     "spark": {
         "words_of": r"posexplode(regexp_extract_all(lower(text), r'[\p{L}\p{N}_]+', 0)) AS (pos, word)",
-        "methods": "LATERAL VIEW posexplode(array('Keyword','Vector','TFIDF','GraphTraversal','GPT4')) m AS midx, method",
+        "methods": "LATERAL VIEW posexplode(array('Keyword','Vector','TFIDF','LinkTraversal','GPT4')) m AS midx, method",
         "yyyymmdd": "date_format(o_orderdate, 'yyyyMMdd')",
         "bool_or": "bool_or",
     },
     "duckdb": {
         "words_of": r"generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) - 1 AS pos, "
         r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word",
-        "methods": "CROSS JOIN (VALUES (0,'Keyword'),(1,'Vector'),(2,'TFIDF'),(3,'GraphTraversal'),(4,'GPT4')) m(midx, method)",
+        "methods": "CROSS JOIN (VALUES (0,'Keyword'),(1,'Vector'),(2,'TFIDF'),(3,'LinkTraversal'),(4,'GPT4')) m(midx, method)",
         "yyyymmdd": "strftime(o_orderdate, '%Y%m%d')",
         "bool_or": "bool_or",
     },
@@ -79,7 +79,7 @@ FROM {orders}""",
     # --- vectors ------------------------------------------------------------------------------
     "v_entities": "SELECT 'vec_' || lpad(CAST(vec_id AS STRING), 8, '0') AS entity, 'table_' || CAST(label AS STRING) AS table_name, embedding FROM {embeddings}",
     "v_queries": "SELECT 'Q' || CAST(b.item_id AS STRING) AS question_id, e.embedding FROM {benchmark} b JOIN {embeddings} e ON b.item_id = e.vec_id",
-    # --- graphs -------------------------------------------------------------------------------
+    # --- networks -------------------------------------------------------------------------------
     "gs_edges": """
 SELECT 'world' AS src, 'region_' || CAST(r_regionkey AS STRING) AS dst, 'related' AS rel_type FROM {region}
 UNION ALL SELECT 'region_' || CAST(n_regionkey AS STRING), 'nation_' || CAST(n_nationkey AS STRING), 'foreign_key' FROM {nation}
@@ -110,7 +110,7 @@ FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}) seg""",
     "r_predictions": """
 SELECT 'Q' || CAST(l_orderkey AS STRING) AS question_id,
        CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'Keyword' WHEN 1 THEN 'Vector' WHEN 2 THEN 'TFIDF'
-         WHEN 3 THEN 'GraphTraversal' ELSE 'GPT4' END AS method,
+         WHEN 3 THEN 'LinkTraversal' ELSE 'GPT4' END AS method,
        l_linenumber AS position,
        'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS part_name,
        CASE WHEN l_partkey % 97 = 0 THEN '  ' WHEN l_linenumber % 4 = 0 THEN 'PART_' || lpad(CAST(l_partkey AS STRING), 8, '0')
@@ -151,10 +151,10 @@ FROM {r_cells}""",
 SELECT question_id, method, CASE CAST((ord + midx) % 5 AS INT)
   WHEN 0 THEN '```json' || chr(10) || '{"precision_at_1": true, "precision_at_3": true, "recall_at_5": true, "coverage_percentage": ' || CAST(ord % 130 AS STRING)
     || '.5, "confidence": 0.' || CAST(ord % 10 AS STRING) || ', "tables_found": ' || CAST(ord % 4 AS STRING) || ', "explanation": "seen ' || question || '"}' || chr(10) || '```'
-  WHEN 1 THEN 'Sure! {"precision_at_1": false, "hit_rate_at_3": true, "coverage_percentage": 140.5, "confidence": 1.7, "retrieval_success": true, "note": {"a": 1}} done'
+  WHEN 1 THEN 'Sure! {"precision_at_1": false, "hit_rate_at_3": true, "coverage_percentage": 140.5, "confidence": 1.7, "retrieval_success": true, "ground_truth_tables": ["orders", "part"], "most_important_table": "part", "tables_needed": 2, "note": {"a": 1}} done'
   WHEN 2 THEN 'precision_at_1: true' || chr(10) || 'recall_at_5 is Yes' || chr(10) || 'Coverage_Percentage = ' || CAST(ord % 130 AS STRING) || ' ; confidence ~ 0.' || CAST(ord % 10 AS STRING)
-  WHEN 3 THEN '{"precision_at_3": true, "hit_rate_at_10":  true, broken ' || CAST(ord AS STRING)
-  ELSE 'no idea about ' || question END AS response
+  WHEN 3 THEN '{"precision_at_3": true, "hit_rate_at_10":  true, "ground_truth_tables": ["doc_' || CAST(ord AS STRING) || '", "other"], broken ' || CAST(ord AS STRING)
+  ELSE 'no idea about ' || question END AS response, CAST((ord + midx) % 11 AS INT) AS n_predicted
 FROM {r_cells}""",
     "r_scores": """
 SELECT question_id, method, CASE CAST((ord + midx) % 3 AS INT)
@@ -214,16 +214,6 @@ def inputs_of(name: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", CARRIERS[name])))
 
 
-# tables whose rows are turned into long texts or many terms, so that one task per file is too coarse
-WIDE_WORK = {"documents", "orders", "conversations"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows to all tasks when the input has fewer files than tasks; large inputs stay as read."""
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
-
-
 class Carriers:
     """Spark DataFrames of the carriers over one data folder."""
 
@@ -236,7 +226,6 @@ class Carriers:
         if name not in self._made:
             if name in BASE_TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                df = spread(df) if name in WIDE_WORK else df
             else:
                 inputs = {n: self(n) for n in inputs_of(name)}
                 text = self._protect(_fill_dialect(CARRIERS[name], "spark"), inputs)

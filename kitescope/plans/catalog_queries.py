@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kitescope.functions import fixed_values as fixed
 from kitescope.functions import naming, vectors
@@ -17,12 +17,11 @@ REL_TYPE = """CASE WHEN ends_with(lower({c}), '_sk') THEN 'SURROGATE_KEY' WHEN l
  WHEN lower({c}) IN ('id', 'key') OR ends_with(lower({c}), 'id') THEN 'ID_MATCH' ELSE 'NO_MATCH' END"""
 REL_CONF = """CASE {t} WHEN 'SURROGATE_KEY' THEN 0.95::DOUBLE WHEN 'SMCP_MATCH' THEN 0.95 WHEN 'KEY_MATCH' THEN 0.9
  WHEN 'CODE_MATCH' THEN 0.85 WHEN 'ID_MATCH' THEN 0.8 ELSE 0 END"""
-PAIR_LIMIT = 24
 KEYED = f"""keyed AS (SELECT DISTINCT table_name, ord, name, {REL_TYPE.format(c='name')} AS kind FROM c_columns),
  strong AS (SELECT *, {REL_CONF.format(t='kind')} AS conf, count(*) OVER (PARTITION BY name) AS group_size FROM keyed WHERE kind <> 'NO_MATCH')"""
-PAIRS = f"""pairs AS (SELECT a.table_name AS from_table, b.table_name AS to_table, a.name AS from_column, b.name AS to_column,
- a.kind AS relationship_type, a.conf AS confidence FROM strong a JOIN strong b ON a.name = b.name AND a.ord < b.ord
- WHERE a.group_size <= {PAIR_LIMIT})"""
+# one edge per table and name, to the table before it in the name's list
+CHAIN = """chain AS (SELECT table_name AS from_table, before AS to_table, name, kind, conf FROM
+ (SELECT *, lag(table_name) OVER (PARTITION BY name ORDER BY ord) AS before FROM strong) x WHERE before IS NOT NULL)"""
 TYPE_SQL = first_match_sql("upper(name)", fixed.TABLE_TYPE_MARKS, "unknown")
 CATEGORY_SQL = first_match_sql("lower(name)", fixed.COLUMN_CATEGORY_MARKS, "unknown")
 
@@ -163,21 +162,10 @@ def k6(c):
 
 @query(
     "k7_infer_relationships",
-    f"""WITH {KEYED}, {PAIRS}
-SELECT 'pair' AS form, from_table, to_table, from_column AS column_name, relationship_type, confidence, CAST(2 AS BIGINT) AS group_size FROM pairs
-UNION ALL SELECT 'hub', table_name, NULL, name, kind, conf, group_size FROM strong WHERE group_size > {PAIR_LIMIT}""",
+    f"""WITH {KEYED} SELECT table_name, ord, name AS column_name, group_size, kind AS relationship_type, conf AS confidence FROM strong WHERE group_size > 1""",
 )
 def k7(c):
-    pairs, hubs = catalog.infer_relationships(c("c_columns"), PAIR_LIMIT)
-    return pairs.select(
-        F.lit("pair").alias("form"), "from_table", "to_table", F.col("from_column").alias("column_name"), "relationship_type", "confidence",
-        F.lit(2).cast("bigint").alias("group_size"),
-    ).unionByName(
-        hubs.select(
-            F.lit("hub").alias("form"), F.col("table_name").alias("from_table"), F.lit(None).cast("string").alias("to_table"), "column_name",
-            "relationship_type", "confidence", "group_size",
-        )
-    )
+    return catalog.infer_relationships(c("c_columns"))
 
 
 @query(
@@ -232,23 +220,48 @@ def k9(c):
     return catalog.domain_rule_relationships(rules(c), c("c_tables"))
 
 
+def chain(c) -> DataFrame:
+    """An edge from every listed table to the one before it in its name's list."""
+    members = catalog.infer_relationships(c("c_columns"))
+    before = F.lag("table_name").over(Window.partitionBy("column_name").orderBy("ord"))
+    return members.withColumn("before", before).filter("before IS NOT NULL").select(
+        F.col("table_name").alias("from_table"), F.col("before").alias("to_table"), F.col("column_name").alias("from_column"),
+        F.col("column_name").alias("to_column"), "relationship_type", "confidence",
+    )
+
+
+def merged(c) -> DataFrame:
+    curated = chain(c).filter(F.length("from_column") % 3 == 0).withColumn("relationship_type", F.lit("CURATED")).withColumn("confidence", F.lit(1.0))
+    return catalog.merge_relationships([curated, catalog.domain_rule_relationships(rules(c), c("c_tables"))], catalog.infer_relationships(c("c_columns")))
+
+
+MERGED = f"""{KEYED}, {CHAIN}, {RULES},
+ given AS (SELECT from_table, to_table, name AS from_column, name AS to_column, 'CURATED' AS relationship_type, 0 AS priority FROM chain WHERE length(name) % 3 = 0
+  UNION ALL SELECT from_table, to_table, from_column, to_column, relationship_type, 1 FROM rules WHERE from_table IN (SELECT name FROM c_tables) AND to_table IN (SELECT name FROM c_tables)),
+ edges AS (SELECT *, least(from_table, to_table) AS a, greatest(from_table, to_table) AS b FROM given
+  QUALIFY row_number() OVER (PARTITION BY least(from_table, to_table), greatest(from_table, to_table), from_column, to_column ORDER BY priority, from_table, to_table) = 1),
+ replaced AS (SELECT e.*, x.kind AS gone FROM edges e JOIN strong x ON x.table_name = e.a AND x.name = e.from_column
+  JOIN strong y ON y.table_name = e.b AND y.name = e.to_column WHERE e.from_column = e.to_column AND e.a <> e.b),
+ totals AS (SELECT relationship_type, CAST(sum(n) AS BIGINT) AS n FROM (
+   SELECT kind AS relationship_type, n * (n - 1) // 2 AS n FROM (SELECT name, kind, count(*) AS n FROM strong GROUP BY 1, 2) g WHERE n > 1
+   UNION ALL SELECT relationship_type, 1 FROM edges UNION ALL SELECT gone, -1 FROM replaced) t GROUP BY 1 HAVING sum(n) > 0)"""
+
+
 @query(
     "k10_merge_relationships",
-    f"""WITH {KEYED}, {PAIRS},
- curated AS (SELECT to_table AS from_table, from_table AS to_table, to_column AS from_column, from_column AS to_column, 'CURATED' AS relationship_type,
-   CAST(1 AS DOUBLE) AS confidence FROM pairs WHERE length(from_column) % 3 = 0),
- both_kinds AS (SELECT *, 0 AS priority FROM curated UNION ALL SELECT *, 1 FROM pairs),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY least(from_table, to_table), greatest(from_table, to_table), from_column, to_column
-   ORDER BY priority, from_table, to_table) AS rn FROM both_kinds)
-SELECT from_table, to_table, from_column, to_column, relationship_type, confidence FROM ranked WHERE rn = 1""",
+    f"""WITH {MERGED},
+ near AS (SELECT s.table_name AS seed, o.table_name AS related, s.name, s.kind FROM strong s JOIN c_tables t ON t.name = s.table_name AND t.table_type = 'calendar'
+  JOIN strong o ON o.name = s.name AND o.table_name <> s.table_name),
+ kept AS (SELECT n.seed, n.kind AS relationship_type FROM near n ANTI JOIN replaced r ON r.a = least(n.seed, n.related) AND r.b = greatest(n.seed, n.related) AND r.from_column = n.name
+  UNION ALL SELECT e.from_table, e.relationship_type FROM edges e JOIN c_tables t ON t.name = e.from_table AND t.table_type = 'calendar'
+  UNION ALL SELECT e.to_table, e.relationship_type FROM edges e JOIN c_tables t ON t.name = e.to_table AND t.table_type = 'calendar' WHERE e.from_table <> e.to_table)
+SELECT 'all tables' AS scope, relationship_type, n FROM totals UNION ALL SELECT seed, relationship_type, count(*) FROM kept GROUP BY 1, 2""",
 )
 def k10(c):
-    pairs, _ = catalog.infer_relationships(c("c_columns"), PAIR_LIMIT)
-    curated = pairs.filter(F.length("from_column") % 3 == 0).select(
-        F.col("to_table").alias("from_table"), F.col("from_table").alias("to_table"), F.col("to_column").alias("from_column"),
-        F.col("from_column").alias("to_column"), F.lit("CURATED").alias("relationship_type"), F.lit(1.0).alias("confidence"),
-    )
-    return catalog.merge_relationships(curated, pairs)
+    stored = merged(c)
+    chosen = c("c_tables").filter(F.col("table_type") == "calendar").select(F.col("name").alias("table_name"))
+    own = catalog.merged_edges_of(stored, chosen).groupBy(F.col("seed").alias("scope"), "relationship_type").agg(F.count("*").alias("n"))
+    return catalog.merged_totals(stored).select(F.lit("all tables").alias("scope"), "relationship_type", "n").unionByName(own)
 
 
 @query(
@@ -298,7 +311,7 @@ def k14(c):
 
 
 @query(
-    "k15_verify_graph",
+    "k15_verify_network",
     f"""WITH {KEYED}
 SELECT 'rows' AS section, 'tables' AS item, count(*) AS n FROM c_tables UNION ALL SELECT 'rows', 'columns', count(*) FROM c_columns
 UNION ALL SELECT 'rows', 'dates', count(*) FROM x_dates UNION ALL SELECT 'rows', 'embeddings', count(*) FROM embeddings
@@ -309,7 +322,7 @@ UNION ALL SELECT * FROM (SELECT 'widest', t.name, count(c.name) AS n FROM c_tabl
 def k15(c):
     counted = {"tables": c("c_tables"), "columns": c("c_columns"), "dates": c("x_dates"), "embeddings": c("embeddings")}
     edge_types = catalog.relationship_totals(c("c_columns")).withColumnRenamed("n_relationships", "n")
-    return catalog.verify_graph(c("c_tables"), c("c_columns"), counted, edge_types)
+    return catalog.verify_network(c("c_tables"), c("c_columns"), counted, edge_types)
 
 
 @query(

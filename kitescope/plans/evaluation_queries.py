@@ -204,20 +204,25 @@ CUT = r"""CASE WHEN regexp_extract(response, '(?s)\{.*\}') <> '' THEN regexp_ext
 
 @query(
     "e12_parse_judgements",
-    f"""WITH a AS (SELECT question_id, method, response, lower(response) AS low, {CUT} AS cut FROM r_answers),
+    f"""WITH a AS (SELECT question_id, method, response, n_predicted, lower(response) AS low, {CUT} AS cut,
+  regexp_extract_all(regexp_extract(response, '(?s)ground_truth_tables.*?\\[(.*?)\\]', 1), '"([^"]+)"', 1) AS loose FROM r_answers),
  b AS (SELECT *, json_valid(cut) AS ok, CASE WHEN json_valid(cut) THEN CAST(cut AS JSON) END AS j FROM a)
 SELECT question_id, method, {', '.join(_flag_sql(n) for n in evaluation.JUDGE_FLAGS)},
  CASE WHEN ok THEN least(greatest(coalesce(TRY_CAST(json_extract_string(j, '$.coverage_percentage') AS DOUBLE), 0), 0), 100)
   ELSE least(greatest(coalesce(TRY_CAST(regexp_extract(low, 'coverage_percentage.*?([0-9.]+)', 1) AS DOUBLE), 0), 0), 100) END AS coverage_percentage,
  CASE WHEN ok THEN least(greatest(coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0), 0), 1)
   ELSE least(greatest(coalesce(TRY_CAST(regexp_extract(low, 'confidence.*?([0-9.]+)', 1) AS DOUBLE), 0.5), 0), 1) END AS confidence,
- CASE WHEN ok THEN CAST(coalesce(TRY_CAST(json_extract_string(j, '$.tables_found') AS DOUBLE), 0) AS INT) ELSE 0 END AS tables_found,
+ CASE WHEN ok THEN CAST(coalesce(TRY_CAST(json_extract_string(j, '$.tables_found') AS DOUBLE), 0) AS INT) ELSE CAST(len(loose) AS INT) END AS tables_found,
  CASE WHEN ok THEN substr(coalesce(json_extract_string(j, '$.explanation'), ''), 1, 200) ELSE 'Fallback parsing: ' || substr(response, 1, 100) || '...' END AS explanation,
  CASE WHEN ok THEN {_truthy('retrieval_success')} ELSE {_said('recall_at_5')} OR {_said('hit_rate_at_5')} OR {_said('precision_at_5')} END AS retrieval_success,
- CASE WHEN ok THEN 'json' ELSE 'fallback' END AS extraction_method FROM b""",
+ CASE WHEN ok THEN 'json' ELSE 'fallback' END AS extraction_method,
+ coalesce(array_to_string(CASE WHEN ok THEN CAST(json_extract(j, '$.ground_truth_tables') AS VARCHAR[]) ELSE loose END, '|'), '') AS ground_truth_tables,
+ CASE WHEN ok THEN coalesce(json_extract_string(j, '$.most_important_table'), '') ELSE coalesce(loose[1], '') END AS most_important_table,
+ CASE WHEN ok THEN CAST(coalesce(TRY_CAST(json_extract_string(j, '$.tables_needed') AS DOUBLE), 0) AS INT) ELSE CAST(len(loose) AS INT) END AS tables_needed,
+ n_predicted AS total_predicted FROM b""",
 )
 def e12(c):
-    return evaluation.parse_judgements(c("r_answers"))
+    return evaluation.parse_judgements(c("r_answers")).withColumn("ground_truth_tables", F.array_join("ground_truth_tables", "|"))
 
 
 @query(

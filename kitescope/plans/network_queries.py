@@ -1,4 +1,4 @@
-"""Registered queries for graph analytics."""
+"""Registered queries for network analytics."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kitescope.functions import fixed_values as fixed
 from kitescope.functions import vectors
-from kitescope.operators import graph
+from kitescope.operators import network
 from kitescope.plans.registry import query
 from kitescope.plans.retrieval_queries import COLS, ENTITY_HAY, cut_sql, exploded_sql, term_top_sql
 from kitescope.plans.text_queries import SEEDS
@@ -21,10 +21,10 @@ def edges_sql(g: str) -> str:
 
 
 def edges(c, g: str):
-    return graph.build_graph(c(f"{g}_vertices"), c(f"{g}_edges"))
+    return network.build_network(c(f"{g}_vertices"), c(f"{g}_edges"))
 
 
-@query("g1_build_graph", f"WITH {edges_sql('gl')} SELECT src, dst, rel_type, weight FROM gle")
+@query("g1_build_network", f"WITH {edges_sql('gl')} SELECT src, dst, rel_type, weight FROM gle")
 def g1(c):
     return edges(c, "gl")
 
@@ -81,7 +81,7 @@ def attention_sql(g: str, questions: str) -> str:
 
 @query("g4_neighbour_attention", f"WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')} SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM att WHERE rank <= 10")
 def g4(c):
-    return graph.neighbour_attention(c("gl_questions"), c("gl_vertices"), edges(c, "gl")).select(*COLS)
+    return network.neighbour_attention(c("gl_questions"), c("gl_vertices"), edges(c, "gl")).select(*COLS)
 
 
 def overlap_sql(desc: str, words: str) -> str:
@@ -96,7 +96,7 @@ def g5(c):
     v, d = c("conversations"), c("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("description"))
     from kitescope.functions.terms import all_terms
 
-    return v.join(d, "conv_id").select("conv_id", "turn", F.round(graph.term_overlap(F.col("description"), all_terms(F.col("text"))), 6).alias("overlap"))
+    return v.join(d, "conv_id").select("conv_id", "turn", F.round(network.term_overlap(F.col("description"), all_terms(F.col("text"))), 6).alias("overlap"))
 
 
 def paths_sql(g: str, questions: str) -> str:
@@ -116,8 +116,8 @@ def paths_sql(g: str, questions: str) -> str:
 @query("g6_greedy_paths", f"WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')}, {paths_sql('gl', 'gl_questions')} SELECT question_id, entity, CAST(rank AS INT) AS rank FROM rl")
 def g6(c):
     e = edges(c, "gl")
-    seeds = graph.neighbour_attention(c("gl_questions"), c("gl_vertices"), e, 5)
-    return graph.greedy_paths(c("gl_questions"), seeds, c("gl_vertices"), e)
+    seeds = network.neighbour_attention(c("gl_questions"), c("gl_vertices"), e, 5)
+    return network.greedy_paths(c("gl_questions"), seeds, c("gl_vertices"), e)
 
 
 @query(
@@ -127,7 +127,7 @@ SELECT a.question_id, a.entity, a.rank FROM att a JOIN rl ON rl.question_id = a.
 )
 def g4_ranks(c):
     # the vertices of the greedy paths: at most eleven per question
-    return graph.attention_ranks(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), g6(c))
+    return network.attention_ranks(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), g6(c))
 
 
 def seeds_sql(questions: str, hay: str, per_term: int = 3) -> str:
@@ -137,7 +137,7 @@ def seeds_sql(questions: str, hay: str, per_term: int = 3) -> str:
 
 @query("g7_semantic_seeds", f"WITH {seeds_sql('q_text', ENTITY_HAY)} SELECT question_id, entity, CAST(rank AS INT) AS rank FROM seeds")
 def g7(c):
-    return graph.semantic_seeds(c("q_text"), c("c_tables"))
+    return network.semantic_seeds(c("q_text"), c("c_tables"))
 
 
 def degree_sql(g: str, threshold: float) -> str:
@@ -147,7 +147,7 @@ def degree_sql(g: str, threshold: float) -> str:
 
 @query("g8_degree_hubs", f"WITH {edges_sql('gl')}, top AS ({degree_sql('gl', 0.1)}) SELECT name, score FROM top WHERE score > 0.1")
 def g8(c):
-    return graph.degree_hubs(c("gl_vertices"), edges(c, "gl"))
+    return network.degree_hubs(c("gl_vertices"), edges(c, "gl"))
 
 
 # in a tree every pair has one path, so a vertex lies on it exactly if the distances add up
@@ -161,12 +161,12 @@ BETWEEN = """adj AS (SELECT src, dst FROM gse UNION SELECT dst, src FROM gse),
 
 @query("g9_betweenness", f"WITH RECURSIVE {edges_sql('gs')}, {BETWEEN} SELECT name, score FROM between")
 def g9(c):
-    return graph.betweenness(c("gs_vertices"), edges(c, "gs"))
+    return network.betweenness(c("gs_vertices"), edges(c, "gs"))
 
 
 @query("g9_betweenness_bridges", f"WITH RECURSIVE {edges_sql('gs')}, {BETWEEN}, top AS (SELECT * FROM between ORDER BY score DESC, name LIMIT 5) SELECT * FROM top WHERE score > 0.05")
 def g9_bridges(c):
-    return graph.betweenness_bridges(graph.betweenness(c("gs_vertices"), edges(c, "gs")))
+    return network.betweenness_bridges(network.betweenness(c("gs_vertices"), edges(c, "gs")))
 
 
 def pagerank_sql(g: str, rounds: int = 20) -> str:
@@ -183,7 +183,7 @@ def pagerank_sql(g: str, rounds: int = 20) -> str:
 
 @query("g10_pagerank", f"WITH {edges_sql('gl')}, {pagerank_sql('gl')} SELECT name, round(r, 6) AS score FROM pr20")
 def g10(c):
-    return graph.pagerank(c("gl_vertices"), edges(c, "gl")).select("name", F.round("score", 6).alias("score"))
+    return network.pagerank(c("gl_vertices"), edges(c, "gl")).select("name", F.round("score", 6).alias("score"))
 
 
 def relevant_sql(words: str = "q.w", name: str = "v.name", desc: str = "v.description") -> str:
@@ -202,8 +202,8 @@ def ranked_sql(g: str, questions: str, threshold: float) -> str:
 )
 def g10_relevant(c):
     # a supplier's rank is about 1 / (2 x suppliers), so the carrier's threshold is below the default
-    ranks = graph.pagerank(c("gl_vertices"), edges(c, "gl"))
-    return graph.pagerank_relevant(c("gl_questions"), c("gl_vertices"), ranks, 0.001).select(*COLS)
+    ranks = network.pagerank(c("gl_vertices"), edges(c, "gl"))
+    return network.pagerank_relevant(c("gl_questions"), c("gl_vertices"), ranks, 0.001).select(*COLS)
 
 
 def community_sql(g: str, seeds: str) -> str:
@@ -215,7 +215,7 @@ def community_sql(g: str, seeds: str) -> str:
 
 @query("g11_ego_community", f"WITH {edges_sql('gl')}, {community_sql('gl', 'SELECT name AS seed FROM gl_vertices')} SELECT seed, entity FROM com")
 def g11(c):
-    return graph.ego_community(c("gl_vertices").select(F.col("name").alias("seed")), edges(c, "gl"))
+    return network.ego_community(c("gl_vertices").select(F.col("name").alias("seed")), edges(c, "gl"))
 
 
 @query("g12_is_relevant", f"SELECT v.conv_id, v.turn, {relevant_sql(words_sql('v.text'), 'd.source', 'd.text')} AS relevant FROM conversations v JOIN documents d ON d.doc_id = v.conv_id")
@@ -223,7 +223,7 @@ def g12(c):
     from kitescope.functions.terms import all_terms
 
     d = c("documents").select(F.col("doc_id").alias("conv_id"), "source", F.col("text").alias("description"))
-    return c("conversations").join(d, "conv_id").select("conv_id", "turn", graph.is_relevant(F.col("source"), F.col("description"), all_terms(F.col("text"))).alias("relevant"))
+    return c("conversations").join(d, "conv_id").select("conv_id", "turn", network.is_relevant(F.col("source"), F.col("description"), all_terms(F.col("text"))).alias("relevant"))
 
 
 GS_HAY = "SELECT name, lower(name) AS hay FROM gs_vertices UNION ALL SELECT name, lower(description) FROM gs_vertices"
@@ -236,19 +236,19 @@ BASE = f"WITH RECURSIVE {edges_sql('gs')}, {BETWEEN}, {pagerank_sql('gs')}, {ran
 
 
 class Small:
-    """Shared pieces of the small graph."""
+    """Shared pieces of the small network."""
 
     def __init__(self, c):
         self.questions, self.vertices, self.edges = c("gs_questions"), c("gs_vertices"), cut_lineage(edges(c, "gs"))
-        self.hubs = graph.degree_hubs(self.vertices, self.edges, threshold=HUB_AT)
-        self.bridges = graph.betweenness_bridges(graph.betweenness(self.vertices, self.edges), threshold=BRIDGE_AT)
-        self.seeds = graph.semantic_seeds(self.questions, self.vertices)
+        self.hubs = network.degree_hubs(self.vertices, self.edges, threshold=HUB_AT)
+        self.bridges = network.betweenness_bridges(network.betweenness(self.vertices, self.edges), threshold=BRIDGE_AT)
+        self.seeds = network.semantic_seeds(self.questions, self.vertices)
 
     def structural(self):
-        return graph.structural_candidates(self.questions, self.vertices, self.edges, self.seeds, self.hubs, self.bridges)
+        return network.structural_candidates(self.questions, self.vertices, self.edges, self.seeds, self.hubs, self.bridges)
 
     def ranks(self):
-        return graph.pagerank(self.vertices, self.edges)
+        return network.pagerank(self.vertices, self.edges)
 
 
 @query("g13_structural_candidates", f"{BASE} SELECT question_id, entity FROM struct")
@@ -263,8 +263,8 @@ LEVELS = """lv AS (SELECT DISTINCT question_id, entity, 0.5::DOUBLE AS w FROM se
 @query("g14_multilevel_score", f"{BASE}, {LEVELS} SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM ml")
 def g14(c):
     s = Small(c)
-    ranked = graph.pagerank_relevant(s.questions, s.vertices, s.ranks(), RANK_AT)
-    return graph.multilevel_score(s.seeds, s.structural(), ranked).select(*COLS)
+    ranked = network.pagerank_relevant(s.questions, s.vertices, s.ranks(), RANK_AT)
+    return network.multilevel_score(s.seeds, s.structural(), ranked).select(*COLS)
 
 
 LIST_NO = "CASE method WHEN 'Keyword' THEN 0 WHEN 'Vector' THEN 1 WHEN 'TFIDF' THEN 2 ELSE 3 END"
@@ -281,7 +281,7 @@ def g15(c):
         "question_id", F.col("part_name").alias("entity"), F.col("position").alias("rank"),
         F.when(F.col("method") == "Keyword", 0).when(F.col("method") == "Vector", 1).when(F.col("method") == "TFIDF", 2).otherwise(3).alias("list_no"),
     )
-    return graph.rank_ensemble(lists, n=10).select(*COLS)
+    return network.rank_ensemble(lists, n=10).select(*COLS)
 
 
 @query(
@@ -293,4 +293,4 @@ SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM ens WHERE rank
 )
 def g16(c):
     s = Small(c)
-    return graph.advanced_retriever(s.questions, s.vertices, s.edges, s.ranks(), s.hubs, s.bridges, rank_threshold=RANK_AT).select(*COLS)
+    return network.advanced_retriever(s.questions, s.vertices, s.edges, s.ranks(), s.hubs, s.bridges, rank_threshold=RANK_AT).select(*COLS)

@@ -28,9 +28,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for module in ("catalog", "lookup", "text", "retrieval", "graph", "evaluation", "sqlpairs", "requests"):
-        try:
-            importlib.import_module(f"kitescope.plans.{module}_queries")
-        except ModuleNotFoundError as error:
-            if f"{module}_queries" not in str(error):
-                raise
+    for module in ("catalog", "lookup", "text", "retrieval", "network", "evaluation", "sqlpairs", "requests"):
+        importlib.import_module(f"kitescope.plans.{module}_queries")

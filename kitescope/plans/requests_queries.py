@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kitescope.operators import catalog, evaluation, report, requestlog, retrieval, search, tfidf
 from kitescope.plans.carriers import METHODS
-from kitescope.plans.catalog_queries import KEYED, PAIR_LIMIT, PAIRS, metadata
+from kitescope.plans.catalog_queries import CHAIN, KEYED, MERGED, chain, merged, metadata
 from kitescope.plans.evaluation_queries import E2_SQL, MM_DOUBLES, RUN, run
 from kitescope.plans.registry import query
 from kitescope.plans.retrieval_queries import DIRECT, ENTITY_HAY, FEATURES, T3_FIRST5, TFIDF, cut_sql, doc_corpus, exploded_sql, term_top_sql
@@ -107,14 +107,13 @@ def s1(c):
 
 @query(
     "s2_load_erd_relationships",
-    f"""WITH {KEYED}, {PAIRS} SELECT from_table, to_table, from_column, to_column, relationship_type, confidence FROM pairs WHERE length(from_column) % 4 <> 0""",
+    f"""WITH {KEYED}, {CHAIN} SELECT from_table, to_table, name AS from_column, name AS to_column, kind AS relationship_type, conf AS confidence FROM chain WHERE length(name) % 4 <> 0""",
 )
 def s2(c):
-    pairs, _ = catalog.infer_relationships(c("c_columns"), PAIR_LIMIT)
     path = f"{scratch_path(c.spark, 'edges')}/edges"
     # edges whose second column is missing are incomplete and must be skipped
     broken = F.when(F.length("from_column") % 4 != 0, F.col("to_column"))
-    pairs.withColumn("to_column", broken).write.json(path)
+    chain(c).withColumn("to_column", broken).write.json(path)
     return readers.load_erd_relationships(c.spark, path, multi_line=False)
 
 
@@ -141,28 +140,27 @@ def s4(c):
     return readers.load_questions_simple(readers.read_table(c.spark, path))
 
 
-def stored_graph(c):
-    path = scratch_path(c.spark, "graph")
-    pairs, _ = catalog.infer_relationships(c("c_columns"), PAIR_LIMIT)
-    sinks.write_graph(path, {
+def stored_network(c):
+    path = scratch_path(c.spark, "network")
+    sinks.write_network(path, {
         "tables": c("c_tables").select("ord", "name", "table_type"), "columns": c("c_columns").select("table_name", "name", "data_type"),
-        "relationships": pairs, "dates": catalog.date_nodes(c("x_dates")),
+        "relationships": merged(c), "dates": catalog.date_nodes(c("x_dates")),
     })
-    return readers.open_graph(c.spark, path)
+    return readers.open_network(c.spark, path)
 
 
 @query(
-    "s5_open_graph",
-    f"""WITH {KEYED}, {PAIRS} SELECT 'tables' AS table_name, count(*) AS n FROM c_tables UNION ALL SELECT 'columns', count(*) FROM c_columns
-UNION ALL SELECT 'relationships', count(*) FROM pairs UNION ALL SELECT 'dates', count(*) FROM x_dates WHERE regexp_matches(date_string, '^[0-9]{{8}}$') AND try_strptime(date_string, '%Y%m%d') IS NOT NULL""",
+    "s5_open_network",
+    f"""WITH {MERGED} SELECT 'tables' AS table_name, count(*) AS n FROM c_tables UNION ALL SELECT 'columns', count(*) FROM c_columns
+UNION ALL SELECT 'relationships', CAST(sum(n) AS BIGINT) FROM totals UNION ALL SELECT 'dates', count(*) FROM x_dates WHERE regexp_matches(date_string, '^[0-9]{{8}}$') AND try_strptime(date_string, '%Y%m%d') IS NOT NULL""",
 )
 def s5(c):
-    return readers.graph_counts(stored_graph(c))
+    return readers.network_counts(stored_network(c))
 
 
-@query("s6_write_graph", "SELECT t.name, t.table_type, count(c.name) AS n_columns FROM c_tables t LEFT JOIN c_columns c ON c.table_name = t.name GROUP BY 1, 2")
+@query("s6_write_network", "SELECT t.name, t.table_type, count(c.name) AS n_columns FROM c_tables t LEFT JOIN c_columns c ON c.table_name = t.name GROUP BY 1, 2")
 def s6(c):
-    stored = stored_graph(c)
+    stored = stored_network(c)
     per_table = stored["columns"].groupBy("table_name").agg(F.count("*").alias("n_columns"))
     return stored["tables"].join(per_table, F.col("name") == F.col("table_name"), "left").select("name", "table_type", F.coalesce("n_columns", F.lit(0)).alias("n_columns"))
 

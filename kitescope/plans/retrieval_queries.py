@@ -125,9 +125,9 @@ def r8(c):
     return retrieval.pattern_retriever(c("q_order"), c("c_tables")).select(*COLS)
 
 
-@query("r9_graph_traversal", traversal_sql(SEEDS))
+@query("r9_network_traversal", traversal_sql(SEEDS))
 def r9(c):
-    return retrieval.graph_traversal(c("gl_questions"), c("gl_vertices"), c("gl_edges")).select(*COLS)
+    return retrieval.network_traversal(c("gl_questions"), c("gl_vertices"), c("gl_edges")).select(*COLS)
 
 
 COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6)"
@@ -279,7 +279,7 @@ def answers(c):
     turn = F.col("turn") % 3
     return joined.select(
         F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("question_id"),
-        F.when(turn == 0, F.concat(name, F.lit(', "'), F.lower(name), F.lit('",'), F.substring(name, 5, 1000), F.lit(", "), F.col("text")))
+        F.when(turn == 0, F.concat(name, F.lit(', "'), F.lower(name), F.lit('",'), F.substr(name, F.lit(5)), F.lit(", "), F.col("text")))
         .when(turn == 1, F.concat(F.lit("'"), F.upper(name), F.lit("'\n"), F.col("role"), F.lit("\nthe table "), name))
         .otherwise(F.concat(name, F.lit(";calendar_000;ab;"), F.col("role"))).alias("response"),
     )

@@ -28,18 +28,14 @@ def brute_pairs(columns):
     return {(a[0], b[0], a[2]) for a in rows for b in rows if a[2] == b[2] and a[1] < b[1]}
 
 
-@pytest.mark.parametrize("limit", [2, 10, 100])
-def test_pairs_and_hubs_hold_every_relationship_once(columns, limit):
-    pairs, hubs = catalog.infer_relationships(columns, pair_limit=limit)
-    got = [(r.from_table, r.to_table, r.from_column) for r in pairs.collect()]
+def test_lists_hold_every_relationship_once(columns):
     members = {}
-    for r in hubs.collect():
+    for r in catalog.infer_relationships(columns).collect():
         members.setdefault(r.column_name, []).append((r.ord, r.table_name))
-    for name, tables in members.items():
-        got += [(a, b, name) for (_, a), (_, b) in combinations(sorted(tables), 2)]
+        assert r.group_size > 1
+    got = [(a, b, name) for name, tables in members.items() for (_, a), (_, b) in combinations(sorted(tables), 2)]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(columns)
-    total = sum(r.n_relationships for r in catalog.relationship_totals(columns).collect())
-    assert total == len(got)
+    assert sum(r.n_relationships for r in catalog.relationship_totals(columns).collect()) == len(got)
 
 
 def test_relationships_of_one_table(spark, columns):
@@ -48,12 +44,19 @@ def test_relationships_of_one_table(spark, columns):
     assert got == near[:4]
 
 
-def test_curated_edges_win(spark):
+def test_explicit_edges_win(spark, columns):
     schema = "from_table string, to_table string, from_column string, to_column string, relationship_type string, confidence double"
-    curated = spark.createDataFrame([("b", "a", "x_id", "x_id", "CURATED", 1.0)], schema)
-    inferred = spark.createDataFrame([("a", "b", "x_id", "x_id", "KEY_MATCH", 0.9), ("a", "c", "x_id", "x_id", "KEY_MATCH", 0.9), ("c", "a", "x_id", "x_id", "OTHER", 0.8)], schema)
-    got = sorted((r.from_table, r.to_table, r.relationship_type) for r in catalog.merge_relationships(curated, inferred).collect())
-    assert got == [("a", "c", "KEY_MATCH"), ("b", "a", "CURATED")]
+    curated = spark.createDataFrame([("t05", "t03", "hot_id", "hot_id", "CURATED", 1.0), ("t03", "gone", "x", "y", "CURATED", 1.0)], schema)
+    rules = spark.createDataFrame([("t03", "t05", "hot_id", "hot_id", "RULE", 0.9), ("t03", "t04", "hot_id", "rare_code", "RULE", 0.9)], schema)
+    merged = catalog.merge_relationships([curated, rules], catalog.infer_relationships(columns))
+    expected = {(*sorted((a, b)), n, n): "inferred" for a, b, n in brute_pairs(columns)}
+    expected |= {("t03", "t05", "hot_id", "hot_id"): "CURATED", ("gone", "t03", "x", "y"): "CURATED", ("t03", "t04", "hot_id", "rare_code"): "RULE"}
+    totals = {r.relationship_type: r.n for r in catalog.merged_totals(merged).collect()}
+    assert sum(totals.values()) == len(expected) and totals["CURATED"] == 2 and totals["RULE"] == 1
+    chosen = spark.createDataFrame([("t03",)], "table_name string")
+    got = {(*sorted((r.seed, r.related)), r.from_column, r.to_column): r.relationship_type for r in catalog.merged_edges_of(merged, chosen).collect()}
+    assert got.keys() == {k for k in expected if "t03" in k[:2]}
+    assert all(got[k] == v for k, v in expected.items() if k in got and v != "inferred")
 
 
 def test_dates_skip_what_is_no_date(spark):
@@ -99,13 +102,13 @@ def test_question_numbers_follow_source_rows(spark, tmp_path):
     assert [r.id for r in simple] == ["Q1", "Q2"]
 
 
-def test_graph_round_trip(spark, tmp_path):
+def test_network_round_trip(spark, tmp_path):
     tables = spark.createDataFrame([("a",), ("b",)], "name string")
-    sinks.write_graph(str(tmp_path), {"tables": tables, "dates": tables.limit(1)})
-    sinks.write_graph(str(tmp_path), {"tables": tables.limit(1)})
-    assert {r.table_name: r.n for r in readers.graph_counts(readers.open_graph(spark, str(tmp_path))).collect()} == {"tables": 1, "dates": 1}
+    sinks.write_network(str(tmp_path), {"tables": tables, "dates": tables.limit(1)})
+    sinks.write_network(str(tmp_path), {"tables": tables.limit(1)})
+    assert {r.table_name: r.n for r in readers.network_counts(readers.open_network(spark, str(tmp_path))).collect()} == {"tables": 1, "dates": 1}
     with pytest.raises(ValueError):
-        sinks.write_graph(str(tmp_path), {"other": tables})
+        sinks.write_network(str(tmp_path), {"other": tables})
 
 
 RUN = [("q1", "M", 1, " Sales.Orders "), ("q1", "M", 2, "sales.orders"), ("q1", "M", 3, "Sales.Orders"), ("q1", "M", 4, " "), ("q1", "M", 5, "items"), ("q2", "M", 1, "other")]

@@ -1,11 +1,11 @@
-"""Graph analytics against brute force on small graphs."""
+"""Network analytics against brute force on small networks."""
 
 from collections import deque
 from itertools import permutations
 
 import pytest
 
-from kitescope.operators import graph
+from kitescope.operators import network
 
 
 def undirected(edges):
@@ -52,20 +52,20 @@ EDGES = [("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "e"), ("e", "f"),
 def small(spark):
     vertices = spark.createDataFrame([(n, f"the {n} thing") for n in NAMES], "name string, description string")
     edges = spark.createDataFrame([(a, b, "reference" if a < b else "odd") for a, b in EDGES], "src string, dst string, rel_type string")
-    return vertices, graph.build_graph(vertices, edges)
+    return vertices, network.build_network(vertices, edges)
 
 
 @pytest.mark.parametrize("groups", [1, 3])
 def test_betweenness_with_several_shortest_paths(small, groups):
     vertices, edges = small
-    got = {r.name: r.score for r in graph.betweenness(vertices, edges, source_groups=groups).collect()}
+    got = {r.name: r.score for r in network.betweenness(vertices, edges, source_groups=groups).collect()}
     assert got == pytest.approx(brute_betweenness(NAMES, EDGES), abs=1e-6)
 
 
 def test_betweenness_pivots_all_equals_exact(small):
     vertices, edges = small
-    exact = {r.name: r.score for r in graph.betweenness(vertices, edges).collect()}
-    assert {r.name: r.score for r in graph.betweenness(vertices, edges, pivots=8).collect()} == exact
+    exact = {r.name: r.score for r in network.betweenness(vertices, edges).collect()}
+    assert {r.name: r.score for r in network.betweenness(vertices, edges, pivots=8).collect()} == exact
 
 
 def test_pagerank_equals_dense_iteration(small):
@@ -82,23 +82,23 @@ def test_pagerank_equals_dense_iteration(small):
         for (a, b), w in both.items():
             new[b] += 0.85 * rank[a] * w / sum(x for (c, _), x in both.items() if c == a)
         rank = new
-    got = {r.name: r.score for r in graph.pagerank(vertices, edges).collect()}
+    got = {r.name: r.score for r in network.pagerank(vertices, edges).collect()}
     assert got == pytest.approx(rank, abs=1e-9) and sum(got.values()) == pytest.approx(1.0)
-    settled = {r.name: r.score for r in graph.pagerank(vertices, edges, iterations=200, tolerance=1e-6).collect()}
+    settled = {r.name: r.score for r in network.pagerank(vertices, edges, iterations=200, tolerance=1e-6).collect()}
     assert settled == pytest.approx(rank, abs=2e-2)
 
 
-def test_build_graph_drops_loops_and_strangers_and_keeps_the_heavier(spark):
+def test_build_network_drops_loops_and_strangers_and_keeps_the_heavier(spark):
     vertices = spark.createDataFrame([("a", ""), ("b", "")], "name string, description string")
     edges = spark.createDataFrame([("a", "a", "foreign_key"), ("a", "z", "foreign_key"), ("a", "b", "similar"), ("a", "b", "foreign_key"), ("b", "a", "made_up")], "src string, dst string, rel_type string")
-    assert sorted((r.src, r.dst, r.weight) for r in graph.build_graph(vertices, edges).collect()) == [("a", "b", 0.9), ("b", "a", 0.5)]
+    assert sorted((r.src, r.dst, r.weight) for r in network.build_network(vertices, edges).collect()) == [("a", "b", 0.9), ("b", "a", 0.5)]
 
 
 def test_community_takes_three_then_two_of_two(spark):
     edges = spark.createDataFrame([("s", x) for x in "abcd"] + [("a", x) for x in "mno"] + [("b", "p"), ("c", "q")], "src string, dst string")
     seeds = spark.createDataFrame([("s",), ("lonely",)], "seed string")
     got = {}
-    for r in graph.ego_community(seeds, edges).collect():
+    for r in network.ego_community(seeds, edges).collect():
         got.setdefault(r.seed, set()).add(r.entity)
     assert got == {"s": set("sabcmnp"), "lonely": {"lonely"}}
 
@@ -109,22 +109,22 @@ def test_greedy_paths_stop_below_the_threshold(spark):
     asked = spark.createDataFrame([("q", "red ring")], "question_id string, question string")
     seeds = spark.createDataFrame([("q", "s", 1)], "question_id string, entity string, rank int")
     # hop one: x = .6 + .36; hop two: z = .3 + 0, as there is no edge from the seed
-    assert [r.entity for r in graph.greedy_paths(asked, seeds, vertices, edges).orderBy("rank").collect()] == ["s", "x", "z"]
-    assert [r.entity for r in graph.greedy_paths(asked, seeds, vertices, edges, least=0.4).orderBy("rank").collect()] == ["s", "x"]
-    assert [r.entity for r in graph.greedy_paths(asked, seeds, vertices, edges, least=0.4, reward_from="current").orderBy("rank").collect()] == ["s", "x", "z"]
+    assert [r.entity for r in network.greedy_paths(asked, seeds, vertices, edges).orderBy("rank").collect()] == ["s", "x", "z"]
+    assert [r.entity for r in network.greedy_paths(asked, seeds, vertices, edges, least=0.4).orderBy("rank").collect()] == ["s", "x"]
+    assert [r.entity for r in network.greedy_paths(asked, seeds, vertices, edges, least=0.4, reward_from="current").orderBy("rank").collect()] == ["s", "x", "z"]
 
 
 def test_ensemble_counts_repeats_and_ignores_extra_lists(spark):
     rows = [("q", 0, 1, "a"), ("q", 1, 1, "b"), ("q", 1, 2, "b"), ("q", 2, 2, "a"), ("q", 7, 1, "c")]
     lists = spark.createDataFrame(rows, "question_id string, list_no int, rank int, entity string")
-    assert [(r.entity, r.score) for r in graph.rank_ensemble(lists).orderBy("rank").collect()] == [("a", 0.55), ("b", 0.45)]
+    assert [(r.entity, r.score) for r in network.rank_ensemble(lists).orderBy("rank").collect()] == [("a", 0.55), ("b", 0.45)]
 
 
 def test_advanced_retriever_falls_back_to_word_seeds(spark, small):
     vertices, edges = small
     asked = spark.createDataFrame([("q1", "thing with edges"), ("q2", "")], "question_id string, question string")
-    ranks = graph.pagerank(vertices, edges)
-    got = graph.advanced_retriever(asked, vertices, edges, ranks, graph.degree_hubs(vertices, edges), graph.betweenness_bridges(graph.betweenness(vertices, edges)))
+    ranks = network.pagerank(vertices, edges)
+    got = network.advanced_retriever(asked, vertices, edges, ranks, network.degree_hubs(vertices, edges), network.betweenness_bridges(network.betweenness(vertices, edges)))
     rows = got.collect()
     assert {r.question_id for r in rows} == {"q1"}
     assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1)) and len(rows) <= 10
