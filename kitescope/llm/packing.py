@@ -30,6 +30,8 @@ END_ID = 0
 #: Bounds of one part.
 PART_TOKENS = 16 << 20
 PART_ROWS = 50_000
+#: Bins that the local search of a part looks at.
+SEARCHED = 64
 #: A bin below this share of its capacity is packed again with others.
 FULL_SHARE = 0.995
 
@@ -86,19 +88,20 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 8) -> list[list[int]]:
-    """Local search among underfull bins; every step moves tokens from an emptier to a fuller bin.
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 3) -> list[list[int]]:
+    """Local search among the emptiest bins; every step moves tokens from an emptier to a fuller bin.
 
-    It ends when no fewer bins could hold the tokens.
+    It ends when no fewer bins could hold the tokens.  The bins to be emptied are as many as could be saved and a few more,
+    and SEARCHED bins with the most room take part; fuller bins have next to no room to give.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     spare = len(bins) - math.ceil(sum(fill) / capacity)
     for _ in range(rounds):
         if spare <= 0:
             break
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
+        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))[:SEARCHED + spare]
         changed = False
-        for at, donor in enumerate(order):
+        for at, donor in enumerate(order[:spare + 8]):
             for taker in reversed(order[at + 1:]):
                 while fill[donor] and fill[taker] < capacity and fill[taker] >= fill[donor]:
                     step = _best_step(bins[donor], bins[taker], lengths, capacity - fill[taker])
