@@ -99,9 +99,9 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
     for _ in range(rounds):
         if spare <= 0:
             break
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))[:SEARCHED + spare]
+        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))[:SEARCHED + min(spare, 2 * SEARCHED)]
         changed = False
-        for at, donor in enumerate(order[:spare + 8]):
+        for at, donor in enumerate(order[:min(spare, 2 * SEARCHED) + 8]):
             for taker in reversed(order[at + 1:]):
                 while fill[donor] and fill[taker] < capacity and fill[taker] >= fill[donor]:
                     step = _best_step(bins[donor], bins[taker], lengths, capacity - fill[taker])
