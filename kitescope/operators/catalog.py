@@ -291,8 +291,6 @@ def verify_network(tables: DataFrame, columns: DataFrame, counted: dict[str, Dat
 
 def _as_text(field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return col.cast("decimal(30,4)").cast("string")
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     return col.cast("string")
@@ -310,17 +308,21 @@ def profile_columns(df: DataFrame, table_name: str, sample_values: int = 50) ->
     """Rows, nulls, exact distinct count, extremes and the first distinct values per column."""
     counts = value_counts(df)
     value = F.col("value")
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    # texts tell values apart and show them; numbers are compared as numbers, equal doubles (huge whole numbers) by text
+    order = F.struct(F.when(F.col("column_name").isin(numeric), value.try_cast("double")).alias("number"), value.alias("text"))
+    some = F.when(value.isNotNull(), order)
     summary = counts.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
         F.count(value).alias("n_distinct"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
+        F.min(some)["text"].alias("min_value"),
+        F.max(some)["text"].alias("max_value"),
     )
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(order))
     leading = (
         counts.filter(value.isNotNull()).withColumn("place", place).filter(F.col("place") <= sample_values)
-        .groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("distinct_values"))
+        .groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("distinct_values"))
     )
     kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
     return summary.join(leading, "column_name", "left").select(

@@ -58,23 +58,24 @@ def _profile_long_sql() -> str:
         for item in columns.split():
             name, kind = item.split(":")
             text = {
-                "double": f"CAST(CAST({name} AS DECIMAL(30,4)) AS VARCHAR)",
                 "timestamp_ntz": f"strftime({name}, '%Y-%m-%d %H:%M:%S')",
             }.get(kind, f"CAST({name} AS VARCHAR)")
             parts.append(f"SELECT '{table}' AS table_name, '{name}' AS column_name, '{kind}' AS data_type, {text} AS value FROM {table}")
     return " UNION ALL ".join(parts)
 
 
+NUMERIC = "data_type IN ('bigint', 'int', 'double')"
 PROFILE_LONG = f"long AS ({_profile_long_sql()})"
 PROFILE_CTES = f"""{PROFILE_LONG},
  summary AS (SELECT table_name, column_name, data_type, count(*) AS n_rows, count(*) - count(value) AS n_nulls,
-   count(DISTINCT value) AS n_distinct, min(value) AS min_value, max(value) AS max_value FROM long GROUP BY 1, 2, 3),
- listed AS (SELECT table_name, column_name, value, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS place
-   FROM (SELECT DISTINCT table_name, column_name, value FROM long WHERE value IS NOT NULL) d)"""
+   count(DISTINCT value) AS n_distinct,
+   CASE WHEN {NUMERIC} THEN arg_min(value, TRY_CAST(value AS DOUBLE)) ELSE min(value) END AS min_value,
+   CASE WHEN {NUMERIC} THEN arg_max(value, TRY_CAST(value AS DOUBLE)) ELSE max(value) END AS max_value FROM long GROUP BY 1, 2, 3),
+ listed AS (SELECT table_name, column_name, value, row_number() OVER (PARTITION BY table_name, column_name ORDER BY CASE WHEN {NUMERIC} THEN TRY_CAST(value AS DOUBLE) END, value) AS place
+   FROM (SELECT DISTINCT table_name, column_name, data_type, value FROM long WHERE value IS NOT NULL) d)"""
 VALUE_TYPE = """CASE WHEN value IS NULL THEN 'unknown' WHEN {num} THEN 'numeric'
  WHEN length(value) <= 10 AND regexp_matches(replace(replace(value, '-', ''), '/', ''), '^[0-9]+$') THEN 'date'
  WHEN length(value) <= 50 THEN 'categorical' ELSE 'text' END"""
-NUMERIC = "data_type IN ('bigint', 'int', 'double')"
 
 
 @query(

@@ -182,3 +182,11 @@ def test_stream_equals_batch_for_closed_windows(spark, tmp_path):
     batch = request_metrics.windowed_metrics(log).filter(F.col("window_end") <= F.lit("2024-01-01 04:45:00").cast("timestamp"))
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(out) == key(batch) and out.count() == 8
+
+
+def test_profiles_compare_numbers_as_numbers(spark):
+    rows = [(9, 1.00001, "9"), (10, 1.00002, "10"), (1499, 1e30, "1499"), (999, float("nan"), "999"), (None, -2.5, None), (9, 1.00001, "9")]
+    p = {r.column_name: r for r in catalog.profile_columns(spark.createDataFrame(rows, "k long, d double, s string"), "t", 3).collect()}
+    assert (p["k"].min_value, p["k"].max_value, p["k"].n_distinct, p["k"].n_nulls, p["k"].distinct_values) == ("9", "1499", 4, 1, ["9", "10", "999"])
+    assert (p["d"].min_value, p["d"].max_value, p["d"].n_distinct, p["d"].distinct_values) == ("-2.5", "NaN", 5, ["-2.5", "1.00001", "1.00002"])
+    assert (p["s"].min_value, p["s"].max_value) == ("10", "999")
