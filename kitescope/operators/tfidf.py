@@ -99,9 +99,9 @@ def search(model: TfidfModel, questions: DataFrame, k: int = 10, threshold: floa
     sparse = model.weights(questions.select("question_id", F.col("question").alias("text")), "question_id")
     dense = sparse.select(
         "question_id",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(model.max_features - 1)),
-            lambda i: F.coalesce(F.map_from_arrays("positions", "weights")[i], F.lit(0.0)),
-        ).alias("vector"),
+        # the map is bound once per question
+        F.transform(F.array(F.map_from_arrays("positions", "weights")), lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(model.max_features - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)),
+        ))[0].alias("vector"),
     )
     return topk.top_scores(model.entities, dense, k, threshold, dims=model.max_features)

@@ -64,6 +64,12 @@ def question_chunks(questions: DataFrame) -> Iterator[pd.DataFrame]:
             yield part.toPandas()
 
 
+def length_chunks(questions: DataFrame) -> Iterator[pd.DataFrame]:
+    """Chunks whose vectors share one length, so that what a question meets does not depend on its neighbours."""
+    for row in questions.select(F.size("vector").alias("n")).distinct().orderBy("n").collect():  # a few lengths
+        yield from question_chunks(questions.filter(F.size("vector") == row["n"]))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -71,6 +77,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _nothing(like: DataFrame, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame([], schema)
+
+
 def _dims(chunk: pd.DataFrame) -> int:
     return max((len(v) for v in chunk["vector"]), default=0)
 
@@ -98,7 +108,8 @@ def top_scores(
     sparse = "positions" in entities.columns
     spark = entities.sparkSession
     parts = []
-    for chunk in question_chunks(questions.select("question_id", "vector")):
+    asked = questions.select("question_id", "vector")
+    for chunk in question_chunks(asked) if dims is not None else length_chunks(asked):
         width = dims if dims is not None else _dims(chunk)
         held = spark.sparkContext.broadcast(_held(chunk, width, cosine))
 
@@ -128,6 +139,8 @@ def top_scores(
         columns = ["entity", "positions", "weights"] if sparse else ["entity", "vector"]
         parts.append(entities.select(*columns).mapInPandas(best, "question_id string, entity string, score double"))
     place = Window.partitionBy("question_id").orderBy(F.desc("score"), "entity")
+    if not parts:
+        return _nothing(entities, "question_id string, entity string, score double, rank int")
     return _union(parts).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
@@ -149,7 +162,8 @@ def group_scores(entities: DataFrame, questions: DataFrame, threshold: float | N
     """
     spark = entities.sparkSession
     parts = []
-    for chunk in question_chunks(questions.select("question_id", "vector")):
+    asked = questions.select("question_id", "vector")
+    for chunk in question_chunks(asked) if dims is not None else length_chunks(asked):
         width = dims if dims is not None else _dims(chunk)
         held = spark.sparkContext.broadcast(_held(chunk, width, True))
 
@@ -173,6 +187,8 @@ def group_scores(entities: DataFrame, questions: DataFrame, threshold: float | N
                                     "total": totals[g, c], "n": counts[g, c]})
 
         parts.append(entities.select("group_key", "vector").mapInPandas(fold, "question_id string, group_key string, total double, n bigint"))
+    if not parts:
+        return _nothing(entities, "question_id string, group_key string, total double, n bigint")
     return _union(parts).groupBy("question_id", "group_key").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -186,7 +202,7 @@ def exact_ranks(entities: DataFrame, questions: DataFrame, wanted: DataFrame, th
     spark = entities.sparkSession
     chosen = wanted.select("question_id", "entity").distinct().join(entities.select("entity", "vector"), "entity")
     parts = []
-    for chunk in question_chunks(questions.select("question_id", "vector")):
+    for chunk in length_chunks(questions.select("question_id", "vector")):
         width = _dims(chunk)
         ids = chunk["question_id"].tolist()
         q = _matrix(chunk["vector"], width).T
@@ -196,7 +212,7 @@ def exact_ranks(entities: DataFrame, questions: DataFrame, wanted: DataFrame, th
         def score(batches: Iterator[pd.DataFrame], held_q=held_q, width=width) -> Iterator[pd.DataFrame]:
             column, q = held_q.value
             for batch in batches:
-                batch = batch[batch["question_id"].isin(column)]
+                batch = batch[batch["question_id"].isin(column) & (batch["vector"].map(len) == width)]
                 if len(batch):
                     block = _matrix(batch["vector"], width)
                     where = [column[i] for i in batch["question_id"]]
@@ -211,6 +227,7 @@ def exact_ranks(entities: DataFrame, questions: DataFrame, wanted: DataFrame, th
             ids, q, groups = held.value
             ahead = {c: np.zeros(len(names), dtype=np.int64) for c, (_, names) in groups.items()}
             for batch in batches:
+                batch = batch[batch["vector"].map(len) == width]
                 scores = np.round(_matrix(batch["vector"], width) @ q, 6) + 0.0
                 names = batch["entity"].to_numpy()
                 for c, (mark_scores, mark_names) in groups.items():
@@ -224,4 +241,6 @@ def exact_ranks(entities: DataFrame, questions: DataFrame, wanted: DataFrame, th
                 yield pd.DataFrame({"question_id": ids[c], "entity": mark_names, "ahead": ahead[c]})
 
         parts.append(entities.select("entity", "vector").mapInPandas(count, "question_id string, entity string, ahead bigint"))
+    if not parts:
+        return _nothing(entities, "question_id string, entity string, rank bigint")
     return _union(parts).groupBy("question_id", "entity").agg((F.sum("ahead") + 1).alias("rank"))

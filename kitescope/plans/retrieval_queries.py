@@ -194,8 +194,9 @@ def grams_sql(key: str, source: str) -> str:
   SELECT {key}, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({STOP}, w)) AS k FROM {source}) k0"""
 
 
-FEATURES = 500
-TFIDF = f"""corpus AS (SELECT name AS entity, description AS text FROM c_tables), qs AS (SELECT question_id, question AS text FROM q_text),
+FEATURES = 1000
+TFIDF = f"""described AS (SELECT table_name, string_agg(name || ': ' || coalesce(description, ''), ' ' ORDER BY ordinal_position, name) AS column_text FROM c_columns GROUP BY 1),
+ corpus AS (SELECT t.name AS entity, concat_ws(' ', coalesce(t.description, ''), coalesce(d.column_text, '')) AS text FROM c_tables t LEFT JOIN described d ON t.name = d.table_name), qs AS (SELECT question_id, question AS text FROM q_text),
  dtf AS (SELECT entity, term, count(*) AS tf FROM ({grams_sql('entity', 'corpus')}) g GROUP BY 1, 2),
  vocab AS (SELECT term, df, ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1.0::DOUBLE + df)) + 1 AS idf FROM (
    SELECT term, sum(tf) AS total, count(*) AS df FROM dtf GROUP BY 1 ORDER BY total DESC, term LIMIT {FEATURES}) v),
@@ -206,7 +207,8 @@ TFIDF = f"""corpus AS (SELECT name AS entity, description AS text FROM c_tables)
 
 
 def doc_corpus(c):
-    return c("c_tables").select(F.col("name").alias("entity"), F.col("description").alias("text"))
+    """A table's own text with the names and texts of its columns."""
+    return tfidf.table_documents(c("c_tables"), c("c_columns"))
 
 
 @query("r14_tfidf_fit", f"WITH {TFIDF} SELECT entity, term, round(w, 6) AS weight FROM dn")

@@ -172,3 +172,14 @@ def test_parse_ranked_answers(spark):
     )
     got = sorted((r.question_id, r.pos, r.entity) for r in retrieval.parse_ranked_answers(answers, names).collect())
     assert got == [("q1", 0, "Sales.Orders"), ("q1", 1, "sales.orders_old"), ("q2", 0, "Sales.Orders"), ("q2", 1, "ledger"), ("q3", 0, "ledger")]
+
+
+def test_vectors_meet_vectors_of_their_length_only(spark, monkeypatch):
+    entities = spark.createDataFrame([("two", [1.0, 0.0]), ("three", [1.0, 0.0, 0.0])], "entity string, vector array<double>")
+    questions = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0])], "question_id string, vector array<double>")
+    for rows in (2048, 1):
+        monkeypatch.setattr(topk, "CHUNK_ROWS", rows)
+        got = topk.top_scores(entities, questions, 5, None).collect()
+        assert sorted((r.question_id, r.entity) for r in got) == [("a", "two"), ("b", "three")]
+    wanted = spark.createDataFrame([(q, e) for q in "ab" for e in ("two", "three")], "question_id string, entity string")
+    assert sorted(map(tuple, topk.exact_ranks(entities, questions, wanted, 0.0).collect())) == [("a", "two", 1), ("b", "three", 1)]
