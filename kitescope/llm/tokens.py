@@ -19,6 +19,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+| ?[^{_LETTERS} ]+")
 #: Blanks before blanks, apostrophes (contractions) and characters that may be letters beyond Latin.
 _UNSURE = re.compile(r" (?=\s|$)|['ªµº]|[^\x00-ɏ]")
+_UNSURE_ASCII = ("'", "  ", " \n", " \t", " \r", " \v", " \f")
 
 
 class Encoder:
@@ -57,21 +58,28 @@ class Encoder:
         known = self.ids
         cut, new = [], set()
         for text in texts:
-            if not text or _UNSURE.search(text):
-                cut.append(None)
+            if not text or not self._plain(text):
+                cut.append((None, None))
                 continue
             pieces = _PIECE.findall(text)
             found = list(map(known.get, pieces))
             if None in found:
                 new.update(x for x, ids in zip(pieces, found) if ids is None)
-                cut.append(pieces)
+                cut.append((pieces, found))
             else:
-                cut.append(b"".join(found))
+                cut.append((None, b"".join(found)))
         self._learn(list(new))
-        for text, pieces in zip(texts, cut):
-            if isinstance(pieces, bytes):
-                yield pieces
-            elif pieces:
-                yield b"".join(map(known.__getitem__, pieces))
+        for text, (pieces, found) in zip(texts, cut):
+            if pieces is not None:
+                yield b"".join([known[x] if ids is None else ids for x, ids in zip(pieces, found)])
+            elif found is not None:
+                yield found
             else:
                 yield self.whole(text) if text else b""
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether the cuts between pre-tokens are sure."""
+        if text.isascii():  # substring searches are much faster than the pattern
+            return not text.endswith(" ") and not any(x in text for x in _UNSURE_ASCII)
+        return not _UNSURE.search(text)
