@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitescope.llm import (
-    decontaminate, language_id, near_dedup, packing, quality_rules, repair_tokens, secret_scan, sharding, suffix_dedup,
+    decontaminate, language_id, near_dedup, oracle, packing, quality_rules, repair_tokens, secret_scan, sharding, suffix_dedup,
     token_counts,
 )
 from kitescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
 
 
 
