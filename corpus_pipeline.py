@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's ``docs``.  All stages but the last return the columns of ``documents``; the last one returns the packed pieces.
 
 1. quality rules: documents that the current policy rejects go.
-2. near-duplicates: five-word shingles would be the library's default; here the contract's three words and 0.85 hold, and
-   the document with the smallest id of every component stays.
+2. near-duplicates: documents link at a similarity of 0.8 on five-word shingles; the one with the smallest id of every
+   component stays.
 3. benchmark decontamination: documents of which a twentieth or more is benchmark text go.
 4. secret scan: secrets are replaced by a mark, and n_chars follows.
 5. best-fit packing: the remaining documents become sequences of at most 2048 tokens.

@@ -3,10 +3,10 @@
 1. Every text becomes its set of distinct 64-bit shingle hashes.  The same hash values, in order, are the one MinHash
    permutation: the first ``K`` are the bottom-k sketch.  Equal sets (128-bit digest) collapse to one representative.
 2. Inverted lists of ``RUN`` retained values in a row find documents that overlap.  Documents that link share such a run
-   except with a chance of about 1e-9 a link: within 64 retained values a similarity of 0.85 leaves 0.742 ** 69.
-   Sets of six and seven shingles use shorter runs, and smaller sets can only link when equal.
+   except with a small chance a link: 0.742 ** 69, about 1e-9, at a similarity of 0.85, and 0.8 ** 71, about 1e-7, at 0.8.
+   Small sets also use shorter runs, long enough that a link cannot be missed.
 3. The overlapping documents are matched exactly.  Shingles are ordered from rare to common; a link needs a common shingle
-   among the first n - ceil(0.85 n) + 1 of both, so only those go to lists.  Lists with the same members count once.
+   among the first n - ceil(threshold * n) + 1 of both, so only those go to lists.  Lists with the same members count once.
 4. Lists of up to ``SMALL`` members propose pairs, which the union of two sketches sifts before whole sets decide.  Of a
    longer list one task takes it all, or two blocks of it, estimates similarity from the union of two sketches, verifies
    survivors on the full sets, and returns only links that join two parts of the list.  Members of the list's largest part
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from kitescope.llm.common import free_name, store
 
 K = 64
 RUN = 4
-PERCENT = 85
+#: Words of a shingle and least similarity in percent; the library's default for near-duplicates.
+WIDTH = 5
+PERCENT = 80
 #: Lists of so many members propose their pairs, at most SMALL - 1 for an entry; longer lists are matched inside tasks.
 SMALL = 16
 #: Bytes of sets that one block of a list may hold.
 BLOCK_BYTES = 16 << 20
-#: An estimate this far below the threshold is rejected: six standard errors of 64 values at 0.85.
-MARGIN = 0.27
+#: An estimate this far below the threshold is rejected: six standard errors of 64 values.
+MARGIN = 0.3
 
 _PIECE = 1 << 20
 _BLANK = np.zeros(256, dtype=bool)
@@ -110,7 +113,7 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]
         yield b"".join(held), np.cumsum([len(x) for x in held]), np.array(numbers)
 
 
-def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, owners = [], []
     for data, ends, numbers in _pieces(texts):
@@ -135,10 +138,26 @@ def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
     return sets
 
 
-def run_keys(s: np.ndarray, k: int = K, run: int = RUN) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def run_lengths(n: int, percent: int, k: int = K, run: int = RUN) -> tuple[int, ...]:
+    """Lengths of runs whose lists a set of n shingles joins.
+
+    A small set is its own sketch.  Where it links, at most e of the union's u shingles are not shared, so at least one run
+    of shared ones has ceil((u - e) / (e + 1)) members.
+    """
+    if n > k:
+        return (run,)
+    unions = [u for u in range(n, 100 * n // percent + 1) if u * (100 - percent) >= 100]
+    if not unions:
+        return ()  # links with equal sets only
+    sure = min(-(-(u - e) // (e + 1)) for u in unions for e in [u * (100 - percent) // 100])
+    return tuple(range(min(sure, run), run + 1))
+
+
+def run_keys(s: np.ndarray, percent: int = PERCENT, k: int = K, run: int = RUN) -> np.ndarray:
     """Keys of the inverted lists that a set joins."""
     kept = s[:k]
-    lengths = [run] if len(s) > 7 else [run, run - 1] if len(s) >= 6 else []
+    lengths = [r for r in run_lengths(len(s), percent, k, run) if r <= len(kept)]
     out = []
     for r in lengths:
         total = np.full(len(kept) - r + 1, r, dtype=np.uint64)
@@ -152,49 +171,58 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x.encode() if x is not None else b"" for x in batch.column("text").to_pylist()]
-        for a in range(0, max(len(texts), 1), 512):
-            part = batch.slice(a, 512)
-            sets = shingle_sets(texts[a:a + 512])
-            keys = [run_keys(s) for s in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                part.column("key"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_digest(s) for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
-            ], ["key", "doc_id", "n", "digest", "runs"])
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x.encode() if x is not None else b"" for x in batch.column("text").to_pylist()]
-        for a in range(0, len(texts), 256):
-            sets = shingle_sets(texts[a:a + 256])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))),
-            ], ["digest", "n", "shingles"])
-
-
-def similar(s: np.ndarray, t: np.ndarray) -> bool:
+def _sketch_batches(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.encode() if x is not None else b"" for x in batch.column("text").to_pylist()]
+            for a in range(0, max(len(texts), 1), 512):
+                part = batch.slice(a, 512)
+                sets = shingle_sets(texts[a:a + 512], width)
+                keys = [run_keys(s, percent) for s in sets]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("key"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
+                ], ["key", "doc_id", "n", "digest", "runs"])
+
+    return run
+
+
+def _set_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.encode() if x is not None else b"" for x in batch.column("text").to_pylist()]
+            for a in range(0, len(texts), 256):
+                sets = shingle_sets(texts[a:a + 256], width)
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))),
+                ], ["digest", "n", "shingles"])
+
+    return run
+
+
+def similar(s: np.ndarray, t: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sketches leave the threshold possible, judged on the sketch of their union."""
     if not len(s) or not len(t):
         return False
     reach = min(s[-1], t[-1])
     s, t = s[:np.searchsorted(s, reach, "right")], t[:np.searchsorted(t, reach, "right")]
     both = len(np.intersect1d(s, t, assume_unique=True))
-    return both >= (PERCENT / 100 - MARGIN) * (len(s) + len(t) - both)
+    return both >= (percent / 100 - MARGIN) * (len(s) + len(t) - both)
+
 
+def _estimate_batches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = batch.column("s"), batch.column("t")
+            sv, so, tv, to = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy(), t.values.to_numpy().view(np.uint64), t.offsets.to_numpy()
+            stay = pa.array([similar(sv[so[i]:so[i + 1]], tv[to[i]:to[i + 1]], percent) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(stay), batch.column("b").filter(stay)], ["a", "b"])
 
-def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        s, t = batch.column("s"), batch.column("t")
-        sv, so, tv, to = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy(), t.values.to_numpy().view(np.uint64), t.offsets.to_numpy()
-        stay = pa.array([similar(sv[so[i]:so[i + 1]], tv[to[i]:to[i + 1]]) for i in range(batch.num_rows)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(stay), batch.column("b").filter(stay)], ["a", "b"])
+    return run
 
 
 class _Parts:
@@ -284,28 +312,31 @@ def joining_links(sets: list[np.ndarray], percent: int = PERCENT, k: int = K) ->
     return links
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by list; a list may begin in one batch and end in another."""
-    now, digests, sets = None, [], []
+def _link_batches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by list; a list may begin in one batch and end in another."""
+        now, digests, sets = None, [], []
+
+        def found():
+            links = joining_links(sets, percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([digests[a] for a, _ in links], pa.binary()), pa.array([digests[b] for _, b in links], pa.binary())], ["a", "b"])
 
-    def found():
-        links = joining_links(sets)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([digests[a] for a, _ in links], pa.binary()), pa.array([digests[b] for _, b in links], pa.binary())], ["a", "b"])
+        for batch in batches:
+            names = list(zip(batch.column("list").to_pylist(), batch.column("block").to_pylist()))
+            values = batch.column("shingles")
+            flat, offsets = values.values.to_numpy().view(np.uint64), values.offsets.to_numpy()
+            for i, digest in enumerate(batch.column("digest").to_pylist()):
+                if names[i] != now:
+                    if len(sets) > 1:
+                        yield found()
+                    now, digests, sets = names[i], [], []
+                digests.append(digest)
+                sets.append(flat[offsets[i]:offsets[i + 1]].copy())
+        if len(sets) > 1:
+            yield found()
 
-    for batch in batches:
-        names = list(zip(batch.column("list").to_pylist(), batch.column("block").to_pylist()))
-        values = batch.column("shingles")
-        flat, offsets = values.values.to_numpy().view(np.uint64), values.offsets.to_numpy()
-        for i, digest in enumerate(batch.column("digest").to_pylist()):
-            if names[i] != now:
-                if len(sets) > 1:
-                    yield found()
-                now, digests, sets = names[i], [], []
-            digests.append(digest)
-            sets.append(flat[offsets[i]:offsets[i + 1]].copy())
-    if len(sets) > 1:
-        yield found()
+    return run
 
 
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
@@ -337,10 +368,11 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
+            block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: key, doc_id, n_shingles, component_id, kept."""
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    drawn = store(texts.mapInArrow(_sketch_batches, "key long, doc_id long, n long, digest binary, runs array<long>"), "sketches")
+    drawn = store(texts.mapInArrow(_sketch_batches(width, percent), "key long, doc_id long, n long, digest binary, runs array<long>"), "sketches")
     # Equal sets: one representative, and the smallest id among them.
     groups = store(drawn.filter("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("key", "n", "runs")).alias("one")).select("digest", "least", "one.*"), "groups")
@@ -350,9 +382,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     overlapping = entries.select("digest", F.min("digest").over(own).alias("lo"), F.max("digest").over(own).alias("hi"))
     overlapping = overlapping.filter("lo != hi").select("digest").distinct()
     wanted = store(groups.select("key", "digest").join(overlapping, "digest", "left_semi"), "overlapping")
-    sets = texts.join(wanted.select("key"), "key", "left_semi").select("text").mapInArrow(_set_batches, "digest binary, n long, shingles array<long>")
+    sets = texts.join(wanted.select("key"), "key", "left_semi").select("text").mapInArrow(_set_batches(width), "digest binary, n long, shingles array<long>")
     sets = store(sets.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-    links = exact_links(sets, block_bytes)
+    links = exact_links(sets, percent, block_bytes)
     rooted = components(links)
     least = groups.select("digest", "least").join(rooted, groups["digest"] == rooted["node"], "left").select(
         "digest", "least", F.coalesce("root", "digest").alias("root"))
@@ -364,7 +396,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
                       F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def exact_links(sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_links(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) between digests that join the components of sets (digest, n, shingles)."""
     postings = sets.select("digest", "n", F.explode("shingles").alias("list"))
     counted = postings.withColumn("df", F.count("*").over(Window.partitionBy("list"))).filter("df > 1")
@@ -372,7 +404,7 @@ def exact_links(sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     ranked = counted.select(
         "list", "digest", "n", F.count("*").over(own).alias("m"), F.row_number().over(own.orderBy("df", "list")).alias("r"))
     # Shingles of one document alone come first in the order from rare to common and use up the prefix.
-    length = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1
+    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     prefix = store(ranked.filter(F.col("r") <= length - (F.col("n") - F.col("m"))).select("list", "digest", "n"), "prefix")
     lists = prefix.groupBy("list").agg(
         F.count("*").alias("members"), F.sum("n").alias("total"),
@@ -380,27 +412,27 @@ def exact_links(sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     once = lists.groupBy("members", "x", "y").agg(F.min("list").alias("list"), F.first("total").alias("total"))
     once = store(prefix.select("list", "digest", "n").join(once, "list"), "lists")
     small, long = once.filter(F.col("members") <= SMALL), once.filter(F.col("members") > SMALL)
-    return _pair_links(small, sets).union(_block_links(long, sets, block_bytes))
+    return _pair_links(small, sets, percent).union(_block_links(long, sets, percent, block_bytes))
 
 
-def _pair_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _pair_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among lists of at most SMALL members: each entry meets the fewer than SMALL others of its list."""
     other = lists.select("list", F.col("digest").alias("b"), F.col("n").alias("n_b"))
     pairs = lists.select("list", F.col("digest").alias("a"), F.col("n").alias("n_a")).join(other, "list")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     pairs = pairs.select("a", "b").distinct()
     # The union of two sketches estimates first; only survivors take whole sets along.
     short = sets.select("digest", F.slice("shingles", 1, K).alias("sketch"))
     close = pairs.join(short.select(F.col("digest").alias("a"), F.col("sketch").alias("s")), "a")
     close = close.join(short.select(F.col("digest").alias("b"), F.col("sketch").alias("t")), "b")
-    close = store(close.mapInArrow(_estimate_batches, "a binary, b binary"), "close")
+    close = store(close.mapInArrow(_estimate_batches(percent), "a binary, b binary"), "close")
     full = close.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("s")), "a")
     full = full.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("t")), "b")
     both = F.size(F.array_intersect("s", "t"))
-    return store(full.filter(100 * both >= PERCENT * (F.size("s") + F.size("t") - both)).select("a", "b"), "links")
+    return store(full.filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b"), "links")
 
 
-def _block_links(lists: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
+def _block_links(lists: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     """Links that join the parts of long lists, found block by block."""
     blocks = F.expr(f"cast(8 * total div {block_bytes} + 1 as int)")
     placed = lists.select("list", "digest", blocks.alias("blocks"))
@@ -411,16 +443,16 @@ def _block_links(lists: DataFrame, sets: DataFrame, block_bytes: int) -> DataFra
         lambda j: F.least(j, F.col("mine")).cast("long") * F.col("blocks") + F.greatest(j, F.col("mine")))).alias("block"))
     filled = placed.join(sets.select("digest", "shingles"), "digest")
     dealt = filled.repartition("list", "block").sortWithinPartitions("list", "block", "digest").select("list", "block", "digest", "shingles")
-    return store(dealt.mapInArrow(_link_batches, "a binary, b binary"), "links")
+    return store(dealt.mapInArrow(_link_batches(percent), "a binary, b binary"), "links")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of every component, the one with the smallest id; a row that repeats it goes too.
 
     Documents with a null id stay only where their component has no id at all; of such a component one row stays.
     """
     key = free_name(docs, "key")
-    judged = classes(docs, id_col, text_col)
+    judged = classes(docs, id_col, text_col, width, percent)
     alone = judged.filter("component_id IS NULL").select("key", "doc_id")
     kept = judged.filter("kept").select("key", "doc_id").union(alone).groupBy("key").agg(F.count("*").alias("rows"))
     kept = store(kept.withColumnRenamed("key", key), "kept")

@@ -30,9 +30,9 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = (text or "").translate({i: i + 32 for i in range(65, 91)}).split()
-    return {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+    return {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
 def near_texts():
@@ -40,13 +40,14 @@ def near_texts():
     base = prose(rng, 130)
     texts = [None, "", " ", "one", "One", "one two", base, base.upper(), base + " "]
     texts += [edited(rng, base, rng.randrange(1, 14)) for _ in range(40)]
+    texts += [" ".join(f"b{i}" for i in range(n)) for n in range(7, 40)]
     texts += [" ".join(f"a{i}" for i in range(9)), " ".join(f"a{i}" for i in range(8)), " ".join(f"a{i}" for i in range(7))]
     texts += [prose(rng, 100) + " " + " ".join(f"shared{i}" for i in range(60)) for _ in range(8)]
     return texts + [prose(rng, rng.randrange(3, 300)) for _ in range(20)] + [" ".join(f"v{i}" for i in range(3000))] * 3
 
 
-def components(texts):
-    sets = [shingles(t) for t in texts]
+def components(texts, width, percent):
+    sets = [shingles(t, width) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -57,18 +58,18 @@ def components(texts):
     for a in range(len(texts)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return [(i, len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("small,block", [(16, 16 << 20), (1, 16 << 20), (2, 20_000)])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,width,percent", [(16, 16 << 20, 3, 85), (1, 16 << 20, 5, 80), (2, 20_000, 3, 85)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small, block, width, percent):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     texts = near_texts()
-    got = near_dedup.classes(table_of(spark, texts), block_bytes=block).select("doc_id", "n_shingles", "component_id", "kept").collect()
-    assert sorted(map(tuple, got)) == components(texts)
+    got = near_dedup.classes(table_of(spark, texts), width=width, percent=percent, block_bytes=block).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == components(texts, width, percent)
 
 
 def test_one_document_of_each_group_stays(spark):
