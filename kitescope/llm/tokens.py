@@ -17,9 +17,9 @@ import numpy as np
 REMEMBERED = 800_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECE = re.compile(f" ?[{_LETTERS}]+| ?[^{_LETTERS} ]+")
-#: Blanks before blanks, apostrophes (contractions) and characters that may be letters beyond Latin.
-_UNSURE = re.compile(r" (?=\s|$)|['ªµº]|[^\x00-ɏ]")
-_UNSURE_ASCII = ("'", "  ", " \n", " \t", " \r", " \v", " \f")
+#: Blanks in a row or at the end, apostrophes (contractions) and characters that may be letters beyond Latin.
+_UNSURE = re.compile(r"\s\s| $|['ªµº]|[^\x00-ɏ]")
+_UNSURE_ASCII = ("'", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class Encoder:
@@ -32,6 +32,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.ids: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -40,13 +44,24 @@ class Encoder:
         return cls._known[path]
 
     def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of new pieces."""
         for a in range(0, len(pieces), 20_000):
             part = pieces[a:a + 20_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4).tolist()
-            for i, piece in enumerate(part):
-                self.ids[piece] = raw[ends[i]:ends[i + 1]]
+            # Pieces that begin with a space stay apart in one text; lengths of tokens in bytes tell where each ends.
+            spaced, other = [x for x in part if x[0] == " "], [x for x in part if x[0] != " "]
+            if spaced:
+                ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, dtype="<u4")
+                stops = np.cumsum([len(x.encode()) for x in spaced])
+                self._keep(spaced, ids, np.searchsorted(np.cumsum(self.sizes[ids]), stops) + 1)
+            if other:
+                e = self.tokenizer.encode(other, is_pretokenized=True, add_special_tokens=False)
+                self._keep(other, np.array(e.ids, dtype="<u4"), np.searchsorted(np.array(e.word_ids), np.arange(len(other)), side="right"))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, at = ids.tobytes(), 0
+        for piece, end in zip(pieces, (ends * 4).tolist()):
+            self.ids[piece] = raw[at:end]
+            at = end
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -81,5 +96,6 @@ class Encoder:
     def _plain(text: str) -> bool:
         """Whether the cuts between pre-tokens are sure."""
         if text.isascii():  # substring searches are much faster than the pattern
-            return not text.endswith(" ") and not any(x in text for x in _UNSURE_ASCII)
+            if text[-1] != " " and not any(x in text for x in _UNSURE_ASCII):
+                return True
         return not _UNSURE.search(text)

@@ -99,6 +99,17 @@ def ids_of(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    "a.\n\nDe", "x\n\n\ny", "a\r\nb", "x\n b", "end ", "end\n", " start", "a \n b", "a1b2 c3", "x_y-z a.b,c", "\ta", "it's", "l'été", "a\x1c b", "ab\x85 c",
+    "ªº µ", "Ωmega x", "日本 語", "a  b", "× ÷ a×b", "word.\nWord, word", "#a <|endoftext|> b"])
+def test_pieces_give_the_ids_of_whole_texts(text):
+    from kitescope.llm.tokens import Encoder
+
+    encoder = Encoder(tokenizer_path())
+    for texts in ([text], [f"one two {text} three", text, f"{text}\n{text}"]):
+        assert list(encoder.encode(texts)) == [np.array(ids_of(x), "<u4").tobytes() for x in texts]
+
+
 def test_packing(spark):
     docs = table_of(spark, TOKEN_TEXTS)
     rows = packing.pack_documents(docs, tokenizer_path(), capacity=64).collect()
