@@ -257,10 +257,12 @@ def parse_ranked_answers(responses: DataFrame, entities: DataFrame) -> DataFrame
     exact = wanted.join(names, F.col("said") == F.col("name")).select("said", F.lit(0).alias("how"), "name")
     folded = names.groupBy(F.upper("name").alias("u")).agg(F.min("name").alias("name"))
     any_case = wanted.withColumn("u", F.upper("said")).join(folded, "u").select("said", F.lit(1).alias("how"), "name")
+    # an exact match is one in any case too; only names without either look inside others
+    rest = wanted.join(any_case.select("said"), "said", "left_anti")
     upper = names.select("name", F.upper("name").alias("token"))
     inside_one = search.matching_tokens(
-        wanted.select(F.upper("said").alias("term")).filter(F.length("term") > 0).distinct(), upper.select("token").distinct()
+        rest.select(F.upper("said").alias("term")).filter(F.length("term") > 0).distinct(), upper.select("token").distinct()
     ).join(upper, "token").groupBy("term").agg(F.min("name").alias("name"))
-    inside = wanted.withColumn("term", F.upper("said")).join(inside_one, "term").select("said", F.lit(2).alias("how"), "name")
+    inside = rest.withColumn("term", F.upper("said")).join(inside_one, "term").select("said", F.lit(2).alias("how"), "name")
     best = exact.unionByName(any_case).unionByName(inside).groupBy("said").agg(F.min_by("name", F.struct("how", "name")).alias("entity"))
     return said.join(best, "said").select("question_id", "pos", "said", "entity")
