@@ -268,6 +268,29 @@ class _Owners:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
+def _estimated(x: int, short: _Owners, sketches: list[np.ndarray], last: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Members that may link with member x, by size and by the sketch of the union, which reaches as far as both sketches."""
+    both = short.shared(sketches[x])
+    near = np.flatnonzero((both > 0) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
+    near = near[near != x]
+    reach = np.minimum(last[near], last[x])
+    mine = np.searchsorted(sketches[x], reach, "right")
+    theirs = np.array([np.searchsorted(sketches[y], r, "right") for y, r in zip(near, reach)], dtype=np.int64)
+    return near[both[near] >= (percent / 100 - MARGIN) * (mine + theirs - both[near])]
+
+
+def with_partner(sketches: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which members may link with some other member of their list."""
+    last = np.array([s[-1] if len(s) else 0 for s in sketches], dtype=np.uint64)
+    short, found = _Owners(sketches), np.zeros(len(sketches), dtype=bool)
+    for x in range(len(sketches)):
+        if not found[x]:
+            near = _estimated(x, short, sketches, last, sizes, percent)
+            found[near] = True
+            found[x] = len(near) > 0
+    return found
+
+
 def joining_links(sets: list[np.ndarray], percent: int = PERCENT, k: int = K) -> list[tuple[int, int]]:
     """Links between members that join the list's parts: every link follows from them by transitivity.
 
@@ -289,16 +312,9 @@ def joining_links(sets: list[np.ndarray], percent: int = PERCENT, k: int = K) ->
                 later.append(x)
                 continue
             done[x] = True
-            both = short.shared(sketches[x])
-            near = np.flatnonzero((both > 0) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
-            near = near[near != x]
+            near = _estimated(x, short, sketches, last, sizes, percent)
             if not len(near):
                 continue
-            # The union's sketch reaches as far as both sketches do.
-            reach = np.minimum(last[near], last[x])
-            mine = np.searchsorted(sketches[x], reach, "right")
-            theirs = np.array([np.searchsorted(sketches[y], r, "right") for y, r in zip(near, reach)])
-            near = near[both[near] >= (percent / 100 - MARGIN) * (mine + theirs - both[near])]
             if len(near) > 8:
                 full = full or _Owners(sets)
                 inter = full.shared(sets[x])[near]
@@ -312,30 +328,45 @@ def joining_links(sets: list[np.ndarray], percent: int = PERCENT, k: int = K) ->
     return links
 
 
-def _link_batches(percent: int):
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes], list[int], list[np.ndarray]]]:
+    """(name, digests, sizes, values) of every list of two or more members.
+
+    Rows come sorted by list; a list may begin in one batch and end in another.
+    """
+    now, digests, sizes, sets = None, [], [], []
+    for batch in batches:
+        names = list(zip(batch.column("list").to_pylist(), batch.column("block").to_pylist()))
+        values = batch.column("shingles")
+        flat, offsets = values.values.to_numpy().view(np.uint64), values.offsets.to_numpy()
+        for i, (digest, n) in enumerate(zip(batch.column("digest").to_pylist(), batch.column("n").to_pylist())):
+            if names[i] != now:
+                if len(sets) > 1:
+                    yield now, digests, sizes, sets
+                now, digests, sizes, sets = names[i], [], [], []
+            digests.append(digest)
+            sizes.append(n)
+            sets.append(flat[offsets[i]:offsets[i + 1]].copy())
+    if len(sets) > 1:
+        yield now, digests, sizes, sets
+
+
+def _near_batches(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list; a list may begin in one batch and end in another."""
-        now, digests, sets = None, [], []
+        for (name, block), digests, sizes, sketches in _lists(batches):
+            stay = [d for d, near in zip(digests, with_partner(sketches, np.array(sizes), percent)) if near]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(stay), pa.int64()), pa.array([block] * len(stay), pa.int64()), pa.array(stay, pa.binary())], ["list", "block", "digest"])
+
+    return run
 
-        def found():
+
+def _link_batches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, digests, _, sets in _lists(batches):
             links = joining_links(sets, percent)
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([digests[a] for a, _ in links], pa.binary()), pa.array([digests[b] for _, b in links], pa.binary())], ["a", "b"])
 
-        for batch in batches:
-            names = list(zip(batch.column("list").to_pylist(), batch.column("block").to_pylist()))
-            values = batch.column("shingles")
-            flat, offsets = values.values.to_numpy().view(np.uint64), values.offsets.to_numpy()
-            for i, digest in enumerate(batch.column("digest").to_pylist()):
-                if names[i] != now:
-                    if len(sets) > 1:
-                        yield found()
-                    now, digests, sets = names[i], [], []
-                digests.append(digest)
-                sets.append(flat[offsets[i]:offsets[i + 1]].copy())
-        if len(sets) > 1:
-            yield found()
-
     return run
 
 
@@ -441,9 +472,15 @@ def _block_links(lists: DataFrame, sets: DataFrame, percent: int, block_bytes: i
     placed = placed.withColumn("mine", mine).select("list", "digest", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.least(j, F.col("mine")).cast("long") * F.col("blocks") + F.greatest(j, F.col("mine")))).alias("block"))
-    filled = placed.join(sets.select("digest", "shingles"), "digest")
-    dealt = filled.repartition("list", "block").sortWithinPartitions("list", "block", "digest").select("list", "block", "digest", "shingles")
-    return store(dealt.mapInArrow(_link_batches(percent), "a binary, b binary"), "links")
+    # Sketches go first: whole sets follow only for members that may link with another member.
+    fields = ["list", "block", "digest", "n", "shingles"]
+
+    def dealt(members: DataFrame, values: DataFrame) -> DataFrame:
+        return members.join(values, "digest").repartition("list", "block").sortWithinPartitions("list", "block", "digest").select(*fields)
+
+    short = sets.select("digest", "n", F.slice("shingles", 1, K).alias("shingles"))
+    near = store(dealt(placed, short).mapInArrow(_near_batches(percent), "list long, block long, digest binary"), "near")
+    return store(dealt(near, sets.select("digest", "n", "shingles")).mapInArrow(_link_batches(percent), "a binary, b binary"), "links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
