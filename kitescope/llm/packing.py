@@ -2,8 +2,8 @@
 
 Documents become ids plus an end id; only a document longer than a sequence is cut, its first piece takes the remainder.
 Pieces are dealt to parts of bounded size.  A part is packed best fit decreasing; then its underfull bins are improved:
-moves, one-for-one and two-for-one exchanges, each of which increases the sum of squared fills, go on until the emptiest
-bin is empty or nothing helps.  Bins that stay underfull are opened again and packed together in fewer parts, until one
+moves, one-for-one and two-for-one exchanges, each of which increases the sum of squared fills, go on among all of them
+until none helps or no fewer bins could hold the tokens.  Bins that stay underfull are opened again and packed together in fewer parts, until one
 part is left or a round leaves more than half of its tokens in such bins.
 
 Defined results: a null or empty text is its end id alone; repeated rows and null ids are pieces like others; an empty
@@ -12,6 +12,7 @@ table gives an empty result; extra columns are ignored.  Only lengths and checks
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,6 @@ END_ID = 0
 #: Bounds of one part.
 PART_TOKENS = 16 << 20
 PART_ROWS = 50_000
-#: Bins that the local search of a part looks at.
-SEARCHED = 64
 #: A bin below this share of its capacity is packed again with others.
 FULL_SHARE = 0.995
 
@@ -88,62 +87,122 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 3) -> list[list[int]]:
-    """Local search among the emptiest bins; every step moves tokens from an emptier to a fuller bin.
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search over all underfull bins; every step moves tokens from an emptier to a bin at least as full.
 
-    It ends when no fewer bins could hold the tokens.  The bins to be emptied are as many as could be saved and a few more,
-    and SEARCHED bins with the most room take part; fuller bins have next to no room to give.
+    Bins give from the emptiest to the fullest, each by its best step until it is empty or has none.  Passes take equally full
+    bins in one order and in the other, and go on until two change nothing or no fewer bins could hold the tokens.
     """
+    bins = [b for b in bins if b]
     fill = [sum(lengths[i] for i in b) for b in bins]
     spare = len(bins) - math.ceil(sum(fill) / capacity)
-    for _ in range(rounds):
-        if spare <= 0:
-            break
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))[:SEARCHED + min(spare, 2 * SEARCHED)]
-        changed = False
-        for at, donor in enumerate(order[:min(spare, 2 * SEARCHED) + 8]):
-            for taker in reversed(order[at + 1:]):
-                while fill[donor] and fill[taker] < capacity and fill[taker] >= fill[donor]:
-                    step = _best_step(bins[donor], bins[taker], lengths, capacity - fill[taker])
-                    if step is None:
-                        break
-                    gain, give, take = step
-                    bins[donor] = [i for i in bins[donor] if i not in give] + list(take)
-                    bins[taker] = [i for i in bins[taker] if i not in take] + list(give)
-                    fill[donor] -= gain
-                    fill[taker] += gain
-                    changed = True
-                if not fill[donor]:
-                    spare -= 1
+    unchanged = 0
+    while unchanged < 2 and spare > 0:
+        unchanged += 1
+        takers = _Takers(bins, fill, lengths, capacity)
+        while takers.members:
+            # The bins that gave before are emptier (or gone) and take no more in this pass; neither does the donor itself.
+            donor = takers.having(0)
+            mine = takers.remove(donor)
+            while fill[donor]:
+                step = takers.best_step(mine)
+                if step is None:
                     break
-            if spare <= 0:
-                break
-        if not changed:
-            break
+                give, back = step
+                taker = takers.having(back)
+                theirs = takers.remove(taker)
+                for n in give:
+                    theirs.setdefault(n, []).append(_taken(mine, n))
+                if back:
+                    mine.setdefault(back, []).append(_taken(theirs, back))
+                gain = sum(give) - back
+                fill[donor] -= gain
+                fill[taker] += gain
+                takers.add(taker, theirs)
+                bins[taker] = [i for same in theirs.values() for i in same]
+                unchanged = 0
+            bins[donor] = [i for same in mine.values() for i in same]
+            if not fill[donor]:
+                spare -= 1
+                if spare <= 0:
+                    break
+        bins.reverse()
+        fill.reverse()
     return [b for b in bins if b]
 
 
-def _best_step(donor: list[int], taker: list[int], lengths: list[int], room: int):
-    """The step that moves most tokens, at most ``room``: (gain, given by the donor, given back); None if there is none."""
-    best = None
-    by_length = {}
-    for j in taker:
-        by_length.setdefault(lengths[j], j)
-    back = sorted(by_length)
-    one = sorted(((lengths[i], (i,)) for i in donor), reverse=True)
-    # Two-for-one: of two given documents the second may be any other; long lists try their longest.
-    two = [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(donor[:64]) for j in donor[k + 1:64]]
-    for size, give in one + two:
-        options = [(size, ())] if size <= room else []
-        k = np.searchsorted(back, size - room)
-        if k < len(back) and back[k] < size:
-            options.append((size - back[k], (by_length[back[k]],)))
-        for gain, take in options:
-            if best is None or gain > best[0]:
-                best = (gain, give, take)
-            if gain == room:
-                return best
-    return best
+def _taken(pieces: dict[int, list[int]], length: int) -> int:
+    same = pieces[length]
+    i = same.pop()
+    if not same:
+        del pieces[length]
+    return i
+
+
+class _Takers:
+    """Underfull bins, found by piece length and free space; length 0 stands for every bin.
+
+    ``reach[n]`` is n plus the most free space of a bin with a piece of length n: what may come in its place.
+    """
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int):
+        self.capacity, self.fill, self.n_bins = capacity, fill, len(bins)
+        self.reach = np.zeros(capacity + 1, np.int64)
+        self.heaps: dict[int, list[int]] = {}
+        self.members: dict[int, dict[int, list[int]]] = {}
+        for b, members in enumerate(bins):
+            if 0 < fill[b] < capacity:
+                pieces: dict[int, list[int]] = {}
+                for i in members:
+                    pieces.setdefault(lengths[i], []).append(i)
+                self.members[b] = pieces
+                for n in (0, *pieces):
+                    self.heaps.setdefault(n, []).append(fill[b] * self.n_bins + b)
+        for n, heap in self.heaps.items():
+            heapq.heapify(heap)
+            self._settle(n)
+
+    def _settle(self, n: int) -> None:
+        # Entries of bins that have gone, changed or lost the length are dropped when they come up.
+        heap = self.heaps[n]
+        while heap:
+            fill, b = divmod(heap[0], self.n_bins)
+            pieces = self.members.get(b)
+            if pieces is not None and self.fill[b] == fill and (not n or n in pieces):
+                self.reach[n] = n + self.capacity - fill
+                return
+            heapq.heappop(heap)
+        self.reach[n] = 0
+
+    def remove(self, b: int) -> dict[int, list[int]]:
+        pieces = self.members.pop(b)
+        for n in (0, *pieces):
+            if self.heaps[n][0] % self.n_bins == b:
+                self._settle(n)
+        return pieces
+
+    def add(self, b: int, pieces: dict[int, list[int]]) -> None:
+        if self.fill[b] < self.capacity:
+            self.members[b] = pieces
+            for n in (0, *pieces):
+                heapq.heappush(self.heaps.setdefault(n, []), self.fill[b] * self.n_bins + b)
+                self._settle(n)
+
+    def having(self, n: int) -> int:
+        """The emptiest bin with a piece of this length."""
+        return self.heaps[n][0] % self.n_bins
+
+    def best_step(self, pieces: dict[int, list[int]]) -> tuple[tuple[int, ...], int] | None:
+        """The step that moves most tokens: (lengths given, length taken back or 0); None if there is none."""
+        kinds = sorted(pieces, reverse=True)
+        give = [(n,) for n in kinds] + [
+            (n, m) for k, n in enumerate(kinds) for m in kinds[k:] if n != m or len(pieces[n]) > 1]
+        size = np.array([sum(g) for g in give])
+        # The shortest length whose place the given pieces fit into; it must be shorter than they are.
+        back = np.searchsorted(np.maximum.accumulate(self.reach), size)
+        gain = np.where(back <= self.capacity, size - back, 0)
+        k = int(gain.argmax())
+        return (give[k], int(back[k])) if gain[k] > 0 else None
 
 
 def _deal(rows: DataFrame, n: int, tokens: int) -> tuple[DataFrame, int]:

@@ -141,6 +141,23 @@ def test_local_search_saves_bins():
     assert all(sum(lengths[i] for i in b) <= 100 for b in better) and len(better) < len(bins)
 
 
+@pytest.mark.parametrize("n,least,most,capacity", [(1500, 500, 900, 2048), (400, 20, 60, 100), (900, 1, 300, 2048)])
+def test_local_search_ends_when_no_step_helps(n, least, most, capacity):
+    rng = random.Random(6)
+    lengths = [rng.randint(least, most) for _ in range(n)]
+    bins = packing.improve(packing.best_fit(lengths, capacity), lengths, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(n))
+    bins = [[lengths[i] for i in b] for b in bins]
+    if len(bins) == -(-sum(lengths) // capacity):
+        return
+    for donor in bins:
+        given = {*donor, *(x + y for k, x in enumerate(donor) for y in donor[k + 1:])}
+        for taker in bins:
+            if taker is not donor and sum(donor) <= sum(taker) < capacity:
+                room = capacity - sum(taker)
+                assert not any(0 < g - back <= room for g in given for back in {0, *taker}), (donor, taker)
+
+
 @pytest.mark.parametrize("block", [1, 3, 1 << 16])
 def test_token_counts_across_blocks(spark, block):
     docs = table_of(spark, TOKEN_TEXTS).repartition(2)
