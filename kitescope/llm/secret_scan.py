@@ -3,7 +3,8 @@
 Base kinds are patterns; their matches are leftmost and non-overlapping per kind.  The entropy kinds slide a window of
 fixed width over every run of one character class.  The window's symbol counts and the sum of c * log2(c) are carried
 from step to step, so a step costs the same for any window width; entropy = log2(width) - sum / width.  Candidates that
-an allow-list pattern matches, or that touch a base span, add nothing.
+an allow-list pattern matches add nothing, and neither do windows that touch a placeholder word; where a base span covers
+a part of an entropy span, the rest of it stays.
 
 Positions are code points, ends exclusive.  Defined results: a null or empty text has no spans; rows are judged one by
 one, so repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.  Everything
@@ -57,14 +58,15 @@ CLASSES = (
     CharClass("entropy_text", r"[A-Za-z0-9+/_=-]{24,}",
               "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 24, 3.9),
 )
-#: A candidate that one of these matches is no secret: no digit or no letter in it, a UUID, words joined by signs, placeholders.
+#: A candidate that one of these matches is no secret: no digit or no letter in it, a UUID, words joined by signs.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^/?[A-Za-z]+(?:[-_/=+]+(?:[A-Za-z]+|[0-9]{1,8}))*/?$",
-    r"(?i)example|sample|placeholder|x{6,}",
 )
+#: A window that touches one of these is no secret; other windows of its candidate may be.
+PLACEHOLDER = r"(?i)example|sample|placeholder|x{6,}"
 KINDS = tuple(p.kind for p in PATTERNS) + tuple(c.kind for c in CLASSES)
 
 
@@ -91,14 +93,28 @@ def _found(text: Column, regex: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _weight(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _windows(codes: Column, c: CharClass) -> Column:
+def _placeholders(m: Column) -> Column:
+    """For each character of ``m``, whether it belongs to a placeholder word; null if there is none."""
+    words, gaps = _found(m, PLACEHOLDER), F.split(m, PLACEHOLDER)
+    until = F.transform(words, lambda x, i: F.concat(F.array_repeat(F.lit(False), F.length(gaps[i])), F.array_repeat(F.lit(True), F.length(x))))
+    return F.when(m.rlike(PLACEHOLDER), F.concat(F.flatten(until), F.array_repeat(F.lit(False), F.length(F.element_at(gaps, -1)))))
+
+
+def _windows(codes: Column, holders: Column, c: CharClass) -> Column:
+    """First and last position of the windows of high entropy, -1 if there are none; ``holders`` as of _placeholders."""
     w = c.width
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"),
+        F.lit(-1).alias("holder"))
 
     def step(a: Column, i: Column) -> Column:
         came, left = codes[i], F.when(i >= w, codes[F.greatest(i - w, F.lit(0))]).otherwise(F.lit(-1))
@@ -107,15 +123,32 @@ def _windows(codes: Column, c: CharClass) -> Column:
         change = F.when(came == left, F.lit(0.0)).otherwise(
             _weight(up + 1) - _weight(up) + F.when(left >= 0, _weight(down - 1) - _weight(down)).otherwise(F.lit(0.0)))
         total = a["total"] + change
-        high = (i >= w - 1) & (F.round(F.lit(math.log2(w)) - total / w, 9) >= c.bits)
+        holder = F.when(holders[i], i).otherwise(a["holder"])
+        high = (i >= w - 1) & (holder < i - (w - 1)) & (F.round(F.lit(math.log2(w)) - total / w, 9) >= c.bits)
         return F.struct(
             counts.alias("counts"), total.alias("total"),
             F.when(high & (a["first"] < 0), i - (w - 1)).otherwise(a["first"]).alias("first"),
-            F.when(high, i + 1).otherwise(a["last"]).alias("last"))
+            F.when(high, i + 1).otherwise(a["last"]).alias("last"),
+            holder.alias("holder"))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda a: F.struct(a["first"], a["last"]))
 
 
+def _uncovered(x: Column, base: Column) -> Column:
+    """The parts of span ``x`` that no span of ``base`` covers; ``base`` is sorted."""
+    over = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    def left(over: Column) -> Column:
+        # Before each covering span lies a gap if all earlier ones have ended; the last gap ends with x.
+        stops = F.concat(F.transform(over, lambda b: b["start"]), F.array(x["end"]))
+        ends = F.concat(F.transform(over, lambda b: b["end"]), F.array(x["end"]))
+        gaps = F.arrays_zip(_running(ends, x["start"], lambda a, e: F.greatest(a, e)).alias("start"), stops.alias("end"))
+        return F.filter(F.transform(gaps, lambda g: F.struct(g["start"].alias("start"), x["kind"].alias("kind"), g["end"].alias("end"))),
+                        lambda part: part["start"] < part["end"])
+
+    return _once(over, lambda over: F.when(F.size(over) == 0, F.array(x)).otherwise(left(over)))
+
+
 def _none() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
@@ -156,7 +189,8 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> tupl
             for regex in ALLOWED:
                 allowed = allowed | m.rlike(regex)
             codes = F.transform(F.split(m, ""), lambda x: F.instr(F.lit(c.alphabet), x) - 1)
-            r = F.when(~allowed, _windows(codes, c))
+            both = F.struct(codes.alias("codes"), _placeholders(m).alias("holders"))
+            r = F.when(~allowed, _once(both, lambda x: _windows(x["codes"], x["holders"], c)))
             return F.struct(r.alias("r"), s[f"{c.kind}_at"][i].alias("at"))
 
         spans = F.transform(
@@ -167,7 +201,7 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> tupl
     base = F.sort_array(F.concat(*[base_spans(i, p) for i, p in enumerate(PATTERNS)]))
     more = F.concat(*[entropy_spans(len(PATTERNS) + i, c) for i, c in enumerate(CLASSES)])
     work = work.select(*kept, F.struct(base.alias("base"), more.alias("more")).alias(name))
-    apart = F.filter(s["more"], lambda x: ~F.exists(s["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    apart = F.flatten(F.transform(s["more"], lambda x: _uncovered(x, s["base"])))
     return work.select(*kept, F.struct(
         s["base"].alias("base"), F.when(F.size(s["more"]) == 0, s["base"]).otherwise(F.sort_array(F.concat(s["base"], apart))).alias("spans"),
     ).alias(name)), name
