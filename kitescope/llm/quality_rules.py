@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from kitescope.llm.common import BLANK_RUN, NOT_BLANK, free_name, keep_where, split_words
 
 WINDOW = 5
+#: Letters of scripts that put no blanks between words, as a Java character class.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,9 @@ RULES = (
     Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
     Rule("symbols", lambda m: 20 * m["n_symbols"] > m["n_words"]),
     Rule("repeated_lines", lambda m: (m["n_lines"] >= 5) & (100 * m["n_dup_lines"] > 50 * m["n_lines"])),
-    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"])),
+    # Where most letters belong to scripts without blanks, a run between blanks is no word and its length says nothing.
+    Rule("word_length", lambda m: (2 * m["n_unspaced"] <= m["n_letters"]) & (
+        (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"]))),
     Rule("shouting", lambda m: 100 * m["n_upper"] > 50 * m["word_chars"]),
 )
 BASE_RULES = ("few_words", "repeated_words")
@@ -49,7 +53,7 @@ POLICIES = {
 }
 CURRENT = "v2"
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_unspaced", "n_letters")
 
 
 def mask_of(rules, known=RULES) -> int:
@@ -70,6 +74,9 @@ def measure(docs: DataFrame, text_col: str = "text", into: str = "quality") -> t
         lines.alias("lines"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long").alias("n_upper"),
+        # Both counts are 0 where no such letter is; most texts end with the search for one.
+        *[F.when(text.rlike(f"[{UNSPACED}]"), F.length(F.regexp_replace(text, others, ""))).otherwise(F.lit(0)).cast("long").alias(c)
+          for c, others in (("n_unspaced", f"[^{UNSPACED}]+"), ("n_letters", r"[^\p{L}\p{M}]+"))],
     ).alias(name))
     w = F.col(f"`{name}`")
     hashes = F.transform(w["words"], lambda x: F.xxhash64(x))
@@ -80,13 +87,15 @@ def measure(docs: DataFrame, text_col: str = "text", into: str = "quality") -> t
         (F.size(w["lines"]) - F.size(F.array_distinct(w["lines"]))).cast("long").alias("n_dup_lines"),
         F.size(w["lines"]).cast("long").alias("n_lines"),
         w["n_upper"].alias("n_upper"),
+        w["n_unspaced"].alias("n_unspaced"),
+        w["n_letters"].alias("n_letters"),
         hashes.alias("hashes"),
     ).alias(name))
     h, n = w["hashes"], w["n_words"].cast("int")
     windows = F.when(n >= WINDOW, F.transform(
         F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)]),
     )).otherwise(F.array().cast("array<bigint>"))
-    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper"]
+    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_unspaced", "n_letters"]
     work = work.select(*kept, F.struct(*[w[c].alias(c) for c in first], windows.alias("windows")).alias(name))
     # Most texts repeat no window: counting distinct hashes is cheap and spares them the sort.
     repeats = F.size(F.array_distinct(w["windows"])) < F.size(w["windows"])

@@ -62,6 +62,20 @@ def test_policies_and_ablation_follow_from_bits(spark):
     assert kept.count() == sum(b & mask == 0 for b in bits)
 
 
+def test_word_length_spares_scripts_without_blanks(spark):
+    chinese = " ".join(f"第{c}段讲述城市的历史和人们的日常生活，并且说明了河流如何改变道路。" for c in "一二三四五六七八九十百千")
+    thai = " ".join(f"ประโยคที่{c}กล่าวถึงประวัติศาสตร์ของเมืองและชีวิตประจำวันของผู้คน" for c in "กขคงจฉชซฌญฎฏ")
+    japanese = " ".join(f"{c}の文章は、コンピューターの歴史と人々の生活について詳しく説明しています。" for c in "一二三四五六七八九十百千")
+    blob = " ".join(f"{i:02d}abcdefghijklmnopqrstuvwxyz" for i in range(12))
+    texts = [chinese, thai, japanese, blob, blob + " 中文"]
+    bit = quality_rules.mask_of(["word_length"])
+    got = {r.doc_id: r for r in quality_rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(r.word_chars > 14 * r.n_words for r in got.values())
+    assert [bool(got[i].fail_bits & bit) for i in range(5)] == [False, False, False, True, True]
+    kept = quality_rules.filter_documents(documents(spark, texts))
+    assert {r.text for r in kept.collect()} == {chinese, thai, japanese}
+
+
 @pytest.mark.parametrize("operator", [quality_rules.filter_documents, secret_scan.redact])
 def test_empty_table(spark, operator):
     empty = documents(spark).limit(0)
