@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitescope.llm import (
-    decontaminate, language_id, near_dedup, oracle, packing, quality_rules, repair_tokens, secret_scan, sharding, suffix_dedup,
-    token_counts,
+    conversation_repair, decontaminate, language_id, near_dedup, oracle, packing, quality_rules, repair_tokens, secret_scan, sharding,
+    suffix_dedup, token_counts, whitening,
 )
 from kitescope.llm.common import table
 
@@ -105,3 +105,15 @@ def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_all(turns, conversation_repair.damaged(turns))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
