@@ -49,4 +49,7 @@ OP4 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(tr
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM d JOIN root ON root.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
-ORACLE = {"op2_benchmark_decontamination": OP2, "op4_near_dedup": OP4, "op6_quality_rules": OP6}
+OP11 = (OP4.replace("ws[p:p + 2]", "ws[p:p + 4]").replace("len(ws) - 2", "len(ws) - 4").replace(">= 85 *", ">= 80 *")
+        .replace(", component_id = d.doc_id AS kept", ""))
+
+ORACLE = {"op11_jaccard_join": OP11, "op2_benchmark_decontamination": OP2, "op4_near_dedup": OP4, "op6_quality_rules": OP6}

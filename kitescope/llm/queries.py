@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitescope.llm import (
-    conversation_repair, decontaminate, language_id, near_dedup, oracle, packing, quality_rules, repair_tokens, secret_scan, sharding,
+    conversation_repair, decontaminate, jaccard_join, language_id, near_dedup, oracle, packing, quality_rules, repair_tokens, secret_scan, sharding,
     suffix_dedup, token_counts, whitening,
 )
 from kitescope.llm.common import table
@@ -107,6 +107,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
