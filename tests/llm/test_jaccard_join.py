@@ -91,6 +91,12 @@ def test_every_link_shares_a_key(percent):
         mine = asked[asked >> 40 == band]
         held = jj.index_keys(small, np.array([len(small)]), mine, np.array([len(mine)]), percent)
         assert set(keys.values.to_pylist()) & set(held.values.to_pylist()), (len(small), len(large))
+        if len(small) < len(large) or set(small) != set(large):
+            met, *_ = jj.first_look(np.concatenate([small, large]), np.array([len(small), len(large)]), percent)
+            assert list(met) == [0, 1], (len(small), len(large))
+            parts = [jj.first_look(s, np.array([len(s)]), percent) for s in (small, large)]
+            held, asked = [{k for k, r in zip(part[1].tolist(), part[3].tolist()) if r & bit} for part, bit in zip(parts, (1, 2))]
+            assert held & asked
 
 
 def test_allowances_add_up_and_avoid_frequent_segments():
@@ -102,7 +108,7 @@ def test_allowances_add_up_and_avoid_frequent_segments():
     cut = jj._Cut(values, sizes, np.array([0]), band, jj.segments_of(band, starts))
     need = jj.most_apart(2 * sizes) + 1
     frequency = np.where(cut.segment[cut.gid] < 25, 10 ** 5, 1)
-    v = jj.allowances(cut, frequency, need)
+    v = jj.allowances(cut, *jj.costs_by_frequency(cut, frequency), need)
     assert (v + 1).sum() == need[0] and v.min() == -1 and v.max() == 1
     assert (v[:25] == -1).all()
 
