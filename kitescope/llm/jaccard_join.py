@@ -3,7 +3,7 @@
 Two sets of sizes a and b with similarity t or more differ in at most H = floor((a + b) * (1 - t) / (1 + t)) members.
 
 1. Sizes fall into bands whose starts grow by 1 / t, so the smaller set of a link lies in the band of the larger one or in the
-   band below.  Each band hashes the universe of shingles into H + 1 segments for its largest H.
+   band below.  Each band hashes the universe of shingles into H + 1 segments for its largest H, and a seventh more to choose from.
 2. The larger set of a pair is the probe.  It gives every segment of a band it visits an allowance v of -1, 0 or 1 such that the
    sum of v + 1 is at least its own H + 1.  By the pigeonhole principle one segment then differs in at most v members.
    v = 0 looks a segment's subset up; v = 1 also looks up its one-deletion neighbourhood, and its subset in the index of
@@ -49,6 +49,9 @@ BLOCK_BYTES = 16 << 20
 #: Members that one step of the vectorised code takes at once, unless one set has more.
 STEP = 400_000
 
+#: One segment in so many is spare, so that probes may skip the smallest, which are the most frequent.
+SPARE = 7
+
 _NEVER = np.int64(1) << np.int64(40)
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 _WHERE, _WHAT = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -72,7 +75,8 @@ def most_apart(total: np.ndarray | int, percent: int = PERCENT):
 
 def segments_of(band: np.ndarray, starts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     top = starts[band + 1] - 1
-    return most_apart(top + top * 100 // percent, percent) + 1
+    least = most_apart(top + top * 100 // percent, percent) + 1
+    return least + least // SPARE
 
 
 class _Cut:
