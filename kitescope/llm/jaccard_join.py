@@ -42,6 +42,8 @@ WIDTH = 5
 PERCENT = 80
 #: Up to so many documents a shingle counts as rare: its lists are short whatever is chosen.
 RARE = 8
+#: What a deletion neighbourhood costs beside its lists: both sides write a key for each member of the segment.
+NEIGHBOURHOOD = 64
 #: Probes of a list, or members outside its largest part, that are met pair by pair.
 SMALL = 16
 #: Bytes of sets that one block of a list may hold.
@@ -138,7 +140,7 @@ def costs_by_frequency(cut: _Cut, frequency: np.ndarray) -> tuple[np.ndarray, np
     first, second = np.full(cut.total, _NEVER), np.full(cut.total, _NEVER)
     lone, several = np.flatnonzero(cut.count > 0), np.flatnonzero(cut.count > 1)
     first[lone] = ranked[start[lone]]
-    second[several] = ranked[start[several] + 1]
+    second[several] = ranked[start[several] + 1] + NEIGHBOURHOOD
     return first, second
 
 
