@@ -498,7 +498,8 @@ def joining_links(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BL
         "key", "hub", (F.least(F.col("probes"), F.col("members") - F.col("probes")) <= SMALL).alias("short")), "lists")
     short, long = lists.filter("short").select("key"), lists.filter("NOT short").select("key", "hub")
     # The larger set of a pair is the probe; equal sizes go by digest.
-    left = asks.join(short, "key").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    # Lists grow with the texts, so they are never broadcast: the plan is the same at every size.
+    left = asks.join(short.hint("merge"), "key").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
     pairs = left.join(holds.select("key", F.col("node").alias("b"), F.col("n").alias("n_b")), "key")
     larger = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
     pairs = pairs.filter(larger & (100 * F.col("n_b") >= percent * F.col("n_a"))).select("a", "b")
