@@ -128,11 +128,27 @@ def proposals(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int =
 
 
 def near(docs: DataFrame, items: DataFrame, slop: int = SLOP, width: int = WIDTH) -> DataFrame:
-    """Proximity matches (doc_id, item_id, shift): a window's two rarest terms lie ``slop`` words or less from their distance."""
-    aligned, wanted = proposals(docs, items, width, slop)
-    ids = docs.select(_key(docs, "doc_id", "text").alias("row"), "doc_id").distinct()
-    return (aligned.join(wanted.select("item", F.explode("ids").alias("item_id")), "item").join(ids, "row")
-            .select("doc_id", "item_id", "shift").distinct())
+    """Proximity matches (doc_id, item_id, shift).
+
+    An item matches at a shift where every word of some window of it occurs at most ``slop`` words from its place.  The lists
+    of the window's two rarest words propose shifts; all its words are then placed on the whole text.
+    """
+    # Two words that are each within slop of their places are within twice that of each other's.
+    aligned, wanted = proposals(docs, items, width, 2 * slop)
+    rows = docs.select(_key(docs, "doc_id", "text").alias("row"), "doc_id", words_of(F.col("text")).alias("here")).dropDuplicates(["row"])
+    shifts = F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop)).alias("shift")
+    tried = aligned.select("row", "item", shifts).distinct().groupBy("row", "item").agg(F.collect_list("shift").alias("shifts"))
+    tried = tried.join(wanted.select("item", "words", "ids"), "item").join(rows, "row")
+
+    def fits(shift: Column) -> Column:
+        size = F.size("words")
+        need = F.least(F.lit(width), size)
+        placed = F.transform("words", lambda w, k: F.array_contains(F.slice(
+            F.col("here"), F.greatest(shift + k - slop, F.lit(0)) + 1, F.greatest(shift + k + slop + 1 - F.greatest(shift + k - slop, F.lit(0)), F.lit(0))), w))
+        return F.exists(F.sequence(F.lit(0), size - need), lambda i: F.forall(F.slice(placed, i + 1, need), lambda y: y))
+
+    found = tried.withColumn("shift", F.explode(F.filter("shifts", fits)))
+    return found.select("doc_id", F.explode("ids").alias("item_id"), "shift").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",

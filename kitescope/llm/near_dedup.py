@@ -396,7 +396,9 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
+    # The hash skips nulls, so marks tell (5, null) from (null, "5").
+    number, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")
+    return F.xxhash64(number, text, number.isNull(), text.isNull())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,

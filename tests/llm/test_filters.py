@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -175,7 +176,27 @@ def test_decontamination_of_empty_tables_and_near_matches(spark):
     item = spark.createDataFrame([(1, "red lorry yellow lorry")], "item_id long, text string")
     texts = spark.createDataFrame([(1, "a red big lorry yellow lorry"), (2, "red one two three four five six seven eight yellow")], "doc_id long, text string")
     assert {r.doc_id for r in decontaminate.near(texts, item).collect()} == {1}
-    assert {r.doc_id for r in decontaminate.near(texts, item, slop=9).collect()} == {1, 2}
+    # The second text lacks a word of the item, so no slop makes it match.
+    assert {r.doc_id for r in decontaminate.near(texts, item, slop=9).collect()} == {1}
+
+
+def test_near_matches_equal_a_search_of_all_shifts(spark):
+    rng = random.Random(4)
+    texts = [(d, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 25)))) for d in range(60)] + [(60, None), (61, "a b c " * 3)]
+    items = [(1, "a b c d"), (2, "e f"), (3, "h"), (4, "a a b"), (5, ""), (6, "a b c d e f g h a b c d e f g h")]
+    for slop, width in ((0, 13), (1, 13), (2, 3)):
+        want = set()
+        for d, text in texts:
+            words = WORD.findall(text or "")
+            for i, item in items:
+                mine = WORD.findall(item)
+                need = min(width, len(mine))
+                for shift in range(-len(mine) - slop, len(words) + slop + 1):
+                    placed = [w in words[max(shift + k - slop, 0):max(shift + k + slop + 1, 0)] for k, w in enumerate(mine)]
+                    if mine and any(all(placed[k:k + need]) for k in range(len(mine) - need + 1)):
+                        want.add((d, str(i), shift))
+        got = decontaminate.near(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop, width)
+        assert {(r.doc_id, str(r.item_id), r["shift"]) for r in got.collect()} == want, (slop, width)
 
 
 def test_sharding_is_a_gapless_reproducible_shuffle(spark):
@@ -205,3 +226,11 @@ def test_permutation_and_its_inverse(spark, n):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_keep_one_tells_nulls_apart(spark):
+    from kitescope.llm import near_dedup
+
+    rows = [(5, None), (None, "5"), (6, "six words that nobody else has")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, near_dedup.keep_one(table).collect())) == sorted(map(str, table.collect()))
