@@ -73,7 +73,7 @@ def neighbour_attention(questions: DataFrame, vertices: DataFrame, edges: DataFr
     The full ranking covers every vertex for every question; :func:`attention_ranks` gives the exact
     place of chosen vertices in it without writing it out.
     """
-    return topk.top_scores(attention_vectors(vertices, edges), question_vectors(questions), n, threshold)
+    return topk.top_scores(cut_lineage(attention_vectors(vertices, edges)), question_vectors(questions), n, threshold)
 
 
 def attention_ranks(questions: DataFrame, vertices: DataFrame, edges: DataFrame, wanted: DataFrame, threshold: float = 0.1) -> DataFrame:

@@ -89,19 +89,13 @@ def fit(corpus: DataFrame, max_features: int = 1000, stop_words: list[str] = DEF
         F.col("t.term").alias("term"), "position", F.col("t.df").alias("df"),
         (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("t.df"))) + F.lit(1.0)).alias("idf"),
     )
-    # the fitted vocabulary is read by every later use of the model; the corpus is scanned once for it
+    # the fitted vocabulary and rows are read by every later use of the model; the corpus is scanned once for each
     vocabulary = cut_lineage(vocabulary)
-    return TfidfModel(vocabulary, _vectors(terms, vocabulary, "entity"), max_features, stop_words)
+    return TfidfModel(vocabulary, cut_lineage(_vectors(terms, vocabulary, "entity")), max_features, stop_words)
 
 
 def search(model: TfidfModel, questions: DataFrame, k: int = 10, threshold: float = 0.01) -> DataFrame:
-    """Best ``k`` entities per question by cosine, above ``threshold``."""
-    sparse = model.weights(questions.select("question_id", F.col("question").alias("text")), "question_id")
-    dense = sparse.select(
-        "question_id",
-        # the map is bound once per question
-        F.transform(F.array(F.map_from_arrays("positions", "weights")), lambda m: F.transform(
-            F.sequence(F.lit(0), F.lit(model.max_features - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)),
-        ))[0].alias("vector"),
-    )
-    return topk.top_scores(model.entities, dense, k, threshold, dims=model.max_features)
+    """Best ``k`` entities per question by cosine, above ``threshold``; both sides travel as sparse rows."""
+    asked = cut_lineage(model.weights(questions.select("question_id", F.col("question").alias("text")), "question_id"))
+    wide = F.lit(model.max_features).alias("dims")
+    return topk.top_scores(model.entities.select("*", wide), asked.select("*", wide), k, threshold)

@@ -81,9 +81,9 @@ def cosines(e, q):
     return np.round((e / n[:, None]) @ (q / np.linalg.norm(q, axis=1)[:, None]).T, 6)
 
 
-@pytest.mark.parametrize("chunk", [2048, 4])
+@pytest.mark.parametrize("chunk", [2_000_000, 300])
 def test_top_scores_equal_brute_force(spark, vectors_data, monkeypatch, chunk):
-    monkeypatch.setattr(topk, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", chunk)
     e, q = vectors_data
     entities, asked = frames(spark, e, q)
     got = {}
@@ -111,7 +111,7 @@ def test_group_means(spark, vectors_data):
 
 
 def test_exact_ranks(spark, vectors_data, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK_ROWS", 9)
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 300)
     e, q = np.abs(vectors_data[0]), np.abs(vectors_data[1])
     q[3] = q[2]
     ents = spark.createDataFrame([(f"e{i:04d}", v.tolist()) for i, v in enumerate(e)], "entity string, vector array<double>").repartition(4)
@@ -177,9 +177,60 @@ def test_parse_ranked_answers(spark):
 def test_vectors_meet_vectors_of_their_length_only(spark, monkeypatch):
     entities = spark.createDataFrame([("two", [1.0, 0.0]), ("three", [1.0, 0.0, 0.0])], "entity string, vector array<double>")
     questions = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0])], "question_id string, vector array<double>")
-    for rows in (2048, 1):
-        monkeypatch.setattr(topk, "CHUNK_ROWS", rows)
+    for numbers in (topk.BLOCK_NUMBERS, 1):
+        monkeypatch.setattr(topk, "BLOCK_NUMBERS", numbers)
         got = topk.top_scores(entities, questions, 5, None).collect()
         assert sorted((r.question_id, r.entity) for r in got) == [("a", "two"), ("b", "three")]
     wanted = spark.createDataFrame([(q, e) for q in "ab" for e in ("two", "three")], "question_id string, entity string")
     assert sorted(map(tuple, topk.exact_ranks(entities, questions, wanted, 0.0).collect())) == [("a", "two", 1), ("b", "three", 1)]
+
+
+def test_one_and_many_blocks_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    entities = spark.createDataFrame([(f"e{i:03d}", rng.standard_normal(6 if i % 3 else 4).tolist()) for i in range(200)], "entity string, vector array<double>")
+    questions = spark.createDataFrame([(f"q{i:02d}", rng.standard_normal(6 if i % 2 else 4).tolist()) for i in range(30)], "question_id string, vector array<double>")
+    groups = entities.withColumnRenamed("entity", "group_key")
+    wanted = spark.createDataFrame([(f"q{i:02d}", f"e{i:03d}") for i in range(30)], "question_id string, entity string")
+
+    def run():
+        best = [topk.top_scores(entities, questions, 4, t, cosine=c) for t, c in ((None, False), (0.9, True), (1.5, True))]
+        folded = topk.group_scores(groups, questions, 0.1).selectExpr("question_id", "group_key", "round(total, 9) AS total", "n")
+        return [sorted(map(tuple, df.collect())) for df in (*best, folded, topk.exact_ranks(entities, questions, wanted, -9.0))]
+
+    whole = run()
+    assert whole[0] and whole[1] and not whole[2]
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 24)
+    assert run() == whole
+
+
+def test_top_scores_of_nothing(spark):
+    none = spark.createDataFrame([], "entity string, vector array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 2.0]), ("empty", []), ("null", None)], "question_id string, vector array<double>")
+    some = spark.createDataFrame([("e", [0.0, 0.0]), ("f", None), ("g", [])], "entity string, vector array<double>")
+    assert topk.top_scores(none, asked, 3, None).count() == 0
+    assert topk.top_scores(some, asked, 3, None, cosine=True).count() == 0
+    assert [tuple(r) for r in topk.top_scores(some, asked, 3, None).collect()] == [("q", "e", 0.0, 1)]
+
+
+def test_sparse_search_equals_the_full_product(spark):
+    rng = np.random.default_rng(2)
+    words = [f"t{i}" for i in range(25)]
+    share = 1 / np.arange(1, 26)
+    text = lambda n: " ".join(rng.choice(words, size=n, p=share / share.sum()))
+    corpus = spark.createDataFrame([(f"e{i:03d}", text(rng.integers(1, 30))) for i in range(250)] + [("none", "")], "entity string, text string")
+    asked = spark.createDataFrame([(f"q{i:02d}", text(rng.integers(1, 12))) for i in range(40)] + [("bare", "unknown")], "question_id string, question string")
+    model = tfidf.fit(corpus, 60)
+    unpack = lambda df, key: {r[key]: dict(zip(r.positions, r.weights)) for r in df.collect()}
+    rows = unpack(model.entities, "entity")
+    for k in (1, 7):
+        got = {}
+        for r in tfidf.search(model, asked, k).collect():
+            got.setdefault(r.question_id, []).append((r["rank"], r.entity, round(r.score, 5)))
+        for q, v in unpack(model.weights(asked.withColumnRenamed("question", "text"), "question_id"), "question_id").items():
+            scores = sorted((-round(sum(w * e.get(p, 0.0) for p, w in v.items()), 6), n) for n, e in rows.items())
+            want = [-s for s, _ in scores if -s > 0.01][:k]
+            mine = sorted(got.get(q, []))
+            assert [s for _, _, s in mine] == pytest.approx(want, abs=2e-5)
+            full = {n: -s for s, n in scores}
+            assert all(abs(full[n] - s) < 2e-5 for _, n, s in mine) and [r for r, _, _ in mine] == list(range(1, len(want) + 1))
+    assert "bare" not in got
