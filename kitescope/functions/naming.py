@@ -48,9 +48,9 @@ def _relationship_rules(column_name: Column) -> list[tuple[Column, str, float]]:
     return [
         (low.endswith("_sk"), "SURROGATE_KEY", 0.95),
         (low == "smcp", "SMCP_MATCH", 0.95),
-        (low.rlike("_id|_key"), "KEY_MATCH", 0.90),
+        (low.contains("_id") | low.contains("_key"), "KEY_MATCH", 0.90),
         (low.endswith("_code"), "CODE_MATCH", 0.85),
-        (low.rlike("^key$|id$"), "ID_MATCH", 0.80),
+        ((low == "key") | low.endswith("id"), "ID_MATCH", 0.80),
     ]
 
 

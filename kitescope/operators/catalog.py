@@ -232,6 +232,24 @@ def merged_edges_of(merged: DataFrame, chosen: DataFrame) -> DataFrame:
     return left.unionByName(there.unionByName(back).join(seeds, "seed", "left_semi").select(*left.columns))
 
 
+def merged_counts_of(merged: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(seed, relationship_type, n): how many merged edges the chosen tables have, counted without writing them out.
+
+    A member of a list of n has n - 1 inferred edges; replaced ones go, explicit ones come.
+    """
+    seeds = chosen.select(F.col("table_name").alias("seed")).distinct()
+    lists, edges = merged.filter("form = 'member'"), merged.filter("form = 'edge'")
+    inferred = lists.select(F.col("from_table").alias("seed"), "relationship_type", (F.col("group_size") - 1).alias("n"))
+    pairs = edges.filter("replaces IS NOT NULL").select(
+        F.least("from_table", "to_table").alias("a"), F.greatest("from_table", "to_table").alias("b"), "from_column", "replaces").distinct()
+    lost = pairs.select(F.explode(F.array("a", "b")).alias("seed"), F.col("replaces").alias("relationship_type"), F.lit(-1).cast("bigint").alias("n"))
+    # an edge between two tables counts for both, a table's edge with itself once
+    ends = F.explode(F.array_distinct(F.array("from_table", "to_table"))).alias("seed")
+    gained = edges.select(ends, "relationship_type", F.lit(1).cast("bigint").alias("n"))
+    every = inferred.unionByName(lost).unionByName(gained).join(seeds, "seed", "left_semi")
+    return every.groupBy("seed", "relationship_type").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 # --- dates, statistics, checks ----------------------------------------------------------------------
 
 

@@ -16,6 +16,10 @@ BASE_TABLES = (
     "benchmark labels conversations"
 ).split()
 
+#: Session setting for tables of one row group, which Spark reads in one task: deal their rows over all threads first.
+#: Off unless a session asks for it; tables of many row groups need none.
+SPREAD = "spark.kitescope.spreadInputs"
+
 METHODS = ["Keyword", "Vector", "TFIDF", "LinkTraversal", "GPT4"]
 
 DIALECT = {
@@ -226,6 +230,8 @@ class Carriers:
         if name not in self._made:
             if name in BASE_TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if self.spark.conf.get(SPREAD, "false") == "true":
+                    df = df.repartition(self.spark.sparkContext.defaultParallelism)
             else:
                 inputs = {n: self(n) for n in inputs_of(name)}
                 text = self._protect(_fill_dialect(CARRIERS[name], "spark"), inputs)

@@ -11,6 +11,7 @@ from kitescope.functions import naming, vectors
 from kitescope.operators import catalog
 from kitescope.plans.registry import query
 from kitescope.plans.text_queries import first_match_sql
+from kitescope.session import cut_lineage
 
 REL_TYPE = """CASE WHEN ends_with(lower({c}), '_sk') THEN 'SURROGATE_KEY' WHEN lower({c}) = 'smcp' THEN 'SMCP_MATCH'
  WHEN contains(lower({c}), '_id') OR contains(lower({c}), '_key') THEN 'KEY_MATCH' WHEN ends_with(lower({c}), '_code') THEN 'CODE_MATCH'
@@ -259,9 +260,10 @@ MERGED = f"""{KEYED}, {CHAIN}, {RULES},
 SELECT 'all tables' AS scope, relationship_type, n FROM totals UNION ALL SELECT seed, relationship_type, count(*) FROM kept GROUP BY 1, 2""",
 )
 def k10(c):
-    stored = merged(c)
+    # read for the totals and for the chosen tables
+    stored = cut_lineage(merged(c))
     chosen = c("c_tables").filter(F.col("table_type") == "calendar").select(F.col("name").alias("table_name"))
-    own = catalog.merged_edges_of(stored, chosen).groupBy(F.col("seed").alias("scope"), "relationship_type").agg(F.count("*").alias("n"))
+    own = catalog.merged_counts_of(stored, chosen).withColumnRenamed("seed", "scope")
     return catalog.merged_totals(stored).select(F.lit("all tables").alias("scope"), "relationship_type", "n").unionByName(own)
 
 

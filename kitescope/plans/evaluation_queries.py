@@ -13,8 +13,7 @@ from kitescope.plans.text_queries import first_match_sql
 
 RUN = """run AS (SELECT question_id, method, CAST(rank AS INT) AS rank, entity FROM (
  SELECT question_id, method, entity, row_number() OVER (PARTITION BY question_id, method ORDER BY first_position, entity) AS rank FROM (
-  SELECT question_id, method, trim(entity) AS entity, min(position) AS first_position FROM r_predictions WHERE trim(entity) <> '' GROUP BY 1, 2, 3) d) e
- WHERE rank <= 10)"""
+  SELECT question_id, method, trim(entity) AS entity, min(position) AS first_position FROM r_predictions WHERE trim(entity) <> '' GROUP BY 1, 2, 3) d) e)"""
 POSITIONS = f"""{RUN}, positions AS (SELECT p.question_id, p.method, t.entity, min(p.rank) AS position FROM run p JOIN r_truth t ON p.question_id = t.question_id
  AND (contains(lower(p.entity), lower(t.entity)) OR contains(lower(t.entity), lower(p.entity))) GROUP BY 1, 2, 3)"""
 METRICS = f"""{POSITIONS},

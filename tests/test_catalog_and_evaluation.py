@@ -55,6 +55,9 @@ def test_explicit_edges_win(spark, columns):
     assert sum(totals.values()) == len(expected) and totals["CURATED"] == 2 and totals["RULE"] == 1
     chosen = spark.createDataFrame([("t03",)], "table_name string")
     got = {(*sorted((r.seed, r.related)), r.from_column, r.to_column): r.relationship_type for r in catalog.merged_edges_of(merged, chosen).collect()}
+    counted = {(r.seed, r.relationship_type): r.n for r in catalog.merged_counts_of(merged, chosen).collect()}
+    listed = catalog.merged_edges_of(merged, chosen).groupBy("seed", "relationship_type").count().collect()
+    assert counted == {(r.seed, r.relationship_type): r["count"] for r in listed}
     assert got.keys() == {k for k in expected if "t03" in k[:2]}
     assert all(got[k] == v for k, v in expected.items() if k in got and v != "inferred")
 
