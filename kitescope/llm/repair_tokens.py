@@ -1,13 +1,14 @@
 """Token files compressed by Re-Pair grammars.
 
 Documents go to shards by ranges of ids, in ascending order, and a shard is cut into blocks of whole documents.  In a
-block, rounds of pair replacement turn frequent pairs of neighbouring symbols into new symbols; a pair never crosses a
-document's end.  A stored block has its documents and where each ends in the compressed sequence, the rules (two symbols
+block, frequent pairs of neighbouring symbols are replaced by new symbols until no pair is frequent; a pair never crosses
+a document's end.  A stored block has its documents and where each ends in the compressed sequence, the rules (two symbols
 each), the length every new symbol expands to, and the sequence in 16 or 32 bits.  So any document, or any position in it,
 is decoded from its own part of the sequence.
 
-A round counts pairs by hash: each cell keeps one of its pairs, counted exactly, and every kept pair that is frequent
-becomes a rule at once; where occurrences overlap, those at even places of the run are replaced.
+Pairs are counted exactly.  A round replaces every pair that occurs LEAST times or more, the more frequent first where two
+overlap.  Pairs of symbols that were there before cannot become frequent again, so the next round counts the neighbours of
+the new symbols only, and all rounds together touch each position a few times.
 
 Defined results: a null or empty text is its end id alone; equal ids keep an order of their own and equal rows are each
 written; null ids come first; an empty table gives an empty result; extra columns are ignored.  A block holds at least one
@@ -30,51 +31,81 @@ from kitescope.llm.tokens import Encoder
 
 BLOCK_IDS = 1 << 19
 END_ID = 2
-ROUNDS = 3
 LEAST = 24
-_CELL_BITS = 17
+_NONE = np.iinfo(np.int32).max
 _FORMAT = ("shard long, block long, first long, n_ids long, base long, doc_ids array<long>, ends array<long>, counts array<long>, "
            "rules binary, levels array<long>, lengths binary, width int, sequence binary")
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int = LEAST):
+def _frequent(code: np.ndarray, least: int):
+    """(pairs, index, rank): pairs that occur ``least`` times or more, most frequent first, and where they occur in ``code``."""
+    # A hash cell holds at least as many occurrences as each of its pairs, so only full cells need sorting.
+    bits = max(8, len(code).bit_length() - 1)
+    cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    index = np.flatnonzero(np.bincount(cell, minlength=1 << bits)[cell] >= least)
+    index = index[np.argsort(code[index])]
+    held = code[index]
+    begins = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.empty(0, np.int64)
+    counts = np.diff(np.concatenate((begins, [len(held)])))
+    rank = np.full(len(begins), _NONE, dtype=np.int32)
+    chosen = np.flatnonzero(counts >= least)
+    chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
+    rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+    of_each = np.repeat(rank, counts)
+    return held[begins[chosen]], index[of_each != _NONE], of_each[of_each != _NONE]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     """(base, rules, levels, sequence, ends): ``ends`` are exclusive ends of documents, ``levels`` rules per round."""
-    seq = ids.astype(np.uint32)
-    base = int(seq.max()) + 1 if len(seq) else 0
+    n = len(ids)
+    base = int(ids.max()) + 1 if n else 0
+    # Positions keep their numbers; replaced ones are skipped by the links.  Number n stands for none.
+    seq = np.zeros(n + 1, dtype=np.uint32)
+    seq[:n] = ids
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[n] = before[0] = n
+    after[ends - 1] = n
+    before[ends] = n
+    stay = np.ones(n, dtype=bool)
+    mark = np.full(n + 1, _NONE, dtype=np.int32)
     top, rules, levels = base, [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        inside = np.ones(len(seq) - 1, dtype=bool)
-        inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(seq))] - 1] = False
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
-        kept = np.zeros(1 << _CELL_BITS, dtype=np.uint64)
-        kept[cell[inside]] = code[inside]
-        same = inside & (kept[cell] == code)
-        counts = np.bincount(cell[same], minlength=1 << _CELL_BITS)
-        chosen = np.flatnonzero(counts >= least)
-        # While ids fit 16 bits, symbols stay there too: the most frequent pairs come first.
-        room = (1 << 16) - top if base < (1 << 16) else len(chosen)
-        if len(chosen) > room:
-            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:max(room, 0)]])
-        if not len(chosen):
+    fresh = np.flatnonzero(after[:n] < n)
+    while len(fresh):
+        pairs, index, rank = _frequent((seq[fresh].astype(np.uint64) << np.uint64(32)) | seq[after[fresh]], least)
+        at = fresh[index]
+        mark[at] = rank
+        at = np.sort(at)
+        new, new_rank = [], []
+        while len(at):
+            own = mark[at]
+            # In a run of one pair that overlaps itself only even places are replaced.
+            begins = np.concatenate(([True], (after[at[:-1]] != at[1:]) | (own[:-1] != own[1:])))
+            place = np.arange(len(at))
+            place -= np.maximum.accumulate(np.where(begins, place, 0))
+            pick = (place % 2 == 0) & (own <= mark[before[at]]) & (own <= mark[after[at]])
+            p = at[pick]
+            second = after[p]
+            new.append(p)
+            new_rank.append(own[pick])
+            mark[before[p]] = mark[p] = mark[second] = _NONE
+            after[p] = after[second]
+            before[after[p]] = p
+            stay[second] = False
+            at = at[mark[at] != _NONE]
+        if not new:
             break
-        symbol = np.zeros(1 << _CELL_BITS, dtype=np.uint32)
-        symbol[chosen] = np.arange(top, top + len(chosen), dtype=np.uint32)
-        at = np.flatnonzero(same & (symbol[cell] > 0))
-        begins = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        place = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at = at[place % 2 == 0]
-        rules.append(np.stack([(kept[chosen] >> np.uint64(32)).astype(np.uint32), kept[chosen].astype(np.uint32)], axis=1))
-        levels.append(len(chosen))
-        top += len(chosen)
-        seq[at] = symbol[cell[at]]
-        stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        gone = np.concatenate(([0], np.cumsum(~stay)))
-        seq, ends = seq[stay], ends - gone[ends]
-    return base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), levels, seq, ends
+        p, used = np.concatenate(new), np.concatenate(new_rank)
+        numbers = np.cumsum(np.bincount(used, minlength=len(pairs)) > 0)
+        seq[p] = top + numbers[used] - 1
+        used = np.flatnonzero(np.diff(numbers, prepend=0))
+        rules.append(np.stack([(pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)], axis=1))
+        levels.append(len(used))
+        top += len(used)
+        near = np.zeros(n + 1, dtype=bool)
+        near[p] = near[before[p]] = True
+        fresh = np.flatnonzero(near & (after < n))
+    gone = np.concatenate(([0], np.cumsum(~stay)))
+    return base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), levels, seq[:n][stay], ends - gone[ends]
 
 
 def expansion_lengths(base: int, rules: np.ndarray, levels: list[int]) -> np.ndarray:
@@ -88,30 +119,57 @@ def expansion_lengths(base: int, rules: np.ndarray, levels: list[int]) -> np.nda
     return out
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    lengths = lengths.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def expand(seq: np.ndarray, base: int, rules: np.ndarray, levels: list[int]) -> np.ndarray:
-    """The ids of a part of a sequence, undone round by round."""
-    done, seq = len(rules), seq.astype(np.uint32)
-    for n in reversed(levels):
-        done -= n
-        new = seq >= base + done
-        if not new.any():
-            continue
-        at = np.arange(len(seq)) + np.concatenate(([0], np.cumsum(new)[:-1]))
-        out = np.empty(len(seq) + int(new.sum()), dtype=np.uint32)
-        pair = rules[seq[new] - base]
-        out[at[~new]] = seq[~new]
-        out[at[new]], out[at[new] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    """The ids of a whole sequence: every rule is expanded once, from those before it, and then copied."""
+    lengths = expansion_lengths(base, rules, levels).astype(np.int64)
+    offsets = np.cumsum(lengths) - lengths
+    flat = np.empty(int(lengths.sum()), dtype=np.uint32)
+
+    def copy(symbols: np.ndarray, out: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        new = symbols >= base
+        known = symbols[new].astype(np.int64) - base
+        own = np.ones(len(symbols), dtype=np.int64)
+        own[new] = lengths[known]
+        if at is None:
+            at, out = np.cumsum(own) - own, np.empty(int(own.sum()), dtype=np.uint32)
+        out[at[~new]] = symbols[~new]
+        out[_ranges(at[new], own[new])] = flat[_ranges(offsets[known], own[new])]
+        return out, at + own
+
+    done = 0
+    for n in levels:
+        at = offsets[done:done + n]
+        for side in (0, 1):
+            _, at = copy(rules[done:done + n, side], flat, at)
+        done += n
+    return copy(seq.astype(np.uint32), flat)[0]
 
 
-def slice_of(seq: np.ndarray, base: int, rules: np.ndarray, levels: list[int], lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
+def slice_of(seq: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start..stop of a sequence: expansion lengths find the symbols, and only those are expanded."""
-    own = np.where(seq >= base, lengths[np.maximum(seq.astype(np.int64) - base, 0)] if len(lengths) else 1, 1)
+    own = np.ones(len(seq), dtype=np.int64)
+    new = seq >= base
+    own[new] = lengths[seq[new].astype(np.int64) - base]
     ends = np.cumsum(own)
+    start, stop = max(start, 0), min(stop, int(ends[-1]) if len(ends) else 0)
+    if stop <= start:
+        return np.empty(0, dtype=np.uint32)
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-    begin = int(ends[a - 1]) if a else 0
-    return expand(seq[a:b], base, rules, levels)[start - begin:stop - begin]
+    begin, part = int(ends[a] - own[a]), seq[a:b].astype(np.uint32)
+    while (new := part >= base).any():
+        at = np.arange(len(part)) + np.concatenate(([0], np.cumsum(new)[:-1]))
+        out = np.empty(len(part) + int(new.sum()), dtype=np.uint32)
+        pair = rules[part[new] - base]
+        out[at[~new]] = part[~new]
+        out[at[new]], out[at[new] + 1] = pair[:, 0], pair[:, 1]
+        part = out
+    return part[start - begin:stop - begin]
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id",
@@ -175,3 +233,33 @@ def read(blocks: DataFrame) -> DataFrame:
         total += r["n"]
     at = blocks.sparkSession.createDataFrame(offsets, "shard long, at long")
     return docs.join(F.broadcast(at), "shard").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_slices(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, from, to, ids): ids from..to of documents, decoded from their own parts of the sequences.
+
+    ``wanted`` has doc_id, from and to (exclusive); bounds beyond a document are cut to it, a null bound means its begin or
+    end, unknown documents give no row, and rows with equal ids give one row each.  A wanted row carries its document's part
+    of the sequence and the block's rules, and nothing else of the block.
+    """
+    index = blocks.select("shard", "block", "width", F.posexplode(F.arrays_zip("doc_ids", "ends", "counts")).alias("i", "doc"), "ends").select(
+        "shard", "block", F.col("doc.doc_ids").alias("doc_id"), F.col("doc.counts").alias("n"),
+        F.when(F.col("i") > 0, F.col("ends")[F.greatest(F.col("i") - 1, F.lit(0))]).otherwise(F.lit(0)).alias("begin"), F.col("doc.ends").alias("end"))
+    asked = wanted.select("doc_id", "from", "to").join(index, "doc_id")
+    width = F.col("width")
+    rows = asked.join(blocks.select("shard", "block", "base", "rules", "lengths", "width", "sequence"), ["shard", "block"]).select(
+        "doc_id", "from", "to", F.coalesce("from", F.lit(0)).cast("long").alias("a"), F.coalesce("to", "n").cast("long").alias("b"),
+        "base", "rules", "lengths", "width",
+        F.substring("sequence", (F.col("begin") * width + 1).cast("int"), ((F.col("end") - F.col("begin")) * width).cast("int")).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                slice_of(np.frombuffer(r["part"], f"<u{r['width']}"), r["base"], np.frombuffer(r["rules"], "<u4").reshape(-1, 2),
+                         np.frombuffer(r["lengths"], "<u4"), r["a"], r["b"]).tolist()
+                for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "from", "to", "ids"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"doc_id bigint, `from` {kinds['from']}, `to` {kinds['to']}, ids array<bigint>")

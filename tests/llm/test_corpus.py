@@ -185,12 +185,46 @@ def test_repair_round_trip_and_random_access(spark):
     crcs = [zlib.crc32(np.array(ids_of(t) + [2], "<u4").tobytes()) for t in TOKEN_TEXTS]
     assert sorted(r.ids_crc32 for r in rows) == sorted(crcs)
     assert repair_tokens.read(repair_tokens.write(docs.limit(0), tokenizer_path())).count() == 0
-    ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 7, 7, 7, 7, 7] * 30, dtype=np.uint32)
-    base, rules, levels, seq, ends = repair_tokens.compress(ids, np.array([100, 100, len(ids)]), least=3)
-    assert len(seq) < len(ids) / 2 and (repair_tokens.expand(seq, base, rules, levels) == ids).all()
-    assert (repair_tokens.expand(seq[:ends[0]], base, rules, levels) == ids[:100]).all()
-    lengths = repair_tokens.expansion_lengths(base, rules, levels)
-    assert (repair_tokens.slice_of(seq, base, rules, levels, lengths, 33, 77) == ids[33:77]).all()
+    blocks = repair_tokens.write(docs, tokenizer_path(), block_ids=50)
+    whole = {r.doc_id: r.n_tokens for r in rows}
+    texts = dict(zip([5, 4, 3, 3, 9, 8, 7, 6, 20, 21, 22, 22], TOKEN_TEXTS))
+    asked = [(i, a, b) for i in (5, 4, 9, 8, 7, 6, 20, 21, 99) for a, b in ((0, 3), (None, None), (2, 2), (1, 10**6))]
+    wanted = spark.createDataFrame(asked, "doc_id long, `from` long, `to` long")
+    got = {(r.doc_id, r["from"], r["to"]): r.ids for r in repair_tokens.read_slices(blocks, wanted).collect()}
+    assert got == {(i, a, b): (ids_of(texts[i]) + [2])[a:b] for i, a, b in asked if i in whole}
+
+
+def frequent_pairs(seq, ends, least):
+    seen, begin = collections.Counter(), 0
+    for end in ends:
+        part = seq[begin:end].tolist()
+        seen.update(zip(part, part[1:]))
+        begin = end
+    return [p for p, n in seen.items() if n >= least]
+
+
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n, kinds, least = int(rng.integers(0, 300)), int(rng.integers(1, 6)), int(rng.integers(2, 6))
+        ids = rng.integers(0, kinds, n).astype(np.uint32)
+        stops = np.sort(rng.integers(0, n + 1, 4))
+        stops[-1] = n
+        base, rules, levels, seq, ends = repair_tokens.compress(ids, stops, least)
+        assert repair_tokens.expand(seq, base, rules, levels).tolist() == ids.tolist()
+        assert not frequent_pairs(seq, ends, least)
+        lengths = repair_tokens.expansion_lengths(base, rules, levels)
+        for a, b, x, y in zip([0, *ends], ends, [0, *stops], stops):
+            assert repair_tokens.expand(seq[a:b], base, rules, levels).tolist() == ids[x:y].tolist()
+            i, j = sorted(rng.integers(-2, n + 3, 2).tolist())
+            assert repair_tokens.slice_of(seq[a:b], base, rules, lengths, i, j).tolist() == ids[x:y][max(i, 0):max(j, 0)].tolist()
+
+
+def test_repair_shrinks_copies_to_one_symbol_each():
+    rng = np.random.default_rng(2)
+    ids = np.tile(rng.integers(0, 50_000, 220).astype(np.uint32), 500)
+    _, rules, _, seq, _ = repair_tokens.compress(ids, np.arange(1, 501) * 220)
+    assert len(seq) == 500 and len(rules) <= 219
 
 
 def test_languages(spark):
