@@ -2,7 +2,9 @@
 
 Base kinds are patterns; their matches are leftmost and non-overlapping per kind.  The entropy kinds slide a window of
 fixed width over every run of one character class.  The window's symbol counts and the sum of c * log2(c) are carried
-from step to step, so a step costs the same for any window width; entropy = log2(width) - sum / width.  Candidates that
+from step to step, so a step costs the same for any window width and grows with the alphabet, whose counts are an array;
+entropy = log2(width) - sum / width.  Windows of high entropy that touch or overlap give one span, others one each, so
+what lies between them stays.  Candidates that
 an allow-list pattern matches add nothing, and neither do windows that touch a placeholder word; where a base span covers
 a part of an entropy span, the rest of it stays.
 
@@ -110,11 +112,14 @@ def _placeholders(m: Column) -> Column:
 
 
 def _windows(codes: Column, holders: Column, c: CharClass) -> Column:
-    """First and last position of the windows of high entropy, -1 if there are none; ``holders`` as of _placeholders."""
+    """Spans (first, last) that windows of high entropy cover, ends exclusive; ``holders`` as of _placeholders."""
     w = c.width
     zero = F.struct(
         F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"),
-        F.lit(-1).alias("holder"))
+        F.lit(-1).alias("holder"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def closed(a: Column) -> Column:
+        return F.concat(a["done"], F.array(F.struct(a["first"], a["last"])))
 
     def step(a: Column, i: Column) -> Column:
         came, left = codes[i], F.when(i >= w, codes[F.greatest(i - w, F.lit(0))]).otherwise(F.lit(-1))
@@ -125,13 +130,16 @@ def _windows(codes: Column, holders: Column, c: CharClass) -> Column:
         total = a["total"] + change
         holder = F.when(holders[i], i).otherwise(a["holder"])
         high = (i >= w - 1) & (holder < i - (w - 1)) & (F.round(F.lit(math.log2(w)) - total / w, 9) >= c.bits)
+        # A window that begins beyond the last span begins a new one.
+        opens = high & (i - (w - 1) > a["last"])
         return F.struct(
             counts.alias("counts"), total.alias("total"),
-            F.when(high & (a["first"] < 0), i - (w - 1)).otherwise(a["first"]).alias("first"),
+            F.when(opens, i - (w - 1)).otherwise(a["first"]).alias("first"),
             F.when(high, i + 1).otherwise(a["last"]).alias("last"),
-            holder.alias("holder"))
+            holder.alias("holder"),
+            F.when(opens & (a["first"] >= 0), closed(a)).otherwise(a["done"]).alias("done"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda a: F.struct(a["first"], a["last"]))
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda a: F.when(a["first"] >= 0, closed(a)).otherwise(a["done"]))
 
 
 def _uncovered(x: Column, base: Column) -> Column:
@@ -193,9 +201,9 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> tupl
             r = F.when(~allowed, _once(both, lambda x: _windows(x["codes"], x["holders"], c)))
             return F.struct(r.alias("r"), s[f"{c.kind}_at"][i].alias("at"))
 
-        spans = F.transform(
-            F.filter(F.transform(s[c.kind], region), lambda x: x["r"]["first"] >= 0),
-            lambda x: _span(x["at"] + x["r"]["first"], number, x["at"] + x["r"]["last"]))
+        spans = F.flatten(F.transform(
+            F.filter(F.transform(s[c.kind], region), lambda x: F.size(x["r"]) > 0),
+            lambda x: F.transform(x["r"], lambda part: _span(x["at"] + part["first"], number, x["at"] + part["last"]))))
         return F.when(F.size(s[c.kind]) > 0, spans).otherwise(_none())
 
     base = F.sort_array(F.concat(*[base_spans(i, p) for i, p in enumerate(PATTERNS)]))
