@@ -5,6 +5,8 @@ from __future__ import annotations
 _BLANK = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_UNSPACED = "".join(rf"\p{{{x}}}" for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+
 OP6 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
  w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{_BLANK}'), lambda x: x <> '') AS ws,
    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -14,13 +16,16 @@ OP6 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,
  m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
-   CAST(length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_upper FROM w LEFT JOIN repeats r USING (rid)),
+   CAST(length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_upper, regexp_matches(t, '[{_UNSPACED}]') AS un,
+   CAST(length(regexp_replace(t, '[^{_UNSPACED}]+', '', 'g')) AS BIGINT) AS n_unspaced,
+   CASE WHEN un THEN CAST(length(regexp_replace(t, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS BIGINT) ELSE 0 END AS n_letters FROM w LEFT JOIN repeats r USING (rid)),
+ long_words AS (SELECT *, word_chars < 2 * n_words OR word_chars > 14 * n_words AS odd FROM m),
  b AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
    + CASE WHEN 20 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 5 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
-   + CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 16 ELSE 0 END
-   + CASE WHEN 100 * n_upper > 50 * word_chars THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
- fail_bits, n_lines, n_upper FROM b"""
+   + CASE WHEN odd THEN 16 ELSE 0 END + CASE WHEN 100 * n_upper > 50 * word_chars THEN 32 ELSE 0 END
+   + CASE WHEN odd AND 2 * n_unspaced <= n_letters THEN 64 ELSE 0 END AS BIGINT) AS fail_bits FROM long_words)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & ~16) = 0 AS kept,
+ fail_bits, n_lines, n_upper, n_unspaced, n_letters FROM b"""
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kitescope.llm.common import BLANK_RUN, NOT_BLANK, free_name, keep_where, split_words
+from kitescope.llm.common import BLANK_RUN, NOT_BLANK, free_name, keep_where, split_words, store
 
 WINDOW = 5
 #: Letters of scripts that put no blanks between words, as a Java character class.
@@ -32,16 +32,20 @@ class Rule:
     fails: Callable[[Column], Column]
 
 
+def _word_length(m: Column) -> Column:
+    return (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"])
+
+
 #: Bit i of a ledger belongs to RULES[i]; rules are only ever appended.
 RULES = (
     Rule("few_words", lambda m: m["n_words"] < 10),
     Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
     Rule("symbols", lambda m: 20 * m["n_symbols"] > m["n_words"]),
     Rule("repeated_lines", lambda m: (m["n_lines"] >= 5) & (100 * m["n_dup_lines"] > 50 * m["n_lines"])),
-    # Where most letters belong to scripts without blanks, a run between blanks is no word and its length says nothing.
-    Rule("word_length", lambda m: (2 * m["n_unspaced"] <= m["n_letters"]) & (
-        (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"]))),
+    Rule("word_length", _word_length),
     Rule("shouting", lambda m: 100 * m["n_upper"] > 50 * m["word_chars"]),
+    # Where most letters belong to scripts without blanks, a run between blanks is no word and its length says nothing.
+    Rule("spaced_word_length", lambda m: (2 * m["n_unspaced"] <= m["n_letters"]) & _word_length(m)),
 )
 BASE_RULES = ("few_words", "repeated_words")
 
@@ -50,8 +54,9 @@ POLICIES = {
     "base": BASE_RULES,
     "v1": BASE_RULES + ("symbols", "repeated_lines"),
     "v2": BASE_RULES + ("symbols", "repeated_lines", "word_length", "shouting"),
+    "v3": BASE_RULES + ("symbols", "repeated_lines", "spaced_word_length", "shouting"),
 }
-CURRENT = "v2"
+CURRENT = "v3"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_unspaced", "n_letters")
 
@@ -129,6 +134,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return work.select("doc_id", f"{name}.*", bits_of(F.col(name), rules).alias("fail_bits"))
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """``ledger`` written once under the shared folder; policies and ablations read it and never a text."""
+    return store(ledger(docs, id_col, text_col, rules), "ledger")
+
+
 def passes(bits: Column, policy: str = CURRENT, policies=POLICIES) -> Column:
     """Whether a document with these failure bits is kept under a policy version."""
     return bits.bitwiseAND(F.lit(mask_of(policies[policy])).cast("long")) == 0

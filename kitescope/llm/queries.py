@@ -35,13 +35,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
     base = quality_rules.passes(F.col("fail_bits"), "base")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~base).alias("base_failed"),
         (base & quality_rules.passes(F.col("fail_bits"))).alias("kept"),
-        "fail_bits", "n_lines", "n_upper")
+        "fail_bits", "n_lines", "n_upper", "n_unspaced", "n_letters")
 
 
 @query

@@ -49,7 +49,7 @@ def test_ledger_equals_plain_counts(spark):
 
 
 def test_policies_and_ablation_follow_from_bits(spark):
-    rows = quality_rules.ledger(documents(spark))
+    rows = quality_rules.stored_ledger(documents(spark))
     bits = [r.fail_bits for r in rows.collect()]
     mask = quality_rules.mask_of(quality_rules.POLICIES["v2"])
     for r in quality_rules.ablation(rows, "v2").collect():
@@ -58,9 +58,11 @@ def test_policies_and_ablation_follow_from_bits(spark):
         assert r["n_failed"] == sum(b & bit != 0 for b in bits)
         assert r["n_only"] == sum(b & mask == bit for b in bits)
         assert r["n_kept_without"] == sum(b & mask & ~bit == 0 for b in bits)
-    kept = quality_rules.filter_documents(documents(spark))
-    assert kept.columns == documents(spark).columns
-    assert kept.count() == sum(b & mask == 0 for b in bits)
+    for policy, names in quality_rules.POLICIES.items():
+        mask = quality_rules.mask_of(names)
+        kept = quality_rules.filter_documents(documents(spark), policy=policy)
+        assert kept.columns == documents(spark).columns
+        assert kept.count() == sum(b & mask == 0 for b in bits) == rows.filter(quality_rules.passes(F.col("fail_bits"), policy)).count()
 
 
 def test_word_length_spares_scripts_without_blanks(spark):
@@ -69,12 +71,30 @@ def test_word_length_spares_scripts_without_blanks(spark):
     japanese = " ".join(f"{c}の文章は、コンピューターの歴史と人々の生活について詳しく説明しています。" for c in "一二三四五六七八九十百千")
     blob = " ".join(f"{i:02d}abcdefghijklmnopqrstuvwxyz" for i in range(12))
     texts = [chinese, thai, japanese, blob, blob + " 中文"]
-    bit = quality_rules.mask_of(["word_length"])
+    old, bit = quality_rules.mask_of(["word_length"]), quality_rules.mask_of(["spaced_word_length"])
+    assert (old, bit) == (16, 64)
     got = {r.doc_id: r for r in quality_rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(r.word_chars > 14 * r.n_words for r in got.values())
     assert [bool(got[i].fail_bits & bit) for i in range(5)] == [False, False, False, True, True]
-    kept = quality_rules.filter_documents(documents(spark, texts))
-    assert {r.text for r in kept.collect()} == {chinese, thai, japanese}
+    assert all(r.fail_bits & old for r in got.values())
+    assert {r.text for r in quality_rules.filter_documents(documents(spark, texts)).collect()} == {chinese, thai, japanese}
+    assert quality_rules.filter_documents(documents(spark, texts), policy="v2").count() == 0
+
+
+def test_rules_query_equals_its_sql_on_scripts_without_blanks(spark, tmp_path):
+    import duckdb
+
+    from kitescope.llm import oracle, queries
+
+    texts = TEXTS + ["".join(chr(c) for c in range(a, a + 60)) + " x" * n for a in (0x4E00, 0x3041, 0x30A1, 0xE01, 0xE81, 0x1780, 0x1000, 0xF40) for n in (1, 12, 70)]
+    documents(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_quality_rules(spark, str(tmp_path))
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = base.execute(oracle.OP6)
+        names = [d[0] for d in want.description]
+        assert got.columns == names
+        assert collected(got) == sorted(want.fetchall(), key=repr)
 
 
 @pytest.mark.parametrize("operator", [quality_rules.filter_documents, secret_scan.redact])
@@ -116,6 +136,42 @@ def test_window_entropy_equals_direct_counts(spark):
     assert df.select(secret_scan.joined(F.col(name)["spans"])).first()[0] == f"{c.kind}:{high[0]}:{high[-1] + c.width}"
 
 
+def test_islands_of_high_entropy_equal_direct_counts(spark):
+    import math
+
+    rng = random.Random(8)
+    c = secret_scan.CLASSES[1]
+
+    def key(n):
+        return "".join(rng.choice(c.alphabet[:62]) for _ in range(n))
+
+    texts = [key(24) + "=" * 80 + key(24), key(30) + "/examples/" + "z" * 60 + "7", key(24) + "z" * 30 + key(40) + "y" * 3 + key(24), "9" + "z" * 50, key(90)]
+    texts += ["z" * rng.randrange(30) + "".join(key(rng.randint(10, 30)) + rng.choice("yz") * rng.randint(0, 40) for _ in range(5)) for _ in range(20)]
+
+    def islands(t):
+        if any(re.search(a, t) for a in secret_scan.ALLOWED):
+            return []
+        out = []
+        placeholders = [m.span() for m in re.finditer(secret_scan.PLACEHOLDER, t)]
+        for i in range(len(t) - c.width + 1):
+            counts = collections.Counter(t[i:i + c.width]).values()
+            entropy = -sum(n / c.width * math.log2(n / c.width) for n in counts)
+            if round(entropy, 9) < c.bits or any(a < i + c.width and i < b for a, b in placeholders):
+                continue
+            if out and i <= out[-1][1]:
+                out[-1][1] = i + c.width
+            else:
+                out.append([i, i + c.width])
+        return out
+
+    df, name = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.s for r in df.select("doc_id", secret_scan.joined(F.filter(
+        F.col(name)["spans"], lambda x: x["kind"] == secret_scan.KINDS.index(c.kind))).alias("s")).collect()}
+    want = {i: ",".join(f"{c.kind}:{a}:{b}" for a, b in islands(t)) for i, t in enumerate(texts)}
+    assert got == want and max(len(islands(t)) for t in texts) > 1 and len(islands(texts[0])) == 2
+    assert "=" * 40 in secret_scan.redact(df.select("doc_id", "text")).filter("doc_id = 0").first().text
+
+
 def test_redaction_keeps_rows_and_hides_secrets(spark):
     got = {r.doc_id: r for r in secret_scan.redact(documents(spark)).collect() if r.doc_id is not None and r.doc_id > 3}
     assert got[10].text == '[secret]" é' and got[10].n_chars == len(got[10].text)
