@@ -207,7 +207,8 @@ class _Takers:
 
 def _deal(rows: DataFrame, n: int, tokens: int) -> tuple[DataFrame, int]:
     parts = max(1, math.ceil(tokens / PART_TOKENS), math.ceil(n / PART_ROWS))
-    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")), parts
+    # Rows are stored, so their numbers are the same when a lost task runs again; equal rows have different ones.
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)).cast("int")), parts
 
 
 def _packer(number: int, capacity: int):

@@ -132,6 +132,17 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_equal_pieces_are_dealt_to_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 20)
+    rows = spark.createDataFrame([(None, 0, 0, 10, 7)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    dealt, parts = packing._deal(rows, 400, 4000)
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert parts == 20 and len(sizes) == 20 and max(sizes) < 60
+    packed = packing.pack(rows, capacity=64).collect()
+    bins = collections.Counter(r.sequence_id for r in packed)
+    assert len(packed) == 400 and max(bins.values()) == 6 and sum(n < 6 for n in bins.values()) <= 1
+
+
 def test_local_search_saves_bins():
     rng = random.Random(3)
     lengths = [rng.randint(20, 60) for _ in range(300)]
