@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kitescope.llm.common import store
 from kitescope.llm.tokens import Encoder
 
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 18
 END_ID = 2
 LEAST = 24
 _NONE = np.iinfo(np.int32).max
@@ -37,22 +37,42 @@ _FORMAT = ("shard long, block long, first long, n_ids long, base long, doc_ids a
            "rules binary, levels array<long>, lengths binary, width int, sequence binary")
 
 
-def _frequent(code: np.ndarray, least: int):
-    """(pairs, index, rank): pairs that occur ``least`` times or more, most frequent first, and where they occur in ``code``."""
-    # A hash cell holds at least as many occurrences as each of its pairs, so only full cells need sorting.
-    bits = max(8, len(code).bit_length() - 1)
-    cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    index = np.flatnonzero(np.bincount(cell, minlength=1 << bits)[cell] >= least)
-    index = index[np.argsort(code[index])]
-    held = code[index]
-    begins = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.empty(0, np.int64)
-    counts = np.diff(np.concatenate((begins, [len(held)])))
-    rank = np.full(len(begins), _NONE, dtype=np.int32)
-    chosen = np.flatnonzero(counts >= least)
-    chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
-    rank[chosen] = np.arange(len(chosen), dtype=np.int32)
-    of_each = np.repeat(rank, counts)
-    return held[begins[chosen]], index[of_each != _NONE], of_each[of_each != _NONE]
+def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, rank): pairs that occur ``least`` times or more, most frequent first, and the rank of each place, _NONE elsewhere.
+
+    A hash cell settles one of its pairs, with all its places; the places of its other pairs are hashed again in another way.
+    """
+    pairs, counts, places, numbers, total, factor = [], [], [], [], 0, 0x9E3779B97F4A7C15
+    size, left = len(code), np.arange(len(code))
+    while len(left):
+        bits = max(8, len(left).bit_length() - 2)
+        cell = ((code * np.uint64(factor)) >> np.uint64(64 - bits)).view(np.int64)
+        # A cell holds at least as many places as each of its pairs.
+        full = np.flatnonzero(np.bincount(cell, minlength=1 << bits)[cell] >= least)
+        left, code, cell = left[full], code[full], cell[full]
+        kept = np.zeros(1 << bits, dtype=np.uint64)
+        kept[cell] = code
+        mine = kept[cell] == code
+        own = cell[mine]
+        n = np.bincount(own, minlength=1 << bits)
+        good = np.flatnonzero(n >= least)
+        number = np.full(1 << bits, -1)
+        number[good] = np.arange(total, total + len(good))
+        of_each = number[own]
+        pairs.append(kept[good])
+        counts.append(n[good])
+        places.append(left[mine][of_each >= 0])
+        numbers.append(of_each[of_each >= 0])
+        left, code = left[~mine], code[~mine]
+        total, factor = total + len(good), factor * 0xD6E8FEB86659FD93 % (1 << 64)
+    rank = np.full(size, _NONE, dtype=np.int32)
+    if not total:
+        return np.empty(0, np.uint64), rank
+    order = np.argsort(-np.concatenate(counts), kind="stable")
+    by_number = np.empty(total, dtype=np.int32)
+    by_number[order] = np.arange(total)
+    rank[np.concatenate(places)] = by_number[np.concatenate(numbers)]
+    return np.concatenate(pairs)[order], rank
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
@@ -71,10 +91,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     top, rules, levels = base, [], []
     fresh = np.flatnonzero(after[:n] < n)
     while len(fresh):
-        pairs, index, rank = _frequent((seq[fresh].astype(np.uint64) << np.uint64(32)) | seq[after[fresh]], least)
-        at = fresh[index]
-        mark[at] = rank
-        at = np.sort(at)
+        pairs, rank = _frequent((seq[fresh].astype(np.uint64) << np.uint64(32)) | seq[after[fresh]], least)
+        at = fresh[rank != _NONE]
+        mark[at] = rank[rank != _NONE]
         new, new_rank = [], []
         while len(at):
             own = mark[at]
@@ -103,7 +122,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
         top += len(used)
         near = np.zeros(n + 1, dtype=bool)
         near[p] = near[before[p]] = True
-        fresh = np.flatnonzero(near & (after < n))
+        fresh = np.flatnonzero(near[:n])
+        fresh = fresh[after[fresh] < n]
     gone = np.concatenate(([0], np.cumsum(~stay)))
     return base, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), levels, seq[:n][stay], ends - gone[ends]
 
