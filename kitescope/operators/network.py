@@ -219,37 +219,82 @@ def undirected_weights(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, save_every: int = 5, tolerance: float | None = None) -> DataFrame:
+def _partitioned_moves(weighted: DataFrame, hub_slice: int) -> tuple[DataFrame, DataFrame]:
+    """(moves, widths): edges laid out once by (source, slot) for all rounds, and the slots of each source.
+
+    A source with more than ``hub_slice`` edges takes several slots, so a hub's edges lie in several
+    partitions.  Each linked vertex also has one loop of share zero that carries its own earlier ranks.
+    """
+    spark = weighted.sparkSession
+    totals = weighted.groupBy("src").agg(F.sum("weight").alias("total"), F.count("*").alias("degree"))
+    width = F.ceil(F.col("degree") / hub_slice).cast("int")
+    widths = cut_lineage(totals.select(F.col("src").alias("name"), "total", width.alias("width")))
+    joined = weighted.join(widths.withColumnRenamed("name", "src"), "src")
+    slot = F.pmod(F.xxhash64("dst"), F.col("width")).cast("int")
+    shares = joined.select("src", slot.alias("slot"), "dst", (F.col("weight") / F.col("total")).alias("share"), F.lit(0).alias("width"))
+    loops = widths.select(F.col("name").alias("src"), F.lit(0).alias("slot"), F.col("name").alias("dst"), F.lit(0.0).alias("share"), "width")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(shares.unionByName(loops).repartition(parts, "src", "slot")), widths
+
+
+def _pagerank_rounds(moves: DataFrame, ranks: DataFrame, spreads: list[float], damping: float) -> DataFrame:
+    """(name, width, r0 .. rk): ``ranks`` (name, width, r0) carried through one round for each spread.
+
+    A round sends the last rank along the edges and every earlier one along the loop, so a round is one
+    join and one sum and nothing is read twice.
+    """
+    looped = F.col("src") == F.col("dst")
+    for i, spread in enumerate(spreads):
+        sent = ranks.withColumnRenamed("name", "src").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).drop("width")
+        kept = [F.sum(F.when(looped, F.col(f"r{k}")).otherwise(0.0)).alias(f"r{k}") for k in range(i + 1)]
+        flow = F.sum(F.col(f"r{i}") * F.col("share")) * damping + F.lit(spread)
+        ranks = (
+            moves.join(sent.hint("shuffle_hash"), ["src", "slot"])
+            .groupBy(F.col("dst").alias("name")).agg(F.sum("width").cast("int").alias("width"), *kept, flow.alias(f"r{i + 1}"))
+        )
+    return ranks
+
+
+def pagerank(
+    vertices: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, save_every: int = 5,
+    tolerance: float | None = 1e-6, hub_slice: int = 1_000_000,
+) -> DataFrame:
     """(name, score): weighted PageRank on the undirected network, unconnected mass spread evenly.
 
-    Ranks are saved every few rounds, which cuts the lineage and bounds what a lost executor costs.
-    With ``tolerance`` the rounds end once the total change falls below n x tolerance.
+    The result is that of the first round whose total change lies below n x ``tolerance``, or of round
+    ``iterations``; without a tolerance it is always the latter.  Ranks are saved every ``save_every``
+    rounds together with those in between, so one look at the saved rows judges each of these rounds.
+    Saving cuts the lineage and bounds what a lost executor costs.  Edges are shuffled once, before the
+    first round; then only ranks and partial sums move.  An empty network gives no rows, one without
+    edges the same rank everywhere.
     """
     weighted = undirected_weights(edges)
-    totals = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = cut_lineage(weighted.join(totals, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    linked = moves.select(F.col("src").alias("name")).distinct()
-    alone = vertices.select("name").join(linked, "name", "left_anti")
+    moves, widths = _partitioned_moves(weighted, hub_slice)
+    alone = vertices.select("name").join(widths, "name", "left_anti")
     n, n_alone = vertices.count(), alone.count()
     if n == 0:
         return vertices.select("name", F.lit(0.0).alias("score"))
     # vertices without edges receive nothing but the even spread, so their common rank is one number
     alone_rank = 1.0 / n
-    ranks = linked.withColumn("score", F.lit(1.0 / n))
-    before = ranks
-    for i in range(1, iterations + 1):
-        spread = (1.0 - damping + damping * n_alone * alone_rank) / n
-        flow = F.sum(F.col("score") * F.col("share")) * damping + F.lit(spread)
-        ranks = moves.join(ranks.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(flow.alias("score"))
-        alone_rank = spread
-        if i % save_every == 0 or i == iterations:
-            ranks = cut_lineage(ranks)
-            if tolerance is not None:
-                change = ranks.join(before.select("name", F.col("score").alias("old")), "name").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-                if change is not None and change < n * tolerance:
-                    break
-                before = ranks
-    return ranks.select("name", "score").unionByName(alone.select("name", F.lit(alone_rank).alias("score")))
+    ranks = widths.select("name", "width", F.lit(1.0 / n).alias("r0"))
+    done = 0
+    while done < iterations:
+        ahead = [alone_rank]
+        for _ in range(min(save_every, iterations - done)):
+            ahead.append((1.0 - damping + damping * n_alone * ahead[-1]) / n)
+        saved = cut_lineage(_pagerank_rounds(moves, ranks, ahead[1:], damping))
+        steps = range(1, len(ahead))
+        settled = None
+        if tolerance is not None:
+            moved = [F.coalesce(F.sum(F.abs(F.col(f"r{i}") - F.col(f"r{i - 1}"))), F.lit(0.0)).alias(f"c{i}") for i in steps]
+            change = saved.agg(*moved).first()
+            settled = next((i for i in steps if change[f"c{i}"] + n_alone * abs(ahead[i] - ahead[i - 1]) < n * tolerance), None)
+        taken = settled or len(ahead) - 1
+        alone_rank, done = ahead[taken], done + taken
+        ranks = saved.select("name", "width", F.col(f"r{taken}").alias("r0"))
+        if settled:
+            break
+    return ranks.select("name", F.col("r0").alias("score")).unionByName(alone.select("name", F.lit(alone_rank).alias("score")))
 
 
 def relevant_only(candidates: DataFrame, questions: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -169,19 +169,19 @@ def g9_bridges(c):
     return network.betweenness_bridges(network.betweenness(c("gs_vertices"), edges(c, "gs")))
 
 
-def pagerank_sql(g: str, rounds: int = 20) -> str:
-    out = f"""und AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM {g}e UNION ALL SELECT dst, src, weight FROM {g}e) x GROUP BY 1, 2),
- moves AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM und), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {g}_vertices),
- pr0 AS (SELECT name, 1 / n AS r FROM {g}_vertices, nn)"""
-    for i in range(1, rounds + 1):
-        p = f"pr{i - 1}"
-        out += f""",
- pr{i} AS MATERIALIZED (SELECT v.name, 0.85::DOUBLE * coalesce(f.flow, 0) + (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM {p} WHERE name NOT IN (SELECT src FROM moves))) / n AS r
-  FROM {g}_vertices v CROSS JOIN nn LEFT JOIN (SELECT m.dst, sum(p.r * m.share) AS flow FROM moves m JOIN {p} p ON p.name = m.src GROUP BY 1) f ON f.dst = v.name)"""
-    return out
-
-
-@query("g10_pagerank", f"WITH {edges_sql('gl')}, {pagerank_sql('gl')} SELECT name, round(r, 6) AS score FROM pr20")
+def pagerank_sql(g: str) -> str:
+    """pr(name, r): rounds follow one another until the total change lies below n x 1e-6, at most 100."""
+    return f"""und AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM {g}e UNION ALL SELECT dst, src, weight FROM {g}e) x GROUP BY 1, 2),
+ moves AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM und), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {g}_vertices),
+ prr AS (SELECT 0 AS i, name, 1 / n AS r, 1e9::DOUBLE AS change FROM {g}_vertices, nn
+  UNION ALL SELECT i, name, r, sum(abs(r - old)) OVER () FROM (
+   SELECT p.i + 1 AS i, p.name, p.r AS old, 0.85::DOUBLE * coalesce(f.flow, 0) + (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM prr WHERE name NOT IN (SELECT src FROM moves))) / n AS r
+   FROM prr p CROSS JOIN nn LEFT JOIN (SELECT m.dst, sum(q.r * m.share) AS flow FROM moves m JOIN prr q ON q.name = m.src GROUP BY 1) f ON f.dst = p.name
+   WHERE p.change >= n * 1e-6::DOUBLE AND p.i < 100) step),
+ pr AS MATERIALIZED (SELECT name, r FROM prr WHERE i = (SELECT max(i) FROM prr))"""
+
+
+@query("g10_pagerank", f"WITH RECURSIVE {edges_sql('gl')}, {pagerank_sql('gl')} SELECT name, round(r, 6) AS score FROM pr")
 def g10(c):
     return network.pagerank(c("gl_vertices"), edges(c, "gl")).select("name", F.round("score", 6).alias("score"))
 
@@ -193,12 +193,12 @@ def relevant_sql(words: str = "q.w", name: str = "v.name", desc: str = "v.descri
 def ranked_sql(g: str, questions: str, threshold: float) -> str:
     return f"""qwords AS (SELECT question_id, {words_sql('question')} AS w FROM {questions}),
  pgr AS (SELECT question_id, entity, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entity) AS rank FROM (
-  SELECT q.question_id, v.name AS entity, round(p.r, 6) AS score FROM qwords q CROSS JOIN pr20 p JOIN {g}_vertices v ON v.name = p.name WHERE round(p.r, 6) > {threshold} AND {relevant_sql()}) x)"""
+  SELECT q.question_id, v.name AS entity, round(p.r, 6) AS score FROM qwords q CROSS JOIN pr p JOIN {g}_vertices v ON v.name = p.name WHERE round(p.r, 6) > {threshold} AND {relevant_sql()}) x)"""
 
 
 @query(
     "g10_pagerank_relevant",
-    f"WITH {edges_sql('gl')}, {pagerank_sql('gl')}, {ranked_sql('gl', 'gl_questions', 0.001)} SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM pgr WHERE rank <= 5",
+    f"WITH RECURSIVE {edges_sql('gl')}, {pagerank_sql('gl')}, {ranked_sql('gl', 'gl_questions', 0.001)} SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM pgr WHERE rank <= 5",
 )
 def g10_relevant(c):
     # a supplier's rank is about 1 / (2 x suppliers), so the carrier's threshold is below the default

@@ -68,24 +68,55 @@ def test_betweenness_pivots_all_equals_exact(small):
     assert {r.name: r.score for r in network.betweenness(vertices, edges, pivots=8).collect()} == exact
 
 
-def test_pagerank_equals_dense_iteration(small):
-    vertices, edges = small
-    weights = {(r.src, r.dst): r.weight for r in edges.collect()}
-    both = {}
+def dense_pagerank(names, edges, rounds=None):
+    """Ranks after that many rounds, or by the end rule (total change below n x 1e-6, at most 100 rounds)."""
+    weights, both = {(r.src, r.dst): r.weight for r in edges.collect()}, {}
     for (a, b), w in weights.items():
         for p in ((a, b), (b, a)):
             both[p] = max(both.get(p, 0), w)
-    rank = dict.fromkeys(NAMES, 1 / 8)
-    for _ in range(20):
-        loose = sum(r for n, r in rank.items() if not any(a == n for a, _ in both))
-        new = {n: (0.15 + 0.85 * loose) / 8 for n in NAMES}
+    total, n = {}, len(names)
+    for (a, _), w in both.items():
+        total[a] = total.get(a, 0) + w
+    rank = dict.fromkeys(names, 1 / n)
+    for done in range(1, (rounds or 100) + 1):
+        loose = sum(r for v, r in rank.items() if v not in total)
+        new = {v: (0.15 + 0.85 * loose) / n for v in names}
         for (a, b), w in both.items():
-            new[b] += 0.85 * rank[a] * w / sum(x for (c, _), x in both.items() if c == a)
+            new[b] += 0.85 * rank[a] * w / total[a]
+        change = sum(abs(new[v] - rank[v]) for v in names)
         rank = new
-    got = {r.name: r.score for r in network.pagerank(vertices, edges).collect()}
+        if rounds is None and change < n * 1e-6:
+            break
+    return rank, done
+
+
+def scores(df):
+    return {r.name: r.score for r in df.collect()}
+
+
+@pytest.mark.parametrize("hub_slice", [1_000_000, 2])
+def test_pagerank_equals_dense_iteration(small, hub_slice):
+    vertices, edges = small
+    rank, _ = dense_pagerank(NAMES, edges, 20)
+    got = scores(network.pagerank(vertices, edges, iterations=20, tolerance=None, hub_slice=hub_slice))
     assert got == pytest.approx(rank, abs=1e-9) and sum(got.values()) == pytest.approx(1.0)
-    settled = {r.name: r.score for r in network.pagerank(vertices, edges, iterations=200, tolerance=1e-6).collect()}
-    assert settled == pytest.approx(rank, abs=2e-2)
+
+
+@pytest.mark.parametrize("save_every", [1, 4])
+def test_pagerank_ends_with_the_first_settled_round(small, save_every):
+    vertices, edges = small
+    rank, done = dense_pagerank(NAMES, edges)
+    assert 20 < done < 100
+    got = scores(network.pagerank(vertices, edges, save_every=save_every))
+    assert got == pytest.approx(rank, abs=1e-12)
+    short = scores(network.pagerank(vertices, edges, iterations=done - 1, save_every=save_every))
+    assert short != pytest.approx(rank, abs=1e-8)
+
+
+def test_pagerank_without_edges_and_without_vertices(small):
+    vertices, edges = small
+    assert scores(network.pagerank(vertices, edges.limit(0))) == dict.fromkeys(NAMES, 1 / 8)
+    assert scores(network.pagerank(vertices.limit(0), edges.limit(0))) == {}
 
 
 def test_build_network_drops_loops_and_strangers_and_keeps_the_heavier(spark):
