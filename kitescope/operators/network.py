@@ -234,7 +234,10 @@ def _partitioned_moves(weighted: DataFrame, hub_slice: int) -> tuple[DataFrame,
     shares = joined.select("src", slot.alias("slot"), "dst", (F.col("weight") / F.col("total")).alias("share"), F.lit(0).alias("width"))
     loops = widths.select(F.col("name").alias("src"), F.lit(0).alias("slot"), F.col("name").alias("dst"), F.lit(0.0).alias("share"), "width")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(shares.unionByName(loops).repartition(parts, "src", "slot")), widths
+    # a checkpoint forgets how its rows are partitioned and a cached table does not; lost parts come back from the checkpoint
+    moves = cut_lineage(shares.unionByName(loops)).repartition(parts, "src", "slot").persist()
+    moves.count()
+    return moves, widths
 
 
 def _pagerank_rounds(moves: DataFrame, ranks: DataFrame, spreads: list[float], damping: float) -> DataFrame:
@@ -273,6 +276,7 @@ def pagerank(
     alone = vertices.select("name").join(widths, "name", "left_anti")
     n, n_alone = vertices.count(), alone.count()
     if n == 0:
+        moves.unpersist()
         return vertices.select("name", F.lit(0.0).alias("score"))
     # vertices without edges receive nothing but the even spread, so their common rank is one number
     alone_rank = 1.0 / n
@@ -294,6 +298,7 @@ def pagerank(
         ranks = saved.select("name", "width", F.col(f"r{taken}").alias("r0"))
         if settled:
             break
+    moves.unpersist()
     return ranks.select("name", F.col("r0").alias("score")).unionByName(alone.select("name", F.lit(alone_rank).alias("score")))
 
 
