@@ -40,21 +40,36 @@ def build_network(vertices: DataFrame, edges: DataFrame, weights: dict[str, floa
 # --- attention --------------------------------------------------------------------------------------
 
 
-def vertex_vectors(vertices: DataFrame) -> DataFrame:
-    """(name, vector): hash embedding of the description over its length plus a small constant."""
-    return vertices.select(
-        "name", vectors.unit(vectors.text_embedding(F.coalesce("description", F.lit("")), DIMS), vectors.EPSILON).alias("vector")
+def vertex_texts(vertices: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """(name, text): description, one blank and the column names of the vertex by place, then name.
+
+    ``columns`` has table_name, name and place.  A vertex without columns (or with null names only)
+    keeps the blank, a null description is empty and null places come first.  Without ``columns`` the
+    text is the description alone.  The list is as long as one table is wide.
+    """
+    described = F.coalesce("description", F.lit(""))
+    if columns is None:
+        return vertices.select("name", described.alias("text"))
+    listed = columns.filter(F.col("name").isNotNull()).groupBy(F.col("table_name").alias("owner")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda c: c["name"]), " ").alias("names")
     )
+    joined = vertices.join(listed, vertices["name"] == listed["owner"], "left")
+    return joined.select(vertices["name"], F.concat(described, F.lit(" "), F.coalesce("names", F.lit(""))).alias("text"))
+
 
+def vertex_vectors(vertices: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """(name, vector): hash embedding of the vertex text over its length plus a small constant."""
+    return vertex_texts(vertices, columns).select("name", vectors.unit(vectors.text_embedding(F.col("text"), DIMS), vectors.EPSILON).alias("vector"))
 
-def attention_vectors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+
+def attention_vectors(vertices: DataFrame, edges: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """(entity, vector) whose dot product with a question's unit vector is the neighbour-weighted attention.
 
     Hash embeddings and question codes are never negative, so the floor at zero inside attention has
     no effect and the mean over out-neighbours can be taken over vectors, once for all questions.  The
     mean is ten plain averages: a hub's edges fold in every task before the shuffle.
     """
-    own = vertex_vectors(vertices)
+    own = cut_lineage(vertex_vectors(vertices, columns))
     ends = edges.select("src", "dst").join(own.withColumnRenamed("name", "dst"), "dst")
     means = ends.groupBy("src").agg(*[F.avg(F.col("vector")[i]).alias(f"m{i}") for i in range(DIMS)])
     joined = own.join(means, own["name"] == means["src"], "left")
@@ -67,18 +82,22 @@ def question_vectors(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", vectors.unit(vectors.encode_question(F.col("question"), DIMS)).alias("vector"))
 
 
-def neighbour_attention(questions: DataFrame, vertices: DataFrame, edges: DataFrame, n: int = 10, threshold: float = 0.1) -> DataFrame:
+def neighbour_attention(
+    questions: DataFrame, vertices: DataFrame, edges: DataFrame, n: int = 10, threshold: float = 0.1, columns: DataFrame | None = None,
+) -> DataFrame:
     """Best ``n`` vertices per question by own attention x .7 plus out-neighbours' mean x .3.
 
     The full ranking covers every vertex for every question; :func:`attention_ranks` gives the exact
     place of chosen vertices in it without writing it out.
     """
-    return topk.top_scores(cut_lineage(attention_vectors(vertices, edges)), question_vectors(questions), n, threshold)
+    return topk.top_scores(cut_lineage(attention_vectors(vertices, edges, columns)), question_vectors(questions), n, threshold)
 
 
-def attention_ranks(questions: DataFrame, vertices: DataFrame, edges: DataFrame, wanted: DataFrame, threshold: float = 0.1) -> DataFrame:
+def attention_ranks(
+    questions: DataFrame, vertices: DataFrame, edges: DataFrame, wanted: DataFrame, threshold: float = 0.1, columns: DataFrame | None = None,
+) -> DataFrame:
     """Exact places of chosen vertices in the full ranking of G4."""
-    return topk.exact_ranks(attention_vectors(vertices, edges), question_vectors(questions), wanted, threshold)
+    return topk.exact_ranks(attention_vectors(vertices, edges, columns), question_vectors(questions), wanted, threshold)
 
 
 # --- relevance and paths ----------------------------------------------------------------------------
@@ -373,7 +392,7 @@ def rank_ensemble(lists: DataFrame, weights: list[float] = fixed.ENSEMBLE_WEIGHT
 
 def advanced_retriever(
     questions: DataFrame, vertices: DataFrame, edges: DataFrame, ranks: DataFrame, hubs: DataFrame, bridges: DataFrame,
-    max_tables: int = 10, per_term: int = 3, rank_threshold: float = 0.01,
+    max_tables: int = 10, per_term: int = 3, rank_threshold: float = 0.01, columns: DataFrame | None = None,
 ) -> DataFrame:
     """Ensemble of attention, greedy paths and multi-level scores; word seeds where all are empty.
 
@@ -382,7 +401,7 @@ def advanced_retriever(
     only matter for vertices the two other (short) lists name, so just those get their exact place.
     """
     # short lists (and one small vector per vertex) are saved once instead of being recomputed per use
-    mixed = cut_lineage(attention_vectors(vertices, edges))
+    mixed = cut_lineage(attention_vectors(vertices, edges, columns))
     coded = question_vectors(questions)
     attention = cut_lineage(topk.top_scores(mixed, coded, max_tables, 0.1))
     paths = cut_lineage(greedy_paths(questions, attention.filter(F.col("rank") <= 5), vertices, edges))

@@ -87,7 +87,11 @@ FROM {orders}""",
     "gs_edges": """
 SELECT 'world' AS src, 'region_' || CAST(r_regionkey AS STRING) AS dst, 'related' AS rel_type FROM {region}
 UNION ALL SELECT 'region_' || CAST(n_regionkey AS STRING), 'nation_' || CAST(n_nationkey AS STRING), 'foreign_key' FROM {nation}
-UNION ALL SELECT 'nation_' || CAST(s_nationkey AS STRING), 'supplier_' || lpad(CAST(s_suppkey AS STRING), 8, '0'), 'reference' FROM {supplier}""",
+UNION ALL SELECT 'nation_' || CAST(s_nationkey AS STRING), 'supplier_' || lpad(CAST(s_suppkey AS STRING), 8, '0'), 'reference' FROM {supplier}
+UNION ALL SELECT 'supplier_' || lpad(CAST(s_suppkey AS STRING), 8, '0'), 'nation_' || CAST((s_nationkey + 1 + s_suppkey % 3) % 25 AS STRING), 'similar' FROM {supplier} WHERE s_acctbal < 3000""",
+    "gs_columns": """
+SELECT 'nation_' || CAST(c_nationkey AS STRING) AS table_name, lower(c_mktsegment) AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC) AS place
+FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}) seg""",
     "gs_vertices": """
 SELECT 'region_' || CAST(r_regionkey AS STRING) AS name, r_name AS description FROM {region}
 UNION ALL SELECT 'nation_' || CAST(n_nationkey AS STRING), n_name FROM {nation}
@@ -96,6 +100,10 @@ UNION ALL SELECT DISTINCT 'world', 'all regions' FROM {region}""",
     "gl_vertices": """
 SELECT 'part_' || lpad(CAST(p_partkey AS STRING), 8, '0') AS name, p_name || ' ' || lower(p_type) || ' ' || p_brand AS description FROM {part}
 UNION ALL SELECT 'supplier_' || lpad(CAST(s_suppkey AS STRING), 8, '0'), s_name || ' of ring and blue things' FROM {supplier}""",
+    "gl_columns": """
+SELECT table_name, name, row_number() OVER (PARTITION BY table_name ORDER BY name DESC) AS place FROM (
+SELECT DISTINCT 'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS table_name, 'flag_' || lower(l_returnflag) || lower(l_linestatus) AS name FROM {lineitem}
+UNION SELECT DISTINCT 'supplier_' || lpad(CAST(l_suppkey AS STRING), 8, '0'), 'line_' || CAST(l_linenumber AS STRING) FROM {lineitem}) named""",
     "gl_edges": """
 SELECT DISTINCT 'supplier_' || lpad(CAST(l_suppkey AS STRING), 8, '0') AS src,
        'part_' || lpad(CAST(l_partkey AS STRING), 8, '0') AS dst,

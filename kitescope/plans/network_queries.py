@@ -66,12 +66,13 @@ def g3(c):
     )
 
 
-HASH_TEXT = f"list_transform(range(10), lambda i: CAST({number_sql('description || CAST(i AS VARCHAR)')} % 1000 AS DOUBLE) / 1000)"
+HASH_TEXT = f"list_transform(range(10), lambda i: CAST({number_sql('text || CAST(i AS VARCHAR)')} % 1000 AS DOUBLE) / 1000)"
 
 
 def attention_sql(g: str, questions: str) -> str:
     """att(question_id, entity, score, rank): the complete ranking of G4."""
-    return f"""{code_sql(questions)}, vv AS (SELECT name, {HASH_TEXT} AS v FROM {g}_vertices),
+    return f"""{code_sql(questions)}, vtext AS (SELECT v.name, coalesce(v.description, '') || ' ' || coalesce(string_agg(c.name, ' ' ORDER BY c.place, c.name), '') AS text
+  FROM {g}_vertices v LEFT JOIN {g}_columns c ON c.table_name = v.name GROUP BY v.name, v.description), vv AS (SELECT name, {HASH_TEXT} AS v FROM vtext),
  cells AS (SELECT q.question_id, x.name, list_dot_product(q.v, x.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(x.v, x.v)) + 1e-8::DOUBLE) AS a FROM qcode q CROSS JOIN vv x),
  nb AS (SELECT c.question_id, e.src AS name, avg(c.a) AS m FROM {g}e e JOIN cells c ON c.name = e.dst GROUP BY 1, 2),
  mix AS (SELECT c.question_id, c.name AS entity, round(CASE WHEN nb.m IS NULL THEN c.a ELSE c.a * 0.7::DOUBLE + nb.m * 0.3::DOUBLE END, 6) AS score
@@ -81,7 +82,7 @@ def attention_sql(g: str, questions: str) -> str:
 
 @query("g4_neighbour_attention", f"WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')} SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM att WHERE rank <= 10")
 def g4(c):
-    return network.neighbour_attention(c("gl_questions"), c("gl_vertices"), edges(c, "gl")).select(*COLS)
+    return network.neighbour_attention(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), columns=c("gl_columns")).select(*COLS)
 
 
 def overlap_sql(desc: str, words: str) -> str:
@@ -116,7 +117,7 @@ def paths_sql(g: str, questions: str) -> str:
 @query("g6_greedy_paths", f"WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')}, {paths_sql('gl', 'gl_questions')} SELECT question_id, entity, CAST(rank AS INT) AS rank FROM rl")
 def g6(c):
     e = edges(c, "gl")
-    seeds = network.neighbour_attention(c("gl_questions"), c("gl_vertices"), e, 5)
+    seeds = network.neighbour_attention(c("gl_questions"), c("gl_vertices"), e, 5, columns=c("gl_columns"))
     return network.greedy_paths(c("gl_questions"), seeds, c("gl_vertices"), e)
 
 
@@ -127,7 +128,7 @@ SELECT a.question_id, a.entity, a.rank FROM att a JOIN rl ON rl.question_id = a.
 )
 def g4_ranks(c):
     # the vertices of the greedy paths: at most eleven per question
-    return network.attention_ranks(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), g6(c))
+    return network.attention_ranks(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), g6(c), columns=c("gl_columns"))
 
 
 def seeds_sql(questions: str, hay: str, per_term: int = 3) -> str:
@@ -150,13 +151,16 @@ def g8(c):
     return network.degree_hubs(c("gl_vertices"), edges(c, "gl"))
 
 
-# in a tree every pair has one path, so a vertex lies on it exactly if the distances add up
-BETWEEN = """adj AS (SELECT src, dst FROM gse UNION SELECT dst, src FROM gse),
+# shortest paths are counted level by level; a vertex lies on those of a pair whose distances through it add up
+BETWEEN = """adj AS MATERIALIZED (SELECT src, dst FROM gse UNION SELECT dst, src FROM gse), nv AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM gs_vertices),
  walk AS (SELECT name AS s, name AS t, 0 AS d FROM gs_vertices UNION SELECT w.s, a.dst, w.d + 1 FROM walk w JOIN adj a ON a.src = w.t WHERE w.d < 6),
- dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY 1, 2),
- between AS (SELECT v.name, round(coalesce(count(*) FILTER (a.s IS NOT NULL), 0) / ((SELECT count(*) FROM gs_vertices) - 1) / ((SELECT count(*) FROM gs_vertices) - 2), 6) AS score
-  FROM gs_vertices v LEFT JOIN (SELECT x.t AS name, x.s, y.t AS e FROM dist x JOIN dist y ON y.s = x.t JOIN dist z ON z.s = x.s AND z.t = y.t
-   WHERE x.d > 0 AND y.d > 0 AND x.d + y.d = z.d) a ON a.name = v.name GROUP BY 1)"""
+ dist AS MATERIALIZED (SELECT s, t, min(d) AS d FROM walk GROUP BY 1, 2),
+ counts AS (SELECT name AS s, name AS t, 0 AS d, 1::DOUBLE AS paths FROM gs_vertices UNION ALL
+  SELECT c.s, a.dst, c.d + 1, sum(c.paths) FROM counts c JOIN adj a ON a.src = c.t JOIN dist x ON x.s = c.s AND x.t = a.dst AND x.d = c.d + 1 GROUP BY 1, 2, 3),
+ sigma AS MATERIALIZED (SELECT * FROM counts),
+ between AS (SELECT v.name, round(coalesce(sum(a.share), 0) / ((n - 1) * (n - 2)), 6) AS score
+  FROM gs_vertices v CROSS JOIN nv LEFT JOIN (SELECT x.t AS name, x.paths * y.paths / z.paths AS share FROM sigma x JOIN sigma y ON y.s = x.t JOIN sigma z ON z.s = x.s AND z.t = y.t
+   WHERE x.d > 0 AND y.d > 0 AND x.d + y.d = z.d) a ON a.name = v.name GROUP BY v.name, n)"""
 
 
 @query("g9_betweenness", f"WITH RECURSIVE {edges_sql('gs')}, {BETWEEN} SELECT name, score FROM between")
@@ -293,4 +297,4 @@ SELECT question_id, entity, score, CAST(rank AS INT) AS rank FROM ens WHERE rank
 )
 def g16(c):
     s = Small(c)
-    return network.advanced_retriever(s.questions, s.vertices, s.edges, s.ranks(), s.hubs, s.bridges, rank_threshold=RANK_AT).select(*COLS)
+    return network.advanced_retriever(s.questions, s.vertices, s.edges, s.ranks(), s.hubs, s.bridges, rank_threshold=RANK_AT, columns=c("gs_columns")).select(*COLS)

@@ -119,6 +119,13 @@ def test_pagerank_without_edges_and_without_vertices(small):
     assert scores(network.pagerank(vertices.limit(0), edges.limit(0))) == {}
 
 
+def test_vertex_texts_list_columns_by_place(spark):
+    vertices = spark.createDataFrame([("a", "red"), ("b", None), ("c", "blue")], "name string, description string")
+    columns = spark.createDataFrame([("a", "y", 2), ("a", "z", 1), ("a", "x", 2), ("a", None, 0), ("b", "k", None), ("gone", "q", 1)], "table_name string, name string, place int")
+    assert {r.name: r.text for r in network.vertex_texts(vertices, columns).collect()} == {"a": "red z x y", "b": " k", "c": "blue "}
+    assert {r.name: r.text for r in network.vertex_texts(vertices).collect()} == {"a": "red", "b": "", "c": "blue"}
+
+
 def test_build_network_drops_loops_and_strangers_and_keeps_the_heavier(spark):
     vertices = spark.createDataFrame([("a", ""), ("b", "")], "name string, description string")
     edges = spark.createDataFrame([("a", "a", "foreign_key"), ("a", "z", "foreign_key"), ("a", "b", "similar"), ("a", "b", "foreign_key"), ("b", "a", "made_up")], "src string, dst string, rel_type string")
