@@ -6,22 +6,14 @@ TF-IDF cosine and the similarity table spread a pair's terms, and those fold bac
 
 from __future__ import annotations
 
-import sys
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from kitescope.functions import fixed_values as fixed
 from kitescope.functions import sqltext
 from kitescope.functions.sqltext import strings
 
-# the similarity function travels with its tasks, so workers need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 GENERATED, TRUTH = "generated_sql", "truth_sql"
 CLAUSES = ["select", "from", "where", "join", "group_by", "having", "order_by"]
 
@@ -241,24 +233,73 @@ def soft_f1_edit(pairs: DataFrame, above: float = 0.8) -> DataFrame:
     return _soft_scores(rows, pairs.columns, hits)
 
 
-@F.pandas_udf(DoubleType())
-def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters, by longest matching blocks."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def _longest_block(x: Column, y: Column) -> Column:
+    """(start, size) of the longest run of ``x`` inside ``y``, the first in ``x`` where several tie.
+
+    The start moves on where the run cannot grow, so at most length of x plus run length steps are taken.
+    """
+    def step(s: Column, _: Column) -> Column:
+        grows = (s["i"] + s["size"] <= F.length(x)) & F.contains(y, F.substr(x, s["i"], s["size"] + 1))
+        return F.when(grows, F.struct(s["i"].alias("i"), (s["size"] + 1).alias("size"), s["i"].alias("start"))).otherwise(
+            F.struct((s["i"] + 1).alias("i"), s["size"].alias("size"), s["start"].alias("start"))
+        )
+
+    steps = F.sequence(F.lit(1), F.length(x) + F.least(F.length(x), F.length(y)))
+    return F.aggregate(steps, F.struct(F.lit(1).alias("i"), F.lit(0).alias("size"), F.lit(1).alias("start")), step)
+
+
+def matching_characters(x: Column, y: Column) -> Column:
+    """Characters of ``x`` and ``y`` that matching blocks pair up: the longest block, then left and right of it.
+
+    Of equally long blocks the first in ``x`` counts, at its first place in ``y``.  Every character counts,
+    frequent ones of long texts too.  Spans still open form a stack inside the row.
+    """
+    def span(left: Column, right: Column) -> Column:
+        return F.struct(left.alias("x"), right.alias("y"))
+
+    def split(head: Column, best: Column) -> Column:
+        start, size = best["start"], best["size"]
+        at = F.position(F.substr(head["x"], start, size), head["y"])
+        before = span(F.substr(head["x"], F.lit(1), start - 1), F.substr(head["y"], F.lit(1), at - 1))
+        after = span(F.substr(head["x"], start + size), F.substr(head["y"], at + size))
+        both = F.filter(F.array(before, after), lambda p: (F.length(p["x"]) > 0) & (F.length(p["y"]) > 0))
+        return F.struct(size.alias("size"), F.when(size > 0, both).otherwise(F.slice(both, 1, 0)).alias("spans"))
+
+    def step(s: Column, _: Column) -> Column:
+        rest = F.slice(s["open"], F.lit(2), F.size(s["open"]))
+        done = F.transform(F.slice(s["open"], 1, 1), lambda h: F.transform(F.array(_longest_block(h["x"], h["y"])), lambda b: split(h, b))[0])
+        taken = F.transform(done, lambda d: F.struct((s["matched"] + d["size"]).alias("matched"), F.concat(d["spans"], rest).alias("open")))
+        return F.when(F.size(s["open"]) == 0, s).otherwise(taken[0])
+
+    # every block pairs a character at least and leaves at most two spans
+    steps = F.sequence(F.lit(0), 2 * F.least(F.length(x), F.length(y)))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("matched"), F.array(span(x, y)).alias("open")), step)["matched"]
+
+
+def matching_blocks_ratio(x: Column, y: Column) -> Column:
+    """Twice the matching characters over all characters; two empty texts are equal."""
+    total = F.length(x) + F.length(y)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * matching_characters(x, y) / total)
+
+
+def _common_bound(x: Column, y: Column) -> Column:
+    """No fewer than the matching characters: what each side keeps of the other's alphabet, the lesser of both."""
+    kept = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+    return F.least(kept(x, y), kept(y, x))
 
 
 def soft_f1(pairs: DataFrame, above: float = 0.8) -> DataFrame:
     """Q16: as :func:`soft_f1_edit` with the matching-blocks ratio.
 
     Similarity is computed once per distinct pair of different identifiers that share a row, and only
-    for those whose character counts allow the ratio at all; equal identifiers need no computing.
+    for those whose lengths and alphabets allow the ratio at all; equal identifiers need no computing.
     """
     rows = pairs.select("pair_id", sqltext.entities(F.col(GENERATED)).alias("g"), sqltext.entities(F.col(TRUTH)).alias("t"))
     open_g = F.array_except("g", "t")
     spread = rows.select("pair_id", F.explode(open_g).alias("x"), F.array_distinct("t").alias("t")).select("pair_id", "x", F.explode("t").alias("y"))
-    short, long = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    possible = spread.filter(2 * short > F.lit(above) * (short + long))
-    names = possible.select("x", "y").distinct()
+    total = F.lit(above) * (F.length("x") + F.length("y"))
+    possible = spread.filter(2 * F.least(F.length("x"), F.length("y")) > total)
+    names = possible.select("x", "y").distinct().filter(2 * _common_bound(F.col("x"), F.col("y")) > total)
     similar = names.filter(matching_blocks_ratio(F.col("x"), F.col("y")) > above)
     hits = possible.join(similar, ["x", "y"]).select("pair_id", "x").distinct().groupBy("pair_id").agg(F.collect_list("x").alias("near"))
     joined = rows.join(hits, "pair_id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))

@@ -274,7 +274,19 @@ def q16_edit(c):
     return rounded(sqlscore.soft_f1_edit(c("s_pairs").select("pair_id", G, T)).select("pair_id", *names), names)
 
 
-@query("q16_soft_f1")
+# lengths of the longest run of x from each place that lies in y; the first longest one splits both texts
+RUNS = "list_transform(range(1, length(x) + 1), lambda i: list_max(list_filter(range(0, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))))"
+BLOCKS = f"""names AS (SELECT DISTINCT x, y FROM (SELECT unnest(g) AS x, t FROM ent) a, unnest(t) u(y) WHERE x <> y AND 2 * least(length(x), length(y)) > 0.8::DOUBLE * (length(x) + length(y))),
+ work AS (SELECT x AS x0, y AS y0, x, y, 0::BIGINT AS size FROM names
+  UNION ALL SELECT x0, y0, unnest([x[:pos - 1], x[pos + k:], '']), unnest([y[:b - 1], y[b + k:], '']), unnest([0, 0, k]) FROM (
+   SELECT *, instr(y, substr(x, pos, k)) AS b FROM (SELECT *, list_position(runs, k) AS pos FROM (SELECT *, list_max(runs) AS k FROM (SELECT x0, y0, x, y, {RUNS} AS runs FROM work WHERE x <> '' AND y <> '') r) l) p WHERE k > 0) s),
+ near AS (SELECT x0 AS x, y0 AS y FROM work GROUP BY 1, 2 HAVING 2.0::DOUBLE * sum(size) / (length(x0) + length(y0)) > 0.8::DOUBLE),
+ nearby AS (SELECT e.pair_id, list(DISTINCT n.x) AS xs FROM (SELECT pair_id, unnest(g) AS x, t FROM ent) e JOIN near n ON n.x = e.x AND list_contains(e.t, n.y) GROUP BY 1),
+ bhit AS (SELECT e.pair_id, len(g) AS ng, len(t) AS nt, len(list_filter(g, lambda x: list_contains(t, x) OR coalesce(list_contains(xs, x), FALSE))) AS h FROM ent e LEFT JOIN nearby n ON n.pair_id = e.pair_id),
+ bsoft AS (SELECT pair_id, {ratio('h', 'ng')} AS soft_precision, {ratio('h', 'nt')} AS soft_recall FROM bhit)"""
+
+
+@query("q16_soft_f1", f"WITH RECURSIVE {SOFT}, {BLOCKS} SELECT pair_id, round(soft_precision, 6) AS soft_precision, round(soft_recall, 6) AS soft_recall, round({f1('soft_precision', 'soft_recall')}, 6) AS soft_f1 FROM bsoft")
 def q16(c):
     return rounded(sqlscore.soft_f1(c("s_pairs")), ["soft_precision", "soft_recall", "soft_f1"])
 

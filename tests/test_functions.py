@@ -1,5 +1,6 @@
 """Column rules on hand-made rows."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -129,6 +130,17 @@ def test_soft_f1_equals_brute_force(spark):
     assert got == pytest.approx(want) and want[1] > 0.9 and want[4] > 0
 
 
+def test_matching_blocks_equal_the_matcher_on_thousands_of_pairs(spark):
+    rng = random.Random(7)
+    words = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    rows = [(words("ab_", 9), words("ab_", 9)) for _ in range(2000)] + [(words("order_ky", 16), words("order_ky", 16)) for _ in range(1000)]
+    rows += [("", ""), ("a", ""), ("", "a"), ("x" * 60, "x" * 61), ("ab" * 20, "ba" * 20), ("é_ü", "ü_é"), ("l_orderkey", "orderkey_l"), ("l_orderkey", "l_orderkeys")]
+    df = spark.createDataFrame(rows, "x string, y string").distinct()
+    got = df.select("x", "y", sqlscore.matching_blocks_ratio(F.col("x"), F.col("y")).alias("r")).collect()
+    assert len(got) > 2000
+    assert [(r.x, r.y) for r in got if r.r != SequenceMatcher(None, r.x, r.y).ratio()] == []
+
+
 def test_overall_weights_use_present_scores_only(spark):
     rows = spark.createDataFrame([(1.0, 0.5, None, None)], "execution double, logical double, partial double, judge double")
     assert sqlscore.overall_a(rows).first().overall == pytest.approx((0.4 + 0.125) / 0.65)
