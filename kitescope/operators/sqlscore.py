@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kitescope.functions import fixed_values as fixed
 from kitescope.functions import sqltext
 from kitescope.functions.sqltext import strings
+from kitescope.session import cut_lineage
 
 GENERATED, TRUTH = "generated_sql", "truth_sql"
 CLAUSES = ["select", "from", "where", "join", "group_by", "having", "order_by"]
@@ -40,11 +41,17 @@ def compare_results(generated: DataFrame, truth: DataFrame, keys: list[str] | No
     pair of its own.  Rows meet by grouping, which treats nulls as equal and folds copies first.  An
     empty truth scores zero, although two empty results match exactly.
     """
-    keys = keys or []
-    marked = generated.select("*", F.lit(1).alias("in_g"), F.lit(0).alias("in_t")).unionByName(
+    return _compare_rows(_marked(generated, truth), truth.columns, keys or [])
+
+
+def _marked(generated: DataFrame, truth: DataFrame) -> DataFrame:
+    return generated.select("*", F.lit(1).alias("in_g"), F.lit(0).alias("in_t")).unionByName(
         truth.select("*", F.lit(0).alias("in_g"), F.lit(1).alias("in_t"))
     )
-    rows = marked.groupBy(*truth.columns).agg(F.sum("in_g").alias("g"), F.sum("in_t").alias("t"))
+
+
+def _compare_rows(marked: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    rows = marked.groupBy(*columns).agg(F.sum("in_g").alias("g"), F.sum("in_t").alias("t"))
     in_g, in_t = F.col("g") > 0, F.col("t") > 0
     sums = rows.groupBy(*keys).agg(
         F.coalesce(F.sum("g"), F.lit(0)).alias("generated_rows"), F.coalesce(F.sum("t"), F.lit(0)).alias("truth_rows"),
@@ -58,6 +65,39 @@ def compare_results(generated: DataFrame, truth: DataFrame, keys: list[str] | No
     )
 
 
+def result_fingerprints(marked: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """(keys, generated_rows, truth_rows, same): whether both results of a pair hold the same rows as often.
+
+    Two hashes of each row are added for one side and subtracted for the other, in integers wide enough
+    not to overflow, so the order of rows has no effect and sums fold inside tasks.  Nulls are hashed by
+    mark, as the hash itself passes over them.
+    """
+    cells = [c for name in columns for c in (F.col(name), F.col(name).isNull())]
+    sign = (F.col("in_g") - F.col("in_t")).cast("decimal(1,0)")
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(20,0)") * sign)
+    sums = marked.groupBy(*keys).agg(F.sum("in_g").alias("generated_rows"), F.sum("in_t").alias("truth_rows"), total(1).alias("a"), total(2).alias("b"))
+    same = (F.col("generated_rows") == F.col("truth_rows")) & (F.col("a") == 0) & (F.col("b") == 0)
+    return sums.select(*keys, "generated_rows", "truth_rows", F.coalesce(same, F.lit(False)).alias("same"))
+
+
+def compare_many_results(generated: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Q1 for many pairs of results at once, one per value of ``keys`` (nulls are values), as :func:`compare_results`.
+
+    Pairs of equal fingerprints are settled without sending their rows; only the rows of the others are
+    grouped.  A pair counts as equal by two 64-bit hashes per row; anything else is compared cell by cell.
+    """
+    marked = _marked(generated, truth)
+    prints = cut_lineage(result_fingerprints(marked, truth.columns, keys))
+    one = F.lit(1.0)
+    settled = prints.filter("same").select(
+        *keys, F.lit(True).alias("exact_match"), "generated_rows", "truth_rows",
+        one.alias("precision"), one.alias("recall"), one.alias("f1_score"), one.alias("jaccard"),
+    )
+    left = prints.filter("NOT same").select(*[F.col(k).alias(f"open_{i}") for i, k in enumerate(keys)])
+    meets = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"open_{i}")) for i, k in enumerate(keys)])
+    return settled.unionByName(_compare_rows(marked.join(left, meets, "left_semi"), truth.columns, keys))
+
+
 # --- scorer A -------------------------------------------------------------------------------------
 
 

@@ -55,6 +55,11 @@ def q1_keyed(c):
     return rounded(sqlscore.compare_results(c("x_generated_rows"), c("x_truth_rows"), ["o_custkey"]), COMPARED)
 
 
+@query("q1_compare_many_results", compare_sql("o_custkey"))
+def q1_many(c):
+    return rounded(sqlscore.compare_many_results(c("x_generated_rows"), c("x_truth_rows"), ["o_custkey"]), COMPARED)
+
+
 # clause patterns written for an engine without look-around; (?s) lets a dot cross lines
 P = sqltext.CLAUSE_PATTERNS
 TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"

@@ -156,3 +156,24 @@ def test_compare_results_treats_nulls_as_equal_and_empty_truth_as_zero(spark):
     assert sqlscore.compare_results(g, empty).first().f1_score == 0.0
     e = sqlscore.compare_results(empty, empty)
     assert e.count() == 0 or e.first().f1_score == 0.0
+
+
+def test_many_results_equal_the_comparison_row_by_row(spark):
+    rng = random.Random(3)
+    cell = lambda: rng.choice([None, 1, 2])
+    sides = ([], [])
+    for k in [None, *range(300)]:
+        rows = [(k, cell(), rng.choice([None, "x"])) for _ in range(rng.randint(0, 4))]
+        other = list(rows) if k is None or k % 3 else [(k, cell(), rng.choice([None, "x"])) for _ in range(rng.randint(0, 4))]
+        rng.shuffle(other)
+        sides[0].extend(rows)
+        sides[1].extend(other + other[:1] * (k == 7))
+    sides[0].extend([(1000, None, "x"), (1001, 1, None)])
+    sides[1].extend([(1000, 1, None), (1001, 1, None)])
+    g, t = (spark.createDataFrame(rows, "k int, a int, b string") for rows in sides)
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(sqlscore.compare_many_results(g, t, ["k"])) == as_rows(sqlscore.compare_results(g, t, ["k"]))
+    prints = {r.k: r.same for r in sqlscore.result_fingerprints(sqlscore._marked(g, t), t.columns, ["k"]).collect()}
+    bags = {k: [sorted(map(repr, [r for r in side if r[0] == k])) for side in sides] for k in prints}
+    assert prints == {k: x == y for k, (x, y) in bags.items()} and not prints[1000] and prints[1001]
+    assert sqlscore.compare_many_results(g.limit(0), t.limit(0), ["k"]).count() == 0
