@@ -46,6 +46,8 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _hashed(held: list[str], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.repeat(np.array(numbers), [len(x) for x in held])
+    # what starts behind _PIECE starts the next piece of the same text too and is counted there
+    first = np.concatenate([np.arange(len(x)) < _PIECE for x in held])
     out, owners = [], []
     for n in ORDERS:
         m = len(c) - n + 1
@@ -55,7 +57,7 @@ def _hashed(held: list[str], numbers: list[int]) -> tuple[np.ndarray, np.ndarray
         for i in range(n):
             total = (total ^ (c[i:i + m] * _FACTORS[i % 3])) * np.uint32(0x27D4EB2F)
             total ^= total >> np.uint32(15)
-        inside = owner[:m] == owner[n - 1:]
+        inside = (owner[:m] == owner[n - 1:]) & first[:m]
         out.append((total & np.uint32(BUCKETS - 1))[inside])
         owners.append(owner[:m][inside])
     return np.concatenate(out or [np.empty(0, np.uint32)]).astype(np.int64), np.concatenate(owners or [np.empty(0, np.int64)])

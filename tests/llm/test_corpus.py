@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -252,6 +253,54 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.predict(more, None).collect()} == {"und"}
 
 
+def plain_buckets(text):
+    """Buckets of all 2- and 3-grams of a framed, lower-cased text, one gram at a time."""
+    c, word = [ord(x) for x in f" {text.lower()} "], 2**32 - 1
+    for n in (2, 3):
+        for i in range(len(c) - n + 1):
+            h = n
+            for x, factor in zip(c[i:i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                h = ((h ^ (x * factor & word)) * 0x27D4EB2F) & word
+                h ^= h >> 15
+            yield h & 0xFFFF
+
+
+def plain_bayes(learned, texts):
+    """(language, posterior) of each text by naive Bayes with one added to every count."""
+    counts, n = {}, collections.Counter(x for _, x in learned)
+    for text, lang in learned:
+        counts.setdefault(lang, collections.Counter()).update(plain_buckets(text))
+    totals = {x: sum(c.values()) + 65536 for x, c in counts.items()}
+    for text in texts:
+        if not text or not any(map(str.isalpha, text)):
+            yield "und", 0.0
+            continue
+        held = list(plain_buckets(text))
+        logs = {x: math.log(n[x] / len(learned)) + sum(math.log((counts[x][b] + 1) / totals[x]) for b in held) for x in sorted(counts)}
+        best = max(logs, key=logs.get)
+        yield best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+
+def test_languages_equal_plain_bayes_on_mixed_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = {"aa": "abcde ", "bb": "cdefg ", "cc": "éüdxyz ", "dd": "漢字仮名ab"}
+    def text(x):
+        return "".join(rng.choice(letters[x]) for _ in range(rng.choice([0, 1, 3, 12, 200])))
+
+    learned = [(text(x), x) for x in list(letters) * 15]
+    asked = [text(rng.choice(list(letters))) + text(rng.choice(list(letters))) for _ in range(120)] + [None, "", " ", "1 2", "İ", "a"]
+    model = language_id.fit(spark.createDataFrame(learned + [(None, "aa"), ("abc", None)], "text string, lang string"))
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(rows, model).collect()}
+    want = list(plain_bayes(learned, asked))
+    assert [got[i][0] for i in range(len(asked))] == [x for x, _ in want]
+    assert [got[i][1] for i in range(len(asked))] == pytest.approx([p for _, p in want], abs=1e-9)
+    monkeypatch.setattr(language_id, "_PIECE", 50)
+    whole = [t for t in asked if t]
+    pieces = [pair for part in language_id.grams(whole) for pair in zip(*map(list, part))]
+    assert sorted(pieces) == sorted((b, i) for i, t in enumerate(whole) for b in plain_buckets(t))
+
+
 def test_suffix_array_equals_sorting():
     rng = random.Random(5)
     for _ in range(80):
