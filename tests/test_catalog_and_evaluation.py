@@ -193,3 +193,15 @@ def test_profiles_compare_numbers_as_numbers(spark):
     assert (p["k"].min_value, p["k"].max_value, p["k"].n_distinct, p["k"].n_nulls, p["k"].distinct_values) == ("9", "1499", 4, 1, ["9", "10", "999"])
     assert (p["d"].min_value, p["d"].max_value, p["d"].n_distinct, p["d"].distinct_values) == ("-2.5", "NaN", 5, ["-2.5", "1.00001", "1.00002"])
     assert (p["s"].min_value, p["s"].max_value) == ("10", "999")
+
+
+def test_columns_come_out_of_their_own_document_without_a_shuffle(spark, tmp_path):
+    from kitescope.plans.carriers import Carriers
+
+    rows = [(1, "b a B c a", "en", "web", 9), (2, None, "en", "web", 0), (3, "  ", "en", "web", 2), (None, "x", "en", "web", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = Carriers(spark, str(tmp_path))("c_columns")
+    got = sorted((r.ord, r.description, r.ordinal_position, r.is_primary_key) for r in columns.collect())
+    assert got == [(1, "holds a", 1, False), (1, "holds b", 0, True), (1, "holds c", 3, False)]
+    plan = columns._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
