@@ -171,38 +171,79 @@ def degree_hubs(vertices: DataFrame, edges: DataFrame, n: int = 5, threshold: fl
     return leading_vertices(degree_centrality(vertices, edges), n, threshold)
 
 
+def twin_classes(adjacency: DataFrame) -> DataFrame:
+    """(name, twin, size): vertices with the same neighbours under the smallest of their names; others are alone.
+
+    ``adjacency`` has both directions of every edge once.  Equal hashes of neighbours propose a class; it holds if every
+    neighbour of one member is a neighbour of all, otherwise its members stay alone.
+    """
+    marks = adjacency.groupBy(F.col("src").alias("name")).agg(
+        F.count("*").alias("degree"), F.bit_xor(F.xxhash64("dst")).alias("m1"), F.bit_xor(F.xxhash64("dst", F.lit(1))).alias("m2"))
+    same = ["degree", "m1", "m2"]
+    proposed = cut_lineage(marks.join(marks.groupBy(*same).agg(F.min("name").alias("twin"), F.count("*").alias("size")), same).select("name", "twin", "size"))
+    shared = adjacency.join(proposed.withColumnRenamed("name", "src"), "src").groupBy("twin", "dst", "size").agg(F.count("*").alias("holders"))
+    broken = shared.filter("holders < size").select("twin", F.lit(True).alias("broken")).distinct()
+    alone = F.col("broken").isNotNull()
+    return proposed.join(broken, "twin", "left").select(
+        "name", F.when(alone, F.col("name")).otherwise(F.col("twin")).alias("twin"), F.when(alone, F.lit(1)).otherwise(F.col("size")).alias("size"))
+
+
 def betweenness(vertices: DataFrame, edges: DataFrame, pivots: int | None = None, source_groups: int = 1) -> DataFrame:
     """(name, score): normalised undirected betweenness by level-wise path counting.
 
-    All sources of a group advance one level per join; state is keyed (source, node) and saved after
-    each level, so ``source_groups`` bounds it.  ``pivots`` uses that many sources (first by hash of
-    the name) and scales by n / pivots, the usual estimate for large networks.
+    Vertices with the same neighbours are walked from and through together: a class counts as one vertex and, where it has
+    more, a second one for all the rest, so the state grows with the classes, not with the vertices.  All sources of a group
+    advance one level per join; state is keyed (source, node) and saved after each level, so ``source_groups`` bounds it.
+    A network whose vertices all differ keeps one row per pair of vertices.  ``pivots`` uses that many sources (first by hash
+    of the name) and scales by n / pivots, the usual estimate for large networks.
     """
     adjacency = cut_lineage(_ends(edges).filter(F.col("src") != F.col("dst")).distinct())
     names = vertices.select("name")
     n = names.count()
     if n < 3:
         return names.withColumn("score", F.lit(0.0))
+    twins = cut_lineage(twin_classes(adjacency))
     chosen = names if pivots is None or pivots >= n else names.orderBy(F.xxhash64("name"), "name").limit(pivots)
     scale = 1.0 if pivots is None or pivots >= n else n / pivots
+    # node 0 of a class is one member, node 1 stands for the other ``copies`` members
+    rest = F.explode(F.when(F.col("size") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("rest")
+    nodes = twins.select("twin", "size").distinct().select("twin", "size", rest).select(
+        "twin", F.struct("twin", "rest").alias("node"), F.when(F.col("rest") == 0, F.lit(1)).otherwise(F.col("size") - 1).alias("copies"))
+    linked = adjacency.join(twins.select(F.col("name").alias("src"), F.col("twin").alias("a")), "src").join(twins.select(F.col("name").alias("dst"), F.col("twin").alias("b")), "dst")
+    between = linked.select("a", "b").distinct()
+    folded = cut_lineage(
+        between.join(nodes.select(F.col("twin").alias("a"), F.col("node").alias("src"), "copies"), "a")
+        .join(nodes.select(F.col("twin").alias("b"), F.col("node").alias("dst")), "b").select("src", "dst", "copies"))
+    sources = twins.join(chosen, "name").groupBy("twin").agg(F.count("*").alias("weight"))
     parts = []
     for group in range(source_groups):
-        mine = chosen.filter(F.pmod(F.xxhash64("name"), F.lit(source_groups)) == group)
-        parts.append(_dependencies(mine, adjacency))
-    total = reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.sum("dependency").alias("d"))
+        mine = sources.filter(F.pmod(F.xxhash64("twin"), F.lit(source_groups)) == group)
+        parts.append(_dependencies(mine.select(F.struct("twin", F.lit(0).alias("rest")).alias("name")), folded))
+    found = reduce(DataFrame.unionByName, parts).join(sources.select(F.col("twin").alias("from"), "weight"), F.col("source.twin") == F.col("from"))
+    # other classes send to every member alike; a member sends to the rest of its own class, but not to itself
+    other = F.col("source.twin") != F.col("node.twin")
+    total = found.groupBy(F.col("node.twin").alias("twin")).agg(
+        F.sum(F.when(other & (F.col("node.rest") == 0), F.col("dependency") * F.col("weight"))).alias("d"),
+        F.sum(F.when(~other, F.col("dependency"))).alias("own"), F.max(F.when(~other, F.col("weight"))).alias("weight"))
+    member = twins.select("name", "twin").join(chosen.select(F.col("name").alias("picked")), F.col("name") == F.col("picked"), "left").join(total, "twin")
+    others = F.col("weight") - F.when(F.col("picked").isNull(), F.lit(0)).otherwise(F.lit(1))
+    given = member.select("name", (F.coalesce("d", F.lit(0.0)) + F.coalesce(F.col("own") * others, F.lit(0.0))).alias("d"))
     score = F.coalesce(F.col("d"), F.lit(0.0)) * F.lit(scale) / F.lit(float((n - 1) * (n - 2)))
-    return names.join(total, "name", "left").select("name", F.round(score, 6).alias("score"))
+    return names.join(given, "name", "left").select("name", F.round(score, 6).alias("score"))
 
 
 def _dependencies(sources: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(name, dependency): share of shortest paths from the sources running through each vertex."""
+    """(source, node, dependency): share of shortest paths from each source running through one vertex of each node.
+
+    ``adjacency`` says in ``copies`` for how many vertices its ``src`` stands; a source stands for one.
+    """
     frontier = sources.select(F.col("name").alias("source"), F.col("name").alias("node"), F.lit(1.0).alias("paths"))
     levels = [cut_lineage(frontier)]
     # edges go both ways, so a step from a level leads to the level before, the level itself or the next one
     recent = levels[0].select("source", "node")
     while True:
         grown = (
-            levels[-1].join(adjacency, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            levels[-1].join(adjacency, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum(F.col("paths") * F.col("copies")).alias("paths"))
             .join(recent, ["source", "node"], "left_anti")
         )
         level = cut_lineage(grown)
@@ -216,14 +257,14 @@ def _dependencies(sources: DataFrame, adjacency: DataFrame) -> DataFrame:
     for level in reversed(levels[:-1]):
         share = (
             below.select("source", F.col("node").alias("child"), ((1 + F.col("dependency")) / F.col("paths")).alias("per_path"))
-            .join(adjacency, F.col("child") == F.col("dst")).groupBy("source", F.col("src").alias("node")).agg(F.sum("per_path").alias("per_path"))
+            .join(adjacency, F.col("child") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum(F.col("per_path") * F.col("copies")).alias("per_path"))
         )
         below = cut_lineage(
             level.join(share, ["source", "node"], "left").select("source", "node", "paths", F.coalesce(F.col("paths") * F.col("per_path"), F.lit(0.0)).alias("dependency"))
         )
-        through.append(below.filter(F.col("source") != F.col("node")).select(F.col("node").alias("name"), "dependency"))
+        through.append(below.filter(F.col("source") != F.col("node")).select("source", "node", "dependency"))
     if not through:
-        return sources.select("name", F.lit(0.0).alias("dependency")).limit(0)
+        return levels[0].select("source", "node", F.lit(0.0).alias("dependency")).limit(0)
     return reduce(DataFrame.unionByName, through)
 
 

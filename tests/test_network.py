@@ -62,6 +62,21 @@ def test_betweenness_with_several_shortest_paths(small, groups):
     assert got == pytest.approx(brute_betweenness(NAMES, EDGES), abs=1e-6)
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_betweenness_walks_twins_together(spark, monkeypatch, groups):
+    # two hubs, six leaves of one, five vertices between both, a tail behind the other
+    edges = [("h1", f"l{i}") for i in range(6)] + [(h, f"m{i}") for i in range(5) for h in ("h1", "h2")] + [("h2", "t1"), ("t1", "t2")]
+    names = sorted({x for e in edges for x in e}) + ["alone"]
+    vertices = spark.createDataFrame([(n,) for n in names], "name string")
+    made = spark.createDataFrame(edges, "src string, dst string")
+    states, real = [], network._dependencies
+    monkeypatch.setattr(network, "_dependencies", lambda s, a: states.append(s.count()) or real(s, a))
+    got = {r.name: r.score for r in network.betweenness(vertices, made, source_groups=groups).collect()}
+    assert got == pytest.approx(brute_betweenness(names, edges), abs=1e-6)
+    # sources: both hubs, leaves, those between, two of the tail
+    assert sum(states) == 6
+
+
 def test_betweenness_pivots_all_equals_exact(small):
     vertices, edges = small
     exact = {r.name: r.score for r in network.betweenness(vertices, edges).collect()}
