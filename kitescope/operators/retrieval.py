@@ -13,6 +13,7 @@ from kitescope.functions import terms as term_rules
 from kitescope.functions import vectors
 from kitescope.operators import search, topk
 from kitescope.operators.search import top_by
+from kitescope.session import cut_lineage
 
 TEXTS = ["name", "description"]
 
@@ -35,12 +36,12 @@ def _by_terms(questions: DataFrame, terms: Column, postings: DataFrame, per_term
 
 
 def column_postings(columns: DataFrame) -> DataFrame:
-    """(token, name): lower-case column and table names leading to their table.
+    """(token, name): lower-case column and table names leading to their table; pairs may repeat.
 
     A term without a dot lies in a full name exactly if it lies in the table or the column name.
     """
     token = F.explode(F.array(F.lower("name"), F.lower("table_name")))
-    return columns.select(token.alias("token"), F.col("table_name").alias("owner")).distinct().select("token", F.col("owner").alias("name"))
+    return columns.select(token.alias("token"), F.col("table_name").alias("owner")).select("token", F.col("owner").alias("name"))
 
 
 def direct_match(questions: DataFrame, entities: DataFrame, n: int = 5, texts: list[str] | None = None) -> DataFrame:
@@ -105,10 +106,12 @@ def pattern_retriever(questions: DataFrame, entities: DataFrame, per_type: int =
     return ranked(asked.join(leading, "term").select("question_id", "name"), n)
 
 
-def first_neighbours(edges: DataFrame, n: int, directed: bool = False) -> DataFrame:
-    """(src, dst, place): first ``n`` distinct neighbours by name, never the vertex itself."""
+def first_neighbours(edges: DataFrame, n: int, directed: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """(src, dst, place): first ``n`` distinct neighbours by name, never the vertex itself; only of the ``src`` in ``of``, if given."""
     out = edges.select("src", "dst")
     both = out if directed else out.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    if of is not None:
+        both = both.join(of, "src", "left_semi")
     return top_by(both.filter(F.col("src") != F.col("dst")).distinct(), ["src"], ["dst"], n, "place")
 
 
@@ -134,10 +137,11 @@ def network_traversal(
 
     Seeds score 1, entities reached only by the hop 0.5.
     """
-    seeds = semantic_seeds(questions, entities, per_term, first_terms)
+    # a few rows per question, read as results, to choose edges and to leave from
+    seeds = cut_lineage(semantic_seeds(questions, entities, per_term, first_terms))
+    leading = seeds.filter(F.col("rank") <= expanded_seeds).select("question_id", F.col("entity").alias("src")).distinct()
     hop = (
-        seeds.filter(F.col("rank") <= expanded_seeds).select("question_id", F.col("entity").alias("src")).distinct()
-        .join(first_neighbours(edges, per_seed), "src")
+        leading.join(first_neighbours(edges, per_seed, of=leading.select("src").distinct()), "src")
         .select("question_id", F.col("dst").alias("name"), F.lit(0.5).alias("s"))
     )
     found = seeds.select("question_id", F.col("entity").alias("name"), F.lit(1.0).alias("s")).unionByName(hop)

@@ -6,15 +6,18 @@ texts) and the matching tokens are then joined to their postings.  Word against
 an equi-join: every token containing the word contains all of the word's character n-grams, so the
 word is looked up under the one n-gram that the fewest tokens share, and the hit is verified.
 
-Where a question only needs the first n entities by name, each token keeps its first n entities
-before anything is joined.  Spark applies that cut inside every task ahead of the shuffle, so a word
-carried by a third of all texts costs n rows per task.
+Where a question only needs the first n entities by name, the vocabulary is matched first; only postings
+of tokens that hold a search word are read on, and each such token keeps its first n entities.  Spark
+applies that cut inside every task ahead of the shuffle, so a word carried by a third of all texts costs
+n rows per task and a word nobody asked for none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kitescope.session import cut_lineage
+
 GRAM = 3
 
 
@@ -24,6 +27,12 @@ def top_by(df: DataFrame, keys: list[str], order: list, n: int | None, place: st
     return placed if n is None else placed.filter(F.col(place) <= n)
 
 
+def first_names(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, name, place): first ``n`` distinct names per key; repeats share a place, so none need folding before the cut."""
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy("name"))
+    return df.select(key, "name").withColumn("place", place).filter(F.col("place") <= n).distinct()
+
+
 def tokens_of(*texts: Column) -> Column:
     """Distinct lower-case white-space tokens of several texts."""
     joined = F.concat_ws(" ", *[F.lower(t) for t in texts])
@@ -53,8 +62,13 @@ def matching_tokens(needles: DataFrame, vocabulary: DataFrame, gram: int = GRAM)
     hay = per_size.select("token", F.explode(F.array_distinct(_grams(F.col("token"), F.col("size")))).alias("gram"))
     need = sized.select("term", F.explode(F.array_distinct(_grams(F.col("term"), F.col("size")))).alias("gram"))
     spread = hay.groupBy("gram").agg(F.count("*").alias("tokens"))
-    rarest = need.join(spread, "gram").groupBy("term").agg(F.min_by("gram", F.struct("tokens", "gram")).alias("gram"))
-    return rarest.join(hay, "gram").filter(F.contains(F.col("token"), F.col("term"))).select("term", "token")
+    # a gram that no token has decides at once
+    tokens = F.coalesce("tokens", F.lit(0))
+    rarest = need.join(spread, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(tokens, "gram")).alias("gram"))
+    # Spark takes exploded rows for no larger than the tokens and would broadcast them: the semi-join can only send the
+    # terms' grams, and what it leaves is dealt anew, so that the next join goes by its measured size
+    near = hay.join(rarest.select("gram").distinct(), "gram", "left_semi").repartition("gram", "token")
+    return rarest.join(near, "gram").filter(F.contains(F.col("token"), F.col("term"))).select("term", "token")
 
 
 def term_first_entities(terms: DataFrame, postings: DataFrame, n: int) -> DataFrame:
@@ -62,14 +76,14 @@ def term_first_entities(terms: DataFrame, postings: DataFrame, n: int) -> DataFr
 
     The blank term is contained in every text, so it takes the first entities of all.
     """
-    leading = top_by(postings, ["token"], ["name"], n).select("token", "name")
     needles = terms.select("term").distinct()
-    found = matching_tokens(needles.filter(F.col("term") != ""), leading.select("token").distinct())
-    named = found.join(leading, "token").select("term", "name").distinct()
-    # the first n entities of all are among the first n of each of their tokens; n names fit one row
-    first = leading.select("name").distinct().orderBy("name").limit(n).agg(F.collect_list("name").alias("names")).select("names").scalar()
-    blank = needles.filter(F.col("term") == "").withColumn("names", first).select("term", F.explode("names").alias("name"))
-    return top_by(named.unionByName(blank.select("term", "name")), ["term"], ["name"], n, "place")
+    # read for the postings to keep and for the terms they answer
+    found = cut_lineage(matching_tokens(needles.filter(F.col("term") != ""), postings.select("token").distinct()))
+    leading = first_names(postings.join(found.select("token").distinct(), "token", "left_semi"), "token", n)
+    named = found.join(leading.select("token", "name"), "token").select("term", "name")
+    # one row at most; without it nothing of this part runs
+    blank = postings.select("name").crossJoin(F.broadcast(needles.filter(F.col("term") == ""))).select("term", "name")
+    return first_names(named.unionByName(blank), "term", n)
 
 
 def phrase_matches(phrases: DataFrame, entities: DataFrame, texts: list[str], name: str = "name") -> DataFrame:

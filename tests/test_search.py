@@ -33,6 +33,33 @@ def test_matching_tokens(spark):
     assert {(r.term, r.token) for r in got.collect()} == {(n, t) for n in needles for t in tokens if n in t}
 
 
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+
+
+def _between(plan, above, below, end):
+    """Whether ``below`` stands under ``above`` with no ``end`` between them."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(plan):
+        if above in line:
+            for inner in plan[i + 1:]:
+                if depth(inner) <= depth(line) or end in inner:
+                    break
+                if below in inner:
+                    return True
+    return False
+
+
+def test_only_postings_of_asked_tokens_are_cut(spark):
+    postings = spark.range(2000).selectExpr("concat('w', cast(id % 500 AS string)) AS token", "concat('t', cast(id AS string)) AS name")
+    got = search.term_first_entities(spark.createDataFrame([("w49",), ("nowhere",)], "term string"), postings, 2)
+    plan = _final_plan(got)
+    assert _between(plan, "WindowGroupLimit", "LeftSemi", "ShuffleQueryStage")
+    names = sorted(f"t{i}" for i in range(2000) if "w49" in f"w{i % 500}")[:2]
+    assert {(r.term, r.name, r.place) for r in got.collect()} == {("w49", name, i + 1) for i, name in enumerate(names)}
+
+
 @pytest.mark.parametrize("n", [1, 3, 1000])
 def test_term_first_entities(spark, texts, entities, n):
     needles = ["the", "bet", "ray", "a", "nothing", "", "t00", "copy"]
