@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kitescope.functions.naming import contains_any
+from kitescope.functions.naming import column_category, contains_any
 from kitescope.operators.search import phrase_matches, top_by
 
 TYPE_ORDER = ["fact", "dimension", "reference"]
@@ -28,15 +28,25 @@ def search_tables_batch(tables: DataFrame, questions: DataFrame, limit: int = 20
     return top_by(found.select("question_id", "name", "table_type"), ["question_id"], ["name"], limit)
 
 
-def table_details(tables: DataFrame, columns: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """L2: table rows with their ordered list of column structs; unknown names give no row."""
+def table_details(tables: DataFrame, columns: DataFrame | None, names: DataFrame | None = None) -> DataFrame:
+    """L2: table rows with their ordered list of column structs; unknown names give no row.
+
+    Without ``columns`` the tables hold their own in ``columns``, as metadata documents do, and nothing is shuffled for them.
+    """
     wanted = tables if names is None else tables.join(names.select("name").distinct(), "name", "left_semi")
-    kept = columns if names is None else columns.join(names.select(F.col("name").alias("table_name")).distinct(), "table_name", "left_semi")
-    listed = kept.groupBy("table_name").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal_position", "name", "data_type", F.coalesce("description", F.lit("")).alias("description"),
-                                             "is_primary_key", "is_foreign_key"))).alias("columns")
-    )
-    return wanted.join(listed, F.col("name") == F.col("table_name"), "left").select(
+    if columns is None:
+        fields = ["ordinal_position", "name", "data_type", "description", "is_primary_key", "is_foreign_key"]
+        whole = lambda x: F.struct(*[(F.coalesce(x[f], F.lit("")) if f == "description" else x[f]).alias(f) for f in fields])
+        listed = F.sort_array(F.transform("columns", whole))
+        joined = wanted.withColumn("columns", F.when(F.size(listed) > 0, listed))
+    else:
+        kept = columns if names is None else columns.join(names.select(F.col("name").alias("table_name")).distinct(), "table_name", "left_semi")
+        grouped = kept.groupBy("table_name").agg(
+            F.array_sort(F.collect_list(F.struct("ordinal_position", "name", "data_type", F.coalesce("description", F.lit("")).alias("description"),
+                                                 "is_primary_key", "is_foreign_key"))).alias("columns")
+        )
+        joined = wanted.join(grouped, F.col("name") == F.col("table_name"), "left")
+    return joined.select(
         "name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("table_type", F.lit("")).alias("table_type"), "record_count", "columns"
     )
 
@@ -91,22 +101,38 @@ BROAD_WORDS = ["trader", "product", "price", "currency", "venue", "notional", "c
 
 
 def schema_summary_typed(
-    tables: DataFrame, columns: DataFrame, broad: bool = False, limit: int | None = None, description_chars: int | None = None, column_chars: int | None = None,
+    tables: DataFrame, columns: DataFrame | None, broad: bool = False, limit: int | None = None, description_chars: int | None = None,
+    column_chars: int | None = None,
 ) -> DataFrame:
     """As L6 with type, distinct column list and the number of columns that qualified.
 
-    ``broad`` widens the categories and words; ``limit`` keeps the first tables in type and name order.
+    ``broad`` widens the categories and words; ``limit`` keeps the first tables in type and name order.  Without ``columns``
+    the tables hold their own in ``columns``, as metadata documents do; categories then follow the names.
     """
     categories = KEY_CATEGORIES + (["measure", "date"] if broad else ["measure"])
-    kept = columns.filter(F.col("column_category").isin(categories) | _named_like(BROAD_WORDS if broad else TYPED_WORDS))
-    listed = kept.groupBy("table_name").agg(
-        F.expr("listagg(DISTINCT name, ', ') WITHIN GROUP (ORDER BY name)").alias("key_columns"), F.count("*").alias("key_column_count")
-    )
+    words = BROAD_WORDS if broad else TYPED_WORDS
+    order = [type_rank(F.col("table_type")), "name"] if broad else ["table_type", "name"]
     cut = lambda c, n: c if n is None else F.substring(c, 1, n)
-    out = listed.join(tables, F.col("table_name") == F.col("name")).select(
+    if columns is None:
+        qualified = lambda x: column_category(x).isin(categories) | contains_any(F.lower(x), words)
+        # bound once, so that the list is sifted once; a null name can not qualify
+        found = F.filter(F.col("columns.name"), lambda x: F.coalesce(qualified(x), F.lit(False)))
+        summary = F.transform(F.array(found), lambda a: F.struct(
+            F.array_join(F.sort_array(F.array_distinct(a)), ", ").alias("key_columns"), F.size(a).cast("bigint").alias("key_column_count")))[0]
+        if limit is not None:
+            # which tables come first is decided by name alone, so only their lists are written out
+            some = F.exists(F.col("columns.name"), lambda x: F.coalesce(qualified(x), F.lit(False)))
+            tables = tables.filter(some).orderBy(*order).limit(limit)
+        joined = tables.withColumn("summary", summary).filter("summary.key_column_count > 0").select("*", "summary.key_columns", "summary.key_column_count")
+    else:
+        kept = columns.filter(F.col("column_category").isin(categories) | _named_like(words))
+        listed = kept.groupBy("table_name").agg(
+            F.expr("listagg(DISTINCT name, ', ') WITHIN GROUP (ORDER BY name)").alias("key_columns"), F.count("*").alias("key_column_count")
+        )
+        joined = listed.join(tables, F.col("table_name") == F.col("name"))
+    out = joined.select(
         "name", cut(F.col("description"), description_chars).alias("description"), "table_type", cut(F.col("key_columns"), column_chars).alias("key_columns"), "key_column_count"
     )
-    order = [type_rank(F.col("table_type")), "name"] if broad else ["table_type", "name"]
     return out.orderBy(*order) if limit is None else out.orderBy(*order).limit(limit)
 
 

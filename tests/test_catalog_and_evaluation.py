@@ -6,7 +6,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from kitescope.operators import catalog, evaluation, report
+from kitescope.functions import naming
+from kitescope.operators import catalog, evaluation, lookup, report
 from kitescope.sources import readers, sinks
 from kitescope.streaming import request_metrics
 
@@ -62,6 +63,40 @@ def test_explicit_edges_win(spark, columns):
     assert all(got[k] == v for k, v in expected.items() if k in got and v != "inferred")
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_merged_edges_share_a_deal_and_read_few_texts(spark, columns):
+    schema = "from_table string, to_table string, from_column string, to_column string, relationship_type string, confidence double"
+    curated = spark.createDataFrame([("t05", "t03", "hot_id", "hot_id", "B", 1.0), ("t03", "t05", "hot_id", "hot_id", "C", 1.0), ("t03", "t03", "hot_id", "hot_id", "B", 1.0), ("t03", "t09", "pair1_sk", "pair1_sk", "B", 1.0)], schema)
+    edges = catalog.merged_explicit_edges([curated], catalog.infer_relationships(columns))
+    got = {(r.from_table, r.to_table, r.from_column, r.relationship_type, r.replaces) for r in edges.collect()}
+    assert got == {("t03", "t05", "hot_id", "C", "KEY_MATCH"), ("t03", "t03", "hot_id", "B", None), ("t03", "t09", "pair1_sk", "B", None)}
+
+
+def test_relationship_patterns_agree_with_the_rules(spark):
+    names = ["a_sk", "A_SK", "a_sk\n", "smcp", "xsmcp", "my_idx", "my_keys", "x_code", "key", "akey", "grid", "id", "note", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for bound in (0.0, 0.7, 0.8, 0.9, 0.95):
+        plain = df.filter(naming.relationship_confidence(F.col("name")) > bound).collect()
+        assert df.filter(naming.supports_relationship(F.col("name"), bound)).collect() == plain
+
+
+def test_tables_that_hold_their_columns_need_no_shuffle(spark):
+    fields = "ordinal_position bigint, name string, data_type string, description string, is_primary_key boolean, is_foreign_key boolean"
+    rows = [("t1", "about", "fact", 5, [(2, "price_id", "string", None, False, True), (1, "key", "bigint", "k", True, False)]), ("t2", None, "other", None, []), ("t3", "x", "reference", 1, None), ("t4", "y", "fact", 1, [(1, "zz", "string", "z", False, False), (2, "zz_id", "string", "", False, False)])]
+    nested = spark.createDataFrame(rows, f"name string, description string, table_type string, record_count bigint, columns array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+    flat = nested.select(F.col("name").alias("table_name"), F.explode("columns").alias("c")).select("table_name", "c.*").withColumn("column_category", naming.column_category(F.col("name")))
+    tables = nested.drop("columns")
+    details = lookup.table_details(nested, None)
+    assert exchanges(details) == 0 and sorted(details.collect()) == sorted(lookup.table_details(tables, flat).collect())
+    for counts in (False, True):
+        assert sorted(lookup.ddl_context(details, counts).collect()) == sorted(lookup.ddl_context(lookup.table_details(tables, flat), counts).collect())
+    for options in ({}, {"broad": True}, {"broad": True, "limit": 1, "column_chars": 4}):
+        assert lookup.schema_summary_typed(nested, None, **options).collect() == lookup.schema_summary_typed(tables, flat, **options).collect()
+
+
 def test_dates_skip_what_is_no_date(spark):
     values = spark.createDataFrame([("20240229",), ("20230229",), ("2024-01-01",), ("202401",), (None,), ("20240106",)], "date_string string")
     got = {r.date_string: (r.day_of_week, r.is_business_day) for r in catalog.date_nodes(values).collect()}
