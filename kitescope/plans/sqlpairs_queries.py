@@ -236,7 +236,7 @@ def cosine_sql(source: str, left: str, right: str) -> str:
 
 @query("q14_pair_tfidf_cosine", f"WITH {cosine_sql('s_pairs', G, T)} SELECT p.pair_id, round(coalesce(c.semantic, 0), 6) AS semantic FROM s_pairs p LEFT JOIN cos c ON c.pair_id = p.pair_id")
 def q14(c):
-    return rounded(sqlscore.pair_tfidf_cosine(c("s_pairs")), ["semantic"])
+    return rounded(sqlscore.pair_tfidf_cosine(c("s_pairs"), unique=True), ["semantic"])
 
 
 TURNS = "turns AS (SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS g_text, b.text AS t_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"

@@ -177,3 +177,12 @@ def test_many_results_equal_the_comparison_row_by_row(spark):
     bags = {k: [sorted(map(repr, [r for r in side if r[0] == k])) for side in sides] for k in prints}
     assert prints == {k: x == y for k, (x, y) in bags.items()} and not prints[1000] and prints[1001]
     assert sqlscore.compare_many_results(g.limit(0), t.limit(0), ["k"]).count() == 0
+
+
+def test_pair_cosine_in_the_row_equals_the_joined_one_without_a_shuffle(spark):
+    rows = [(1, "a bb cc bb cc bb", "bb cc dd bb"), (2, "", "xx yy"), (3, None, "xx"), (4, "same words same", "same words same"), (5, "aa bb aa", "cc dd"), (6, "bb aa bb aa bb", "aa")]
+    pairs = spark.createDataFrame(rows, "pair_id bigint, generated_sql string, truth_sql string")
+    near = sqlscore.pair_tfidf_cosine(pairs, unique=True)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    got, expected = ({r.pair_id: r.semantic for r in df.collect()} for df in (near, sqlscore.pair_tfidf_cosine(pairs)))
+    assert got == pytest.approx(expected) and got[4] == pytest.approx(1) and got[3] == 0
