@@ -240,3 +240,13 @@ def test_columns_come_out_of_their_own_document_without_a_shuffle(spark, tmp_pat
     assert got == [(1, "holds a", 1, False), (1, "holds b", 0, True), (1, "holds c", 3, False)]
     plan = columns._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_questions_and_their_pairs_come_out_of_one_row(spark):
+    from kitescope.plans.carriers import Carriers
+
+    c = Carriers(spark, "/root/testdata/sf0.001")
+    made = c("r_questions")
+    assert exchanges(made) == 0
+    joined = c("q_order").join(c("s_pairs"), F.col("ord") == F.col("pair_id")).select("question_id", "question", "ord", F.when(F.col("ord") % 10 != 0, F.col("truth_sql")).alias("truth_sql"))
+    assert made.exceptAll(joined).isEmpty() and joined.exceptAll(made).isEmpty()
