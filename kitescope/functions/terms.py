@@ -14,6 +14,11 @@ def _strings(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
+def _held(question: Column, words: list[str]) -> Column:
+    """Words contained in the lower-cased question, which is made once and not for every word."""
+    return F.transform(F.array(F.lower(question)), lambda low: F.filter(_strings(words), lambda t: F.contains(low, t)))[0]
+
+
 def whitespace_words(text: Column) -> Column:
     """Words between white space, without empty strings."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -21,8 +26,7 @@ def whitespace_words(text: Column) -> Column:
 
 def vocab_terms(question: Column, vocabulary: list[str] = fixed.BUSINESS_TERMS) -> Column:
     """Vocabulary words contained in the lower-cased question, in vocabulary order."""
-    low = F.lower(question)
-    return F.filter(_strings(vocabulary), lambda t: F.contains(low, t))
+    return _held(question, vocabulary)
 
 
 def identifier_terms(question: Column) -> Column:
@@ -49,8 +53,7 @@ def word_terms(question: Column, vocabulary: list[str] = fixed.BUSINESS_TERMS_SH
 
 def column_terms(question: Column) -> Column:
     """T4: identifiers plus column suffixes found in the question, suffixes without underscores."""
-    low = F.lower(question)
-    found = F.filter(_strings(fixed.COLUMN_SUFFIXES), lambda s: F.contains(low, s))
+    found = _held(question, fixed.COLUMN_SUFFIXES)
     return F.concat(identifier_terms(question), F.transform(found, lambda s: F.btrim(s, F.lit("_"))))
 
 

@@ -13,7 +13,7 @@ from kitescope.functions import terms as term_rules
 from kitescope.functions import vectors
 from kitescope.operators import search, topk
 from kitescope.operators.search import top_by
-from kitescope.session import cut_lineage
+from kitescope.session import cut_lineage, saved
 
 TEXTS = ["name", "description"]
 
@@ -25,23 +25,54 @@ def ranked(found: DataFrame, n: int, score: Column | None = None) -> DataFrame:
     return top_by(best, ["question_id"], [F.desc("score"), "entity"], n)
 
 
-def _exploded(questions: DataFrame, terms: Column) -> DataFrame:
-    return questions.select("question_id", F.posexplode(terms).alias("term_pos", "term"))
+def _asked(questions: DataFrame, terms: Column) -> DataFrame:
+    """(question_id, terms): never null, as a join would look for nulls first and make the terms twice."""
+    return questions.select("question_id", F.coalesce(terms, F.array().cast("array<string>")).alias("terms"))
+
+
+def _found(lists: DataFrame, postings: DataFrame, per_term: int) -> DataFrame:
+    """(terms, found): each list of terms with the first entities by name of its terms, as (term_pos, term, name, place)."""
+    each = lists.select("terms", F.posexplode("terms").alias("term_pos", "term"))
+    top = search.term_first_entities(each.select("term"), postings, per_term)
+    hit = F.collect_list(F.struct("term_pos", "term", "name", "place")).alias("found")
+    # written, so that its size is known and a small table of answers is not met by a shuffle of all questions
+    return saved(each.join(top, "term").groupBy("terms").agg(hit), "answers")
 
 
 def _by_terms(questions: DataFrame, terms: Column, postings: DataFrame, per_term: int) -> DataFrame:
-    """(question_id, term_pos, term, name, place): first entities by name for every term."""
-    asked = _exploded(questions, terms)
-    return asked.join(search.term_first_entities(asked.select("term"), postings, per_term), "term")
+    """(question_id, term_pos, term, name, place): first entities by name for every term.
+
+    Questions with the same list of terms are answered once.
+    """
+    asked = saved(_asked(questions, terms), "asked")
+    return asked.join(_found(asked.select("terms").distinct(), postings, per_term), "terms").select("question_id", F.inline("found"))
+
+
+def _first_by_terms(questions: DataFrame, terms: Column, postings: DataFrame, per_term: int, n: int) -> DataFrame:
+    """(question_id, entity, score, rank): first ``n`` of all entities found for a question's terms, all with score 1."""
+    # rows of one question ask together; folded by terms, which are shorter than the entities found
+    together = F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms"))))
+    folded = saved(_asked(questions, terms).groupBy("question_id").agg(together.alias("terms")), "asked")
+    found = _found(folded.select("terms").distinct(), postings, per_term)
+    first = found.select("terms", F.slice(F.array_sort(F.array_distinct("found.name")), 1, n).alias("names"))
+    listed = folded.join(first, "terms").select("question_id", F.posexplode("names").alias("pos", "entity"))
+    return listed.select("question_id", "entity", F.lit(1.0).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def column_postings(columns: DataFrame) -> DataFrame:
-    """(token, name): lower-case column and table names leading to their table; pairs may repeat.
+    """Lower-case column and table names leading to their table: (name, tokens) where ``columns`` has ``names``, a table's columns,
+    else (token, name); pairs may repeat.
 
     A term without a dot lies in a full name exactly if it lies in the table or the column name.
     """
+    named = columns.filter(F.col("table_name").isNotNull())
+    if "names" in columns.columns:
+        # a table without columns is not found by its own name either
+        tokens = search.bound(F.col("names"), lambda names: F.when(
+            F.size(names) > 0, F.concat(F.array(F.lower("table_name")), F.transform(names, F.lower))))
+        return named.select(F.col("table_name").alias("name"), tokens.alias("tokens"))
     token = F.explode(F.array(F.lower("name"), F.lower("table_name")))
-    return columns.select(token.alias("token"), F.col("table_name").alias("owner")).select("token", F.col("owner").alias("name"))
+    return named.select(token.alias("token"), F.col("table_name").alias("owner")).select("token", F.col("owner").alias("name"))
 
 
 def direct_match(questions: DataFrame, entities: DataFrame, n: int = 5, texts: list[str] | None = None) -> DataFrame:
@@ -50,11 +81,14 @@ def direct_match(questions: DataFrame, entities: DataFrame, n: int = 5, texts: l
 
 
 def column_match(questions: DataFrame, columns: DataFrame, terms: Column, per_term: int = 3, n: int | None = None) -> DataFrame:
-    """R2: tables with a column whose name or full name contains a term; ``per_term`` tables each."""
+    """R2: tables with a column whose name or full name contains a term; ``per_term`` tables each.
+
+    ``columns`` has table_name and name, or table_name and ``names``.
+    """
+    if n is not None:
+        return _first_by_terms(questions, terms, column_postings(columns), per_term, n)
     found = _by_terms(questions, terms, column_postings(columns), per_term)
-    if n is None:
-        return found.select("question_id", "term", F.col("name").alias("entity"), F.col("place").alias("rank"))
-    return ranked(found.select("question_id", "name"), n)
+    return found.select("question_id", "term", F.col("name").alias("entity"), F.col("place").alias("rank"))
 
 
 def first_of_type(entities: DataFrame, n: int) -> DataFrame:
@@ -87,8 +121,7 @@ def keyword_retriever(questions: DataFrame, entities: DataFrame, columns: DataFr
 def simple_keyword(questions: DataFrame, entities: DataFrame, terms_used: int = 5, per_term: int = 3, n: int = 10) -> DataFrame:
     """First terms of the question inside name or description."""
     terms = F.slice(term_rules.word_terms(F.col("question")), 1, terms_used)
-    found = _by_terms(questions, terms, search.token_postings(entities, TEXTS), per_term)
-    return ranked(found.select("question_id", "name"), n)
+    return _first_by_terms(questions, terms, search.token_lists(entities, TEXTS), per_term, n)
 
 
 def column_retriever(questions: DataFrame, columns: DataFrame, terms_used: int = 5, per_term: int = 3, n: int = 10) -> DataFrame:
@@ -100,7 +133,7 @@ def column_retriever(questions: DataFrame, columns: DataFrame, terms_used: int =
 def pattern_retriever(questions: DataFrame, entities: DataFrame, per_type: int = 5, n: int = 10) -> DataFrame:
     """Tables whose type equals, or whose name contains, a type the question hints at."""
     asked = questions.select("question_id", F.explode(term_rules.intent_types_keywords(F.col("question"))).alias("term"))
-    named = search.term_first_entities(asked.select("term"), search.token_postings(entities, ["name"]), per_type).select("term", "name")
+    named = search.term_first_entities(asked.select("term"), search.token_lists(entities, ["name"]), per_type).select("term", "name")
     typed = first_of_type(entities, per_type).select(F.col("table_type").alias("term"), "name")
     leading = top_by(named.unionByName(typed).distinct(), ["term"], ["name"], per_type, "place")
     return ranked(asked.join(leading, "term").select("question_id", "name"), n)
@@ -121,7 +154,7 @@ def semantic_seeds(questions: DataFrame, entities: DataFrame, per_term: int = 3,
     Returns (question_id, entity, rank) where rank numbers the list.
     """
     terms = term_rules.seed_terms(F.col("question"), first_terms)
-    found = _by_terms(questions, terms, search.token_postings(entities, TEXTS), per_term)
+    found = _by_terms(questions, terms, search.token_lists(entities, TEXTS), per_term)
     # a question's list has at most per_term rows per word, so numbering it is bounded by its length
     return top_by(
         found.select("question_id", "term_pos", "place", F.col("name").alias("entity")),

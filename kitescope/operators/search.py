@@ -10,15 +10,22 @@ Where a question only needs the first n entities by name, the vocabulary is matc
 of tokens that hold a search word are read on, and each such token keeps its first n entities.  Spark
 applies that cut inside every task ahead of the shuffle, so a word carried by a third of all texts costs
 n rows per task and a word nobody asked for none.
+
+A handful of words needs no vocabulary: each entity's tokens are tried against all of them in its own row, and only the
+matches are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kitescope.session import cut_lineage
+from kitescope.session import cut_lineage, saved
 
 GRAM = 3
+#: Up to so many words are tried against every entity; more are looked up in the vocabulary.
+FEW = 64
 
 
 def top_by(df: DataFrame, keys: list[str], order: list, n: int | None, place: str = "rank") -> DataFrame:
@@ -39,9 +46,23 @@ def tokens_of(*texts: Column) -> Column:
     return F.filter(F.array_distinct(F.split(joined, r"\s+")), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once; a plain column would be made anew at every mention inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def token_lists(entities: DataFrame, texts: list[str], name: str = "name") -> DataFrame:
+    """(name, tokens): the tokens of every entity."""
+    return entities.select(F.col(name).alias("name"), tokens_of(*[F.col(t) for t in texts]).alias("tokens"))
+
+
 def token_postings(entities: DataFrame, texts: list[str], name: str = "name") -> DataFrame:
     """(token, name): which entity holds which token; one row per pair as ``name`` is unique."""
-    return entities.select(F.explode(tokens_of(*[F.col(t) for t in texts])).alias("token"), F.col(name).alias("name"))
+    return _postings(token_lists(entities, texts, name))
+
+
+def _postings(lists: DataFrame) -> DataFrame:
+    return lists.select(F.explode("tokens").alias("token"), "name")
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -71,12 +92,30 @@ def matching_tokens(needles: DataFrame, vocabulary: DataFrame, gram: int = GRAM)
     return rarest.join(near, "gram").filter(F.contains(F.col("token"), F.col("term"))).select("term", "token")
 
 
-def term_first_entities(terms: DataFrame, postings: DataFrame, n: int) -> DataFrame:
+def _tried(needles: DataFrame, lists: DataFrame) -> DataFrame:
+    """(term, name) of the terms that lie in one of an entity's tokens, all terms tried in the entity's row."""
+    asked = F.broadcast(needles.agg(F.collect_list("term").alias("asked")))  # one row of at most FEW terms
+
+    def hits(tokens: Column) -> Column:
+        # what lies in no part of the joined text lies in no token; a hit has to lie in one token
+        return bound(F.array_join(tokens, " "), lambda text: F.filter(
+            "asked", lambda t: F.contains(text, t) & F.exists(tokens, lambda x: F.contains(x, t))))
+
+    return lists.crossJoin(asked).select(F.explode(bound(F.col("tokens"), hits)).alias("term"), "name")
+
+
+def term_first_entities(terms: DataFrame, postings: DataFrame, n: int, few: int = FEW) -> DataFrame:
     """(term, name, place): first ``n`` entities by name whose tokens contain the term.
 
-    The blank term is contained in every text, so it takes the first entities of all.
+    ``postings`` has token and name, or name and ``tokens``; with tokens in lists, up to ``few`` terms are tried in the
+    entities' rows.  The blank term is contained in every text, so it takes the
+    first entities of all.
     """
-    needles = terms.select("term").distinct()
+    needles = saved(terms.select("term").filter(F.col("term").isNotNull()).distinct(), "needles")
+    nested = "tokens" in postings.columns
+    if nested and needles.count() <= few:
+        return first_names(_tried(needles, postings), "term", n)
+    postings = _postings(postings) if nested else postings
     # read for the postings to keep and for the terms they answer
     found = cut_lineage(matching_tokens(needles.filter(F.col("term") != ""), postings.select("token").distinct()))
     leading = first_names(postings.join(found.select("token").distinct(), "token", "left_semi"), "token", n)

@@ -71,6 +71,49 @@ def test_term_first_entities(spark, texts, entities, n):
     assert {(r.term, r.name, r.place) for r in got.collect()} == want
 
 
+def test_few_terms_are_tried_in_the_rows_of_entities(spark, texts, entities):
+    needles = ["the", "bet", "ray", "a", "nothing", "", "t00", "a h", "y h", "copy", None]
+    rows = [(name, name + " " + text) for name, text, _ in texts]
+    lists = search.token_lists(spark.createDataFrame(rows + [("unsaid", None), ("empty", "")], "name string, text string"), ["text"])
+    terms = spark.createDataFrame([(t,) for t in needles], "term string")
+    want = set()
+    for t in needles[:-1]:
+        hits = sorted(name for name, text in rows if any(t in w for w in text.split()))[:3]
+        want |= {(t, name, i + 1) for i, name in enumerate(hits)}
+    for few in (64, 0):  # in rows, and by the vocabulary
+        got = search.term_first_entities(terms, lists, 3, few)
+        assert {(r.term, r.name, r.place) for r in got.collect()} == want
+    # only matches are shuffled, cut to the first names
+    assert _between(_final_plan(search.term_first_entities(terms, lists, 3)), "WindowGroupLimit", "Generate explode", "ShuffleQueryStage")
+
+
+def test_questions_with_equal_terms_are_answered_once(spark):
+    columns = spark.createDataFrame([(f"t{i:02d}", [f"order_id{i}", "price"][: i % 3]) for i in range(30)] + [(None, ["order_id"]), ("none_id", None)],
+                                    "table_name string, names array<string>")
+    asked = [(f"q{i}", "show ORDER_ID and price" if i % 2 else "T0 TRADE_PRICE nothing") for i in range(200)]
+    asked += [("q1", "which NONE_ID"), ("q2", "ORDER_ID29"), ("bare", "no"), ("unsaid", None), (None, "ORDER_ID")]
+    questions = spark.createDataFrame(asked, "question_id string, question string")
+    with_id, priced = [f"t{i:02d}" for i in range(1, 30) if i % 3], [f"t{i:02d}" for i in range(2, 30, 3)]
+    per_term = {"order_id": with_id[:3], "price": priced[:3]}
+    got = retrieval.column_match(questions, columns, retrieval.keyword_terms(F.col("question")))
+    assert sum("ShuffleQueryStage" in line for line in _final_plan(got)) == 0  # questions meet a small table where they are
+    held = {"order_id": lambda text: "ORDER_ID" in text.split(), "price": lambda text: "price" in text.lower()}
+    want = [(q, t, name, i + 1) for q, text in asked if text for t in per_term if held[t](text) for i, name in enumerate(per_term[t])]
+    key = lambda rows: sorted(((a or "", b, c, d) for a, b, c, d in rows))
+    assert key(map(tuple, got.collect())) == key(want)
+    ranks = {}
+    for r in retrieval.column_retriever(questions, columns).collect():
+        ranks.setdefault(r.question_id, []).append((r["rank"], r.entity, r.score))
+    terms = {q: set() for q, _ in asked}
+    for q, text in asked:
+        terms[q] |= {w.lower() for w in (text or "").split() if re.fullmatch("[A-Z][A-Z_]+[A-Z]", w)}
+        terms[q] |= {s.strip("_") for s in ("_id", "_price") if s in (text or "").lower()}
+    hay = {f"t{i:02d}": [f"t{i:02d}", *[f"order_id{i}", "price"][: i % 3]] for i in range(30) if i % 3}
+    for q, mine in terms.items():
+        names = sorted({n for t in mine for n in sorted(n for n, texts in hay.items() if any(t in x for x in texts))[:3]})[:10]
+        assert sorted(ranks.get(q, [])) == [(i + 1, n, 1.0) for i, n in enumerate(names)]
+
+
 def test_phrase_matches(spark, texts, entities):
     phrases = ["HOT copy text", "copy", "alpha beta", "pha beta the", "t copy te", "rule 3", "the", " of", "not there at all"]
     asked = spark.createDataFrame([(f"q{i}", p) for i, p in enumerate(phrases)], "question_id string, question string")
