@@ -12,7 +12,7 @@ from kitescope.functions import vectors
 from kitescope.operators import topk
 from kitescope.operators.retrieval import semantic_seeds
 from kitescope.operators.search import top_by
-from kitescope.session import cut_lineage
+from kitescope.session import cut_lineage, saved
 
 __all__ = ["semantic_seeds"]
 
@@ -67,13 +67,13 @@ def attention_vectors(vertices: DataFrame, edges: DataFrame, columns: DataFrame
 
     Hash embeddings and question codes are never negative, so the floor at zero inside attention has
     no effect and the mean over out-neighbours can be taken over vectors, once for all questions.  The
-    mean is ten plain averages: a hub's edges fold in every task before the shuffle.
+    mean is ten plain sums and one count: a hub's edges fold in every task before the shuffle.
     """
     own = cut_lineage(vertex_vectors(vertices, columns))
     ends = edges.select("src", "dst").join(own.withColumnRenamed("name", "dst"), "dst")
-    means = ends.groupBy("src").agg(*[F.avg(F.col("vector")[i]).alias(f"m{i}") for i in range(DIMS)])
+    means = ends.groupBy("src").agg(F.count("*").alias("n"), *[F.sum(F.col("vector")[i]).alias(f"m{i}") for i in range(DIMS)])
     joined = own.join(means, own["name"] == means["src"], "left")
-    mixed = F.array(*[F.col("vector")[i] * 0.7 + F.col(f"m{i}") * 0.3 for i in range(DIMS)])
+    mixed = F.array(*[F.col("vector")[i] * 0.7 + F.col(f"m{i}") / F.col("n") * 0.3 for i in range(DIMS)])
     return joined.select(F.col("name").alias("entity"), F.when(F.col("src").isNull(), F.col("vector")).otherwise(mixed).alias("vector"))
 
 
@@ -84,20 +84,23 @@ def question_vectors(questions: DataFrame) -> DataFrame:
 
 def neighbour_attention(
     questions: DataFrame, vertices: DataFrame, edges: DataFrame, n: int = 10, threshold: float = 0.1, columns: DataFrame | None = None,
+    mixed: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``n`` vertices per question by own attention x .7 plus out-neighbours' mean x .3.
 
     The full ranking covers every vertex for every question; :func:`attention_ranks` gives the exact
-    place of chosen vertices in it without writing it out.
+    place of chosen vertices in it without writing it out.  ``mixed`` are attention vectors made before.
     """
-    return topk.top_scores(cut_lineage(attention_vectors(vertices, edges, columns)), question_vectors(questions), n, threshold)
+    mixed = cut_lineage(attention_vectors(vertices, edges, columns)) if mixed is None else mixed
+    return topk.top_scores(mixed, question_vectors(questions), n, threshold)
 
 
 def attention_ranks(
     questions: DataFrame, vertices: DataFrame, edges: DataFrame, wanted: DataFrame, threshold: float = 0.1, columns: DataFrame | None = None,
+    mixed: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact places of chosen vertices in the full ranking of G4."""
-    return topk.exact_ranks(attention_vectors(vertices, edges, columns), question_vectors(questions), wanted, threshold)
+    """Exact places of chosen vertices in the full ranking of G4; ``mixed`` are attention vectors made before."""
+    return topk.exact_ranks(attention_vectors(vertices, edges, columns) if mixed is None else mixed, question_vectors(questions), wanted, threshold)
 
 
 # --- relevance and paths ----------------------------------------------------------------------------
@@ -123,8 +126,9 @@ def greedy_paths(
 
     A neighbour is worth .6 x word overlap + .4 x the weight of its edge from the seed (or from the
     current vertex).  Result: (question_id, entity, rank) - the seeds in order, then chosen vertices
-    by seed and hop.
+    by seed and hop.  Seeds and steps are a few rows per question and written, so that they go to the edges.
     """
+    seeds = saved(seeds.select("question_id", "entity", "rank"), "seeds")
     weighted = edges.select("src", "dst", "weight")
     texts = vertices.select(F.col("name").alias("dst"), "description")
     asked = questions.select("question_id", term_rules.all_terms(F.col("question")).alias("words"))
@@ -135,12 +139,13 @@ def greedy_paths(
         if hop == 1 or reward_from == "current":
             reward = F.col("weight")
         else:
-            direct = edges.select(F.col("src").alias("seed"), F.col("dst"), F.col("weight").alias("direct"))
+            near = edges.join(paths.select(F.col("seed").alias("src")).distinct(), "src", "left_semi")
+            direct = near.select(F.col("src").alias("seed"), F.col("dst"), F.col("weight").alias("direct"))
             step = step.join(direct, ["seed", "dst"], "left")
             reward = F.coalesce(F.col("direct"), F.lit(0.0))
         worth = F.round(term_overlap(F.col("description"), F.col("words")) * 0.6 + reward * 0.4, 6)
         best = step.groupBy("question_id", "seed", "seed_rank").agg(F.min(F.struct((-worth).alias("minus"), "dst")).alias("b"))
-        paths = best.filter(-F.col("b.minus") > least).select("question_id", "seed", "seed_rank", F.col("b.dst").alias("current"))
+        paths = saved(best.filter(-F.col("b.minus") > least).select("question_id", "seed", "seed_rank", F.col("b.dst").alias("current")), "paths")
         found = found.unionByName(paths.select("question_id", F.col("current").alias("entity"), (F.col("seed_rank") * 10 + hop).alias("place")))
     first = found.groupBy("question_id", "entity").agg(F.min("place").alias("place"))
     # a list has the seeds plus at most walked x hops entries

@@ -165,11 +165,11 @@ def exact_ranks(entities: DataFrame, questions: DataFrame, wanted: DataFrame, th
     def score(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(q):
             return _frame(question_id=[], entity=[], score=[])
-        scores = np.round(_matrix(e) @ _matrix(q).T, 6) + 0.0
+        scores = _matrix(q) @ _matrix(e).T
         row = {name: i for i, name in enumerate(e["entity"])}
         at = [(row[name], c) for c, chosen in enumerate(q["names"]) if chosen is not None for name in chosen if name in row]
         rows, cols = [r for r, _ in at], [c for _, c in at]
-        return _frame(question_id=q["question_id"].to_numpy(dtype=object)[cols], entity=e["entity"].to_numpy(dtype=object)[rows], score=scores[rows, cols])
+        return _frame(question_id=q["question_id"].to_numpy(dtype=object)[cols], entity=e["entity"].to_numpy(dtype=object)[rows], score=np.round(scores[cols, rows], 6) + 0.0)
 
     scored = _meet(placed, asked.join(names, "question_id", "left"), ["entity"], score, "question_id string, entity string, score double")
     marks = scored.filter(F.col("score") > threshold).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("score", "entity"))).alias("marks"))
@@ -178,12 +178,12 @@ def exact_ranks(entities: DataFrame, questions: DataFrame, wanted: DataFrame, th
     def count(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(q):
             return _frame(question_id=[], entity=[], ahead=[])
-        scores = np.round(_matrix(e) @ _matrix(q).T, 6) + 0.0
+        scores = _matrix(q) @ _matrix(e).T
         names, out = e["entity"].to_numpy(dtype=object), []
         for c, (question, mark_scores, mark_names) in enumerate(zip(q["question_id"], q["scores"], q["names"])):
             if mark_names is None:
                 continue
-            mine = scores[:, c]
+            mine = np.round(scores[c], 6) + 0.0
             order = np.sort(mine)
             upto, below = np.searchsorted(order, mark_scores, side="right"), np.searchsorted(order, mark_scores, side="left")
             ahead = len(order) - upto

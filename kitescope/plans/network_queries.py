@@ -10,7 +10,7 @@ from kitescope.operators import network
 from kitescope.plans.registry import query
 from kitescope.plans.retrieval_queries import COLS, ENTITY_HAY, cut_sql, exploded_sql, term_top_sql
 from kitescope.plans.text_queries import SEEDS
-from kitescope.session import cut_lineage
+from kitescope.session import cut_lineage, saved
 
 WEIGHT = "CASE rel_type " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in fixed.EDGE_WEIGHTS.items()) + " ELSE 0.5 END"
 
@@ -116,9 +116,15 @@ def paths_sql(g: str, questions: str) -> str:
 
 @query("g6_greedy_paths", f"WITH {edges_sql('gl')}, {attention_sql('gl', 'gl_questions')}, {paths_sql('gl', 'gl_questions')} SELECT question_id, entity, CAST(rank AS INT) AS rank FROM rl")
 def g6(c):
-    e = edges(c, "gl")
-    seeds = network.neighbour_attention(c("gl_questions"), c("gl_vertices"), e, 5, columns=c("gl_columns"))
-    return network.greedy_paths(c("gl_questions"), seeds, c("gl_vertices"), e)
+    return gl_paths(c)[2]
+
+
+def gl_paths(c):
+    """(edges, attention vectors, greedy paths); the first two are read many times and made once."""
+    e = saved(edges(c, "gl"), "edges")
+    mixed = saved(network.attention_vectors(c("gl_vertices"), e, c("gl_columns")), "attention")
+    seeds = network.neighbour_attention(c("gl_questions"), c("gl_vertices"), e, 5, mixed=mixed)
+    return e, mixed, network.greedy_paths(c("gl_questions"), seeds, c("gl_vertices"), e)
 
 
 @query(
@@ -128,7 +134,8 @@ SELECT a.question_id, a.entity, a.rank FROM att a JOIN rl ON rl.question_id = a.
 )
 def g4_ranks(c):
     # the vertices of the greedy paths: at most eleven per question
-    return network.attention_ranks(c("gl_questions"), c("gl_vertices"), edges(c, "gl"), g6(c), columns=c("gl_columns"))
+    e, mixed, found = gl_paths(c)
+    return network.attention_ranks(c("gl_questions"), c("gl_vertices"), e, found, mixed=mixed)
 
 
 def seeds_sql(questions: str, hay: str, per_term: int = 3) -> str:

@@ -181,3 +181,15 @@ def test_advanced_retriever_falls_back_to_word_seeds(spark, small):
     rows = got.collect()
     assert {r.question_id for r in rows} == {"q1"}
     assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1)) and len(rows) <= 10
+
+
+def test_attention_made_before_is_read_instead_of_edges(spark):
+    vertices = spark.createDataFrame([(f"v{i}", f"text {i % 4} of ring") for i in range(12)], "name string, description string")
+    edges = spark.createDataFrame([(f"v{i}", f"v{(i * 5 + 1) % 12}", "related", 0.5) for i in range(12)], "src string, dst string, rel_type string, weight double")
+    questions = spark.createDataFrame([("a", "show ring"), ("b", "text of")], "question_id string, question string")
+    wanted = spark.createDataFrame([("a", "v3"), ("a", "v7"), ("b", "v0")], "question_id string, entity string")
+    mixed = network.attention_vectors(vertices, edges)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(network.neighbour_attention(questions, vertices, None, 5, mixed=mixed)) == rows(network.neighbour_attention(questions, vertices, edges, 5))
+    ranks = rows(network.attention_ranks(questions, vertices, None, wanted, mixed=mixed))
+    assert len(ranks) == 3 and ranks == rows(network.attention_ranks(questions, vertices, edges, wanted))
