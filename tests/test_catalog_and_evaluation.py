@@ -265,3 +265,16 @@ def test_documents_without_words_or_name_equal_the_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(con.sql(registry.ORACLE[name]).fetchall(), key=str)
+
+
+def test_chosen_tables_with_their_names_need_no_second_look_at_columns(spark, columns):
+    chosen = spark.createDataFrame([("t07",), ("t20",), ("t20",), ("gone",)], "table_name string")
+    held = chosen.distinct().join(columns.groupBy("table_name").agg(F.collect_list("name").alias("names")), "table_name", "left")
+    repeated = columns.unionByName(columns)
+    want = sorted(catalog.relationships_of(columns, chosen).collect())
+    assert [r.related for r in want if r.seed == "t07"] == ["t00", "t01", "t02", "t03", "t04"] and {r.seed for r in want} == {"t07", "t20"}
+    for got in (catalog.relationships_of(columns, held), catalog.relationships_of(repeated, chosen), catalog.relationships_of(repeated, held)):
+        assert sorted(got.collect()) == want
+    plan = catalog.relationships_of(columns, held)._jdf.queryExecution().executedPlan().toString()
+    # rows are cut to the leading ones in every task, ahead of both shuffles
+    assert plan.count("WindowGroupLimit") >= 4
