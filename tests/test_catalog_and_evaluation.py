@@ -278,3 +278,13 @@ def test_chosen_tables_with_their_names_need_no_second_look_at_columns(spark, co
     plan = catalog.relationships_of(columns, held)._jdf.queryExecution().executedPlan().toString()
     # rows are cut to the leading ones in every task, ahead of both shuffles
     assert plan.count("WindowGroupLimit") >= 4
+
+
+def test_written_tables_let_their_shuffle_files_go(spark, monkeypatch):
+    from kitescope import session
+
+    held = []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **k: (held.append(spark.conf.get(session.LET_GO)), write(self, path, *a, **k))[1])
+    kept = session.saved(spark.range(9).repartition(3, "id"), "kept")
+    assert kept.count() == 9 and held == ["true"] and spark.conf.get(session.LET_GO) == "false"
